@@ -91,6 +91,16 @@ def with_group(rows: DataFrame, key: str, **aggregates: Column) -> DataFrame:
     return done.unionByName(rest)
 
 
+#: Ids up to this number are broadcast; more are joined after a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """rows joined to ids, a stored table with the column on (and few narrow others): a broadcast where a count shows at most MOST_BROADCAST rows, else a shuffle."""
+    small = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(ids) if small else ids.hint("merge"), on, how)
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component) for each node of edges(a, b): component is the smallest node that links reach.
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, with_ids
 from .text import texts
 
 # The character model: symbol 0 is a word's end, 1 to 26 are a to z, 27 is any other letter.
@@ -212,31 +212,56 @@ def word_id(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode()) >> 1
 
 
-def restored_features(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """(doc_id, words array<long>): hashes of the distinct words of each whole text, restored ones included."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _hashed(texts_: list[bytes], restorer: Restorer) -> list[np.ndarray]:
+    return [restorer.features(t.decode("utf-8", "replace")) for t in texts_]
+
+
+def word_counts(marked: DataFrame, model) -> DataFrame:
+    """(word, df, df1): texts of marked(text, y) that hold each hashed word, and those of them with y = 1. Tasks add up their own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
+        restorer, parts, size = Restorer(model.value), [], 0
+
+        def summed() -> pa.RecordBatch:
+            ids, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            word, at = np.unique(ids, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bincount(at, minlength=len(word))), pa.array(np.bincount(at, y, len(word)).astype(np.int64))], names=["word", "df", "df1"])
+
         for batch in batches:
-            found = [restorer.features(t.decode("utf-8", "replace")) for t in texts(batch.column(1))]
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            values = np.concatenate(found) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "words"])
+            found, y = _hashed(texts(batch.column(0)), restorer), batch.column(1).to_numpy()
+            for f, label in zip(found, y, strict=True):
+                parts.append((f, np.full(len(f), label)))
+                size += len(f)
+                if size > 1_000_000:
+                    yield summed()
+                    parts, size = [], 0
+        if size:
+            yield summed()
+
+    return marked.select("text", "y").mapInArrow(run, "word long, df long, df1 long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("df1").alias("df1"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, words array<bigint>")
+
+def known_words(marked: DataFrame, model, vocabulary: np.ndarray) -> DataFrame:
+    """(words, y) of marked(text, y): the places in vocabulary of each text's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model.value)
+        for batch in batches:
+            found = [np.searchsorted(vocabulary, f[np.isin(f, vocabulary)]) for f in _hashed(texts(batch.column(0)), restorer)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1)], names=["words", "y"])
+
+    return marked.select("text", "y").mapInArrow(run, "words array<bigint>, y int")
 
 
 def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def fit_words(x: list[np.ndarray], y: np.ndarray, vocabulary: np.ndarray, rounds: int = 300, l2: float = 2e-3) -> tuple[np.ndarray, float]:
-    """Weights of the vocabulary's words and a bias: logistic regression by accelerated gradient steps."""
-    w, b = np.zeros(len(vocabulary)), 0.0
+def fit_words(at: list[np.ndarray], y: np.ndarray, words: int, rounds: int = 300, l2: float = 2e-3) -> tuple[np.ndarray, float]:
+    """Weights of the vocabulary's words and a bias: logistic regression by gradient steps scaled per word; at: each text's words."""
+    w, b = np.zeros(words), 0.0
     if not len(y):
         return w, -4.0
-    at = [np.searchsorted(vocabulary, r[np.isin(r, vocabulary)]) for r in x]
     row, col = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at).astype(np.int64)
     rate = y.mean()
     b = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
@@ -244,7 +269,7 @@ def fit_words(x: list[np.ndarray], y: np.ndarray, vocabulary: np.ndarray, rounds
     for _ in range(rounds):
         z = np.bincount(row, w[col], len(y)) + b
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g, gb = np.bincount(col, e[row], len(w)) + l2 * w / len(w), e.sum()
+        g, gb = np.bincount(col, e[row], len(w)) + l2 * w / max(1, words), e.sum()
         g2 += g * g
         gb2 += gb * gb
         w -= 0.3 * g / np.sqrt(g2)
@@ -266,38 +291,32 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id count as often as they stand. No usable labels: all scores are low. Empty table: no rows.
     """
     spark = docs.sparkSession
-    model = character_model(character_counts(docs))
-    found = stored(restored_features(docs, model), "words", "zstd")
-    marked = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), (F.col("toxic") > 0).cast("int").alias("y"))
-    train = stored(found.where(~held_out(F.col("doc_id"))).join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "words", "y"), "train", "zstd")
-    rows = train.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).first()
-    n, n1 = rows["n"], rows["n1"] or 0
-    counts = train.select(F.explode("words").alias("word"), "y").groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("df1")).where("df >= 3")
-    rate = F.lit(max(n1, 1) / max(n, 1))
+    model = spark.sparkContext.broadcast(character_model(character_counts(docs)))
+    usable = labels.select(F.col("doc_id").cast("long").alias("_id"), (F.col("toxic") > 0).cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("_id")))
+    usable = stored(usable, "labels")
+    told = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    counts = stored(word_counts(with_ids(told, usable, "_id", "inner"), model).where("df >= 3"), "counts")
+    rows = usable.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).first()
+    rate = F.lit(max(rows["n1"] or 0, 1) / max(rows["n"], 1))
     p = (F.col("df1") + 0.5 * rate) / (F.col("df") + 0.5)
     gain = F.col("df1") * F.log(F.greatest(p, F.lit(1e-9)) / rate) + (F.col("df") - F.col("df1")) * F.log(F.greatest(1 - p, F.lit(1e-9)) / F.greatest(1 - rate, F.lit(1e-9)))
     vocabulary = np.sort(counts.orderBy(gain.desc(), "word").limit(MOST_WORDS).select("word").toPandas()["word"].to_numpy(np.int64))
-    known = F.array_intersect("words", F.array(*[F.lit(int(v)) for v in vocabulary])) if len(vocabulary) else F.col("words")
-    few = train.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(MOST_LABELLED).select(known.alias("words"), "y").toPandas()
-    w, b = fit_words([np.asarray(r, np.int64) for r in few["words"]], few["y"].to_numpy(float), vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, w, b))
+    few = usable.orderBy(F.xxhash64("_id"), "_id", "y").limit(MOST_LABELLED)
+    sample = known_words(told.join(F.broadcast(few), "_id"), model, vocabulary).toPandas()
+    weights = spark.sparkContext.broadcast((vocabulary, *fit_words([np.asarray(r, np.int64) for r in sample["words"]], sample["y"].to_numpy(float), len(vocabulary))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, w, b = shared.value
+        vocabulary, w, b = weights.value
+        weight, restorer = dict(zip(vocabulary.tolist(), w.tolist(), strict=True)), Restorer(model.value)
         for batch in batches:
-            words = batch.column(1)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
-            ids = words.flatten().to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(vocabulary, ids), max(0, len(vocabulary) - 1))
-            hit = vocabulary[at] == ids if len(vocabulary) else np.zeros(len(ids), bool)
-            z = np.bincount(row[hit], w[at[hit]], batch.num_rows) + b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
-
-    scored = found.mapInArrow(score, "doc_id long, score double")
+            z = np.array([b + sum(weight[i] for i in f.tolist() if i in weight) for f in _hashed(texts(batch.column(1)), restorer)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=["doc_id", "score"])
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that score_toxicity predicts 1 for; all columns of docs, in its order. Rows with a null doc_id stay."""
-    gone = score_toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = stored(score_toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct(), "toxic")
+    return with_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
