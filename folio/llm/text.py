@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -32,3 +33,37 @@ def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
             out = (out ^ h[j : j + n]) * np.uint64(0x9FB21C651E98DF25)
             out ^= out >> np.uint64(35)
     return mixed(out)
+
+
+class WordHashes:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of texts; those of words seen lately are remembered."""
+
+    MOST = 500_000
+
+    def __init__(self):
+        self.seen: dict[bytes, int] = _Hashes()
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.seen) > self.MOST:
+            self.seen.clear()
+        return np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def portions(column: pa.Array, most_bytes: int = 4 << 20):
+    """(first row, texts) of a column, about most_bytes of text at a time, in one piece each text."""
+    part, first, size = [], 0, 0
+    for i in range(len(column)):
+        t = column[i].as_buffer()
+        part.append(t.to_pybytes() if t is not None else b"")
+        size += len(part[-1])
+        if size >= most_bytes:
+            yield first, part
+            part, first, size = [], i + 1, 0
+    if part:
+        yield first, part
