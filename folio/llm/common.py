@@ -95,8 +95,8 @@ def with_group(rows: DataFrame, key: str, **aggregates: Column) -> DataFrame:
 MOST_BROADCAST = 500_000
 
 
-def with_ids(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """rows joined to ids, a stored table with the column on (and few narrow others): a broadcast where a count shows at most MOST_BROADCAST rows, else a shuffle."""
+def with_ids(rows: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """rows joined to ids, a stored table with the columns on (and few narrow others): a broadcast where a count shows at most MOST_BROADCAST rows, else a shuffle."""
     small = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     return rows.join(F.broadcast(ids) if small else ids.hint("merge"), on, how)
 

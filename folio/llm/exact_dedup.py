@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_group
+from .common import stored, with_group, with_ids
 
 
 def unchanged(text: Column) -> Column:
@@ -36,14 +36,13 @@ def exact_dedup(docs: DataFrame, normalise=unchanged) -> DataFrame:
     """
     groups = stored(exact_groups(docs, normalise), "groups")
     repeated = groups.where("kept").groupBy("text_sha256", "doc_id").count().where("count > 1").limit(1).count() > 0
-    digest = F.sha2(normalise(F.col("text")), 256)
-    if not repeated:
-        gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_digest"))
-        return docs.join(gone, (docs["doc_id"] == F.col("_gone")) & (digest == F.col("_digest")), "left_anti").select(*docs.columns)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept")).distinct()
-    marked = docs.withColumn("_digest", digest)
-    one = marked.join(kept, marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["_digest"] == F.col("_kept")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    marked = docs.withColumn("_digest", F.sha2(normalise(F.col("text")), 256)).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    named = groups.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_sha256").alias("_digest"), "kept")
+    if repeated:
+        kept = stored(named.where("kept").select("_id", "_digest").distinct(), "kept")
+        return with_ids(marked, kept, ["_id", "_digest"]).dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    gone = stored(named.where(~F.col("kept")).select("_id", "_digest"), "gone")
+    return with_ids(marked, gone, ["_id", "_digest"], "left_anti").select(*docs.columns)
 
 
 #: What DuckDB answers for exact_groups on documents.

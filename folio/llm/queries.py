@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, neighbours, packing, substring_index, toxicity, url_filter, warc
+from . import exact_dedup, jaccard, mixing, neighbours, packing, substring_index, suffix_dedup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op7_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_neighbours, op4_toxicity, op5_jaccard, op6_exact_dedup, op7_substring_index, op9_url_filter, op10_packing)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_neighbours, op4_toxicity, op5_jaccard, op6_exact_dedup, op7_substring_index, op8_suffix_dedup, op9_url_filter, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
