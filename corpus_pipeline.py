@@ -1,4 +1,4 @@
-"""A corpus from raw documents to packed sequences, in stages that are each written and read again."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
@@ -6,24 +6,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.common import stored
 from folio.llm.exact_dedup import exact_dedup
+from folio.llm.jaccard import one_of_each
 from folio.llm.mixing import mix_documents
+from folio.llm.packing import pack
+from folio.llm.toxicity import drop_toxic
 
 
-def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
     return exact_dedup(docs)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the smallest doc_id stays."""
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mix_documents(docs)
 
 
-STAGES = [("exact dedup", dedup_exact), ("mixing", mix_sources)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and the sequences they lie in."""
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", dedup), ("n-gram Jaccard join", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: The classifier and the random rounding cannot be stated in SQL.
+#: The classifier and the random rounding cannot be stated in SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the rows of the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
