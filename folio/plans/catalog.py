@@ -1,9 +1,563 @@
-"""The registered queries."""
+"""The registered queries over the given tables, and DuckDB SQL with the same rows where SQL can state them."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.draw import draw
+from ..functions.geometry import box_geometry, confidence_color, preview_size, to_page_points
+from ..functions.metrics import car, cer, reward, text_similarity, wer
+from ..functions.params import action_to_params, as_range, is_image_name, merge_params, output_stem, parse_params
+from ..operators import degrade as dg
+from ..operators import evaluate as ev
+from ..operators import expand as ex
+from ..operators import images as im
+from ..operators import pairing, regions, sweep, synth, user, validate
+from ..sources import annotations, effects
+from ..sources.shared import shared_path
+from ..streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over four tasks a core: costly rows of one file split go to many tasks."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def ascii_only(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^\x20-\x7e\n]", "")
+
+
+# DuckDB's levenshtein counts bytes, so both engines compare what is ASCII.
+D_ASCII = r"regexp_replace({}, '[^\x20-\x7e\n]', '', 'g')"
+D_DRAW = "('0x' || substr(md5(concat_ws(':', {})), 1, 8))::BIGINT"
+D_CER = "CASE WHEN length({t}) = 0 AND length({p}) = 0 THEN 0.0 WHEN length({t}) = 0 THEN 1.0 ELSE levenshtein({p}, {t})::DOUBLE / length({t}) END"
+
+
+# ---- error rates of single texts
+
+TURNS = f"SELECT conv_id, turn, role, {D_ASCII.format('text')} AS t FROM conversations"
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", ascii_only(F.col("text")).alias("t")), "conv_id", "turn")
+
+
+@query(f"WITH s AS ({TURNS}) SELECT conv_id, turn, {D_CER.format(t='t', p=chr(116) + 'ranslate(t, ' + repr('lo') + ', ' + repr('10') + ')')} AS cer FROM s")
+def cer_by_turn(spark, sf_dir):
+    """Character error rate of each turn of a conversation against a misread copy."""
+    return turns(spark, sf_dir).select("conv_id", "turn", cer(F.translate("t", "lo", "10"), F.col("t")).alias("cer"))
+
+
+W = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
+D_CODES = "list_aggregate(list_transform({w}, lambda x: chr(list_position(v, x)::INTEGER)), 'string_agg', '')"
+
+
+@query(
+    f"""WITH s AS (SELECT item_id, {W.format('text')} AS t, {W.format("replace(translate(text, 'lo', '10'), ' the ', ' ')")} AS p FROM benchmark),
+    k AS (SELECT item_id, t, p, list_distinct(list_concat(t, p)) AS v FROM s)
+    SELECT item_id, levenshtein({D_CODES.format(w='p')}, {D_CODES.format(w='t')})::DOUBLE / len(t) AS wer FROM k"""
+)
+def wer_by_item(spark, sf_dir):
+    """Word error rate of each benchmark text against a copy with misread and missing words."""
+    return spread(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", wer(F.replace(F.translate("text", "lo", "10"), F.lit(" the "), F.lit(" ")), F.col("text")).alias("wer"))
+
+
+@query(
+    f"""WITH s AS ({TURNS}), c AS (SELECT conv_id, turn, {D_CER.format(t='t', p="translate(t, 'lo', '10')")} AS cer, 0.5 + {D_DRAW.format('conv_id, turn')} % 500 / 1000.0 AS conf FROM s)
+    SELECT conv_id, turn, round(1 - least(cer, 1.0), 9) AS car, round(0.5 * (1 - least(cer, 1.0)) + 0.3 * conf + 0.2 * least(cer, 1.0), 9) AS reward FROM c"""
+)
+def reward_by_turn(spark, sf_dir):
+    """Accuracy and composite reward of each turn; similarity is that of the misread and the clean text."""
+    noisy = F.translate("t", "lo", "10")
+    scored = turns(spark, sf_dir).select("conv_id", "turn", cer(noisy, F.col("t")).alias("cer"), (0.5 + draw(F.col("conv_id"), F.col("turn")) % 500 / 1000.0).alias("conf"), text_similarity(noisy, F.col("t")).alias("similarity"))
+    return scored.select("conv_id", "turn", F.round(car(F.col("cer")), 9).alias("car"), F.round(reward(car(F.col("cer")), F.col("conf"), F.col("similarity")), 9).alias("reward"))
+
+
+# ---- evaluation of lines: a line of a document is a region, its misread copies are the predictions
+
+
+def line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    lines = spread(docs.select("doc_id", "lang", "source", "line", ascii_only(F.col("raw")).alias("text")), "doc_id", "line")
+    read = F.col("doc_id") % 50 != 7
+    conf = 0.5 + draw(F.col("doc_id"), F.col("line")) % 500 / 1000.0
+    made = lines.select("*", F.when(read, F.translate("text", "l", "1")).alias("_original"), F.array(conf).alias("_original_scores"), F.when(read, F.translate("text", "lo", "10")).alias("_augmented"), F.array(conf - 0.2).alias("_augmented_scores"))
+    return pairing.with_metrics(made, ["doc_id", "lang", "source", "line"])
+
+
+def d_metrics() -> str:
+    """The same metrics: the copies only put digits for letters, so words differ where the copy's word does."""
+    parts = []
+    for name, frm, to, conf in (("original", "l", "1", "conf"), ("augmented", "lo", "10", "conf - 0.2")):
+        p = f"translate(t, '{frm}', '{to}')"
+        wt, wp = W.format("t"), W.format(p)
+        parts += [
+            f"CASE WHEN lost THEN 1.0 ELSE {D_CER.format(t='t', p=p)} END AS {name}_cer",
+            f"CASE WHEN lost THEN 1.0 WHEN len({wt}) = 0 THEN 0.0 ELSE len(list_filter(list_zip({wt}, {wp}), lambda z: z[1] <> z[2]))::DOUBLE / len({wt}) END AS {name}_wer",
+            f"CASE WHEN lost THEN 0.0 ELSE {conf} END AS {name}_confidence",
+        ]
+    return f"""l AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+    s AS (SELECT doc_id, lang, source, line, {D_ASCII.format('raw')} AS t, doc_id % 50 = 7 AS lost, 0.5 + {D_DRAW.format('doc_id, line')} % 500 / 1000.0 AS conf FROM l),
+    m AS (SELECT doc_id, lang, source, line, {', '.join(parts)} FROM s)"""
+
+
+def d_aggregates(digits: int | None = 9) -> str:
+    f = f"round({{}}, {digits})" if digits is not None else "{}"
+    return ", ".join(f"{f.format(f'avg({m})')} AS mean_{m}, {f.format(f'stddev_pop({m})')} AS std_{m}" for m in ev.METRICS)
+
+
+def rounded(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
+
+
+@query(f"WITH {d_metrics()} SELECT count(*) AS n_samples, {d_aggregates()} FROM m")
+def evaluate_all(spark, sf_dir):
+    return rounded(ev.evaluate(line_metrics(spark, sf_dir)))
+
+
+@query(f"WITH {d_metrics()} SELECT lang, count(*) AS n_samples, {d_aggregates()} FROM m GROUP BY lang")
+def evaluate_by_lang(spark, sf_dir):
+    return rounded(ev.evaluate_by(line_metrics(spark, sf_dir), "lang"), "lang")
+
+
+@query(
+    f"""WITH {d_metrics()}, a AS (SELECT lang, {d_aggregates(None)} FROM m GROUP BY lang)
+    """
+    + " UNION ALL ".join(f"SELECT lang, '{label}' AS metric, round(mean_original_{m}, 9) AS original_mean, round(std_original_{m}, 9) AS original_std, round(mean_augmented_{m}, 9) AS augmented_mean, round(std_augmented_{m}, 9) AS augmented_std, round(mean_augmented_{m} - mean_original_{m}, 9) AS delta FROM a" for label, m in (("CER", "cer"), ("WER", "wer"), ("Confidence", "confidence")))
+)
+def summary_table(spark, sf_dir):
+    return rounded(ev.summary_table(ev.evaluate_by(line_metrics(spark, sf_dir), "lang"), "lang"), "lang", "metric")
+
+
+@query(
+    f"""WITH {d_metrics()}, a AS (SELECT source, {d_aggregates(None)} FROM m GROUP BY source)
+    SELECT source, round(greatest(1.05, 1.1 * greatest(mean_original_cer, mean_original_wer, mean_augmented_cer, mean_augmented_wer)), 9) AS ceiling, mean_original_cer > 1 OR mean_augmented_cer > 1 AS partial_truth FROM a"""
+)
+def error_ceiling_and_flags(spark, sf_dir):
+    agg = ev.coverage_flags(ev.evaluate_by(line_metrics(spark, sf_dir), "source"))
+    return agg.select("source", F.round(ev.error_ceiling(agg), 9).alias("ceiling"), "partial_truth")
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+    m AS (SELECT lang, CASE WHEN doc_id % 50 = 7 THEN 0.0 ELSE 0.5 + {D_DRAW.format('doc_id, line')} % 500 / 1000.0 END AS original, CASE WHEN doc_id % 50 = 7 THEN 0.0 ELSE 0.5 + {D_DRAW.format('doc_id, line')} % 500 / 1000.0 - 0.2 END AS augmented FROM l),
+    u AS (SELECT lang, 'original' AS version, original AS c FROM m UNION ALL SELECT lang, 'augmented', augmented FROM m)
+    SELECT lang, version, round(min(c), 9) AS low, round(quantile_cont(c, 0.25), 9) AS q1, round(quantile_cont(c, 0.5), 9) AS median, round(quantile_cont(c, 0.75), 9) AS q3, round(max(c), 9) AS high, round(avg(c), 9) AS mean, round(stddev_pop(c), 9) AS std FROM u GROUP BY lang, version"""
+)
+def confidence_box(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "_t"))
+    conf = 0.5 + draw(F.col("doc_id"), F.col("line")) % 500 / 1000.0
+    read = F.col("doc_id") % 50 != 7
+    rows = docs.select("lang", F.when(read, conf).otherwise(0.0).alias("original_confidence"), F.when(read, conf - 0.2).otherwise(0.0).alias("augmented_confidence"))
+    return rounded(ev.confidence_box(rows, "lang"), "lang", "version")
+
+
+# ---- annotations
+
+
+@query("SELECT 'doc_' || doc_id || '.png' AS image_path, text, len(string_split(text, chr(10))) AS n_regions, 1.0 AS least_confidence FROM documents")
+def read_annotations(spark, sf_dir):
+    """All documents written as JSON annotations with a region per line, and read back."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.array(*[F.array(F.lit(float(a)), (i * 20 + b).cast("double")) for a, b in ((0, 0), (100, 0), (100, 20), (0, 20))]).alias("box"), x.alias("text")))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image_path"), "text", lines.alias("regions"))
+    path = shared_path(spark, "annotations")
+    annotations.write_annotations(docs, path)
+    good, _ = annotations.read_gt_json(spark, f"{path}/documents", multi_line=False)
+    return good.select("image_path", "text", F.size("regions").cast("long").alias("n_regions"), F.array_min(F.transform("regions", lambda r: r["confidence"])).alias("least_confidence"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS number FROM documents)
+    SELECT doc_id, number::INTEGER AS number, text, round(0.5 + {D_DRAW.format('doc_id, number')} % 500 / 1000.0, 4) AS confidence, (number % 7 * 10)::INTEGER AS x, (number * 20)::INTEGER AS y FROM l"""
+)
+def region_table(spark, sf_dir):
+    """Prediction rows of all documents, flattened to a row for each line."""
+    n = F.size(F.split("text", "\n"))
+    numbers = F.sequence(F.lit(1), n)
+    boxes = F.transform(numbers, lambda i: F.array(F.array((i % 7 * 10).cast("double"), (i * 20).cast("double"))))
+    scores = F.transform(numbers, lambda i: 0.5 + draw(F.col("doc_id"), i) % 500 / 1000.0)
+    pred = table(spark, sf_dir, "documents").select("doc_id", regions.normalize_prediction(F.split("text", "\n"), scores, boxes).alias("p")).select("doc_id", "p.*")
+    return regions.region_table(pred, "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE replace(text, chr(10), chr(10)) END AS full_text FROM documents")
+def full_text(spark, sf_dir):
+    """Texts of the regions by line, or the document's own where it has none."""
+    lines = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<struct<text:string>>")).otherwise(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"))))
+    return table(spark, sf_dir, "documents").select("doc_id", regions.full_text(lines, F.col("text")).alias("full_text"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+    r AS (SELECT CASE WHEN {D_DRAW.format("doc_id, line, 'box'")} % 20 = 0 THEN 'box is not four points' WHEN {D_DRAW.format("doc_id, line, 'conf'")} % 110 > 100 THEN 'confidence is not in [0, 1]' END AS reason FROM l)
+    SELECT coalesce(reason, 'good') AS reason, count(*) AS n FROM r GROUP BY 1"""
+)
+def valid_regions(spark, sf_dir):
+    """Regions with some broken boxes and confidences, divided into good and rejected ones."""
+    l = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))  # noqa: E741
+    point = F.array(F.lit(0.0), F.lit(0.0))
+    made = l.select(F.when(draw(F.col("doc_id"), F.col("line"), "box") % 20 == 0, F.array(point, point)).otherwise(F.array(point, point, point, point)).alias("box"), (draw(F.col("doc_id"), F.col("line"), "conf") % 110 / 100.0).alias("confidence"))
+    good, bad = validate.validate_regions(made)
+    return good.select(F.lit("good").alias("reason")).unionByName(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+IMAGES = "SELECT 'd' || (doc_id % 10) AS dir, 'doc_' || doc_id AS stem, 'd' || (doc_id % 10) || '/doc_' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.jpg' ELSE '.tif' END AS path FROM documents"
+NOTES = "SELECT 'd' || (doc_id % 10) AS dir, 'doc_' || doc_id AS stem, 'd' || (doc_id % 10) || '/doc_' || doc_id || k AS gt FROM labels, (VALUES ('.json'), ('.xml')) AS x(k) WHERE (k = '.json' AND quality = 1) OR (k = '.xml' AND doc_id % 2 = 0)"
+
+
+def _files(spark, sf_dir):
+    place = F.concat(F.lit("d"), (F.col("doc_id") % 10).cast("string"))
+    stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    ext = F.when(F.col("doc_id") % 3 == 0, ".PNG").when(F.col("doc_id") % 3 == 1, ".jpg").otherwise(".tif")
+    images = table(spark, sf_dir, "documents").select(place.alias("dir"), stem.alias("stem"), F.concat_ws("/", place, F.concat(stem, ext)).alias("path"))
+    l = table(spark, sf_dir, "labels").select("doc_id", "quality", F.explode(F.array(F.lit(".json"), F.lit(".xml"))).alias("ext"))  # noqa: E741
+    l = l.where("(ext = '.json' and quality = 1) or (ext = '.xml' and doc_id % 2 = 0)")  # noqa: E741
+    return images, l.select(place.alias("dir"), stem.alias("stem"), "ext", F.concat(place, F.lit("/"), stem, F.col("ext")).alias("path"))
+
+
+@query(f"WITH i AS ({IMAGES}), n AS ({NOTES}), b AS (SELECT dir, stem, coalesce(min(CASE WHEN gt LIKE '%.json' THEN gt END), min(gt)) AS gt_path FROM n GROUP BY dir, stem) SELECT i.path, b.gt_path FROM i JOIN b USING (dir, stem)")
+def pair_annotations(spark, sf_dir):
+    return pairing.pair_annotations(*_files(spark, sf_dir)).select("path", "gt_path")
+
+
+@query(f"WITH i AS ({IMAGES}), n AS ({NOTES}) SELECT path FROM i WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.dir = i.dir AND n.stem = i.stem)")
+def unpaired_images(spark, sf_dir):
+    return pairing.unpaired_images(*_files(spark, sf_dir)).select("path")
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(u, '(.)\.[^./]*$', '\1'), '/', '_', 'g') AS stem, regexp_matches(lower(u), '\.(png|jpg|jpeg|bmp|tiff|tif|pdf)$') AS is_image FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.pdf' ELSE '.txt' END AS u FROM pages)")
+def output_stems(spark, sf_dir):
+    name = F.concat("url", F.when(F.col("page_id") % 3 == 0, ".PNG").when(F.col("page_id") % 3 == 1, ".pdf").otherwise(".txt"))
+    return table(spark, sf_dir, "pages").select("page_id", output_stem(name).alias("stem"), is_image_name(name, with_pdf=True).alias("is_image"))
+
+
+# ---- expansion, naming, splits
+
+
+@query("SELECT item_id AS source_idx, c AS copy, item_id * 3 + c AS out_idx, md5(text) AS text_md5 FROM benchmark, range(3) AS r(c)")
+def per_template(spark, sf_dir):
+    df = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_idx"), F.md5("text").alias("text_md5"))
+    return ex.expand_per_template(df, 3).select("source_idx", F.col("copy").cast("long").alias("copy"), "out_idx", "text_md5")
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM documents), d AS (SELECT i AS out_idx, {D_DRAW.format('7, i')} % n AS source_idx FROM n, range(0, 2 * (SELECT count(*) FROM documents)) AS r(i)),
+    s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS source_idx FROM documents) SELECT out_idx, doc_id FROM d JOIN s USING (source_idx)""")
+def random_sample(spark, sf_dir):
+    """Twice as many draws with replacement as there are documents."""
+    docs = ex.ranked(table(spark, sf_dir, "documents").select("doc_id"), [F.col("doc_id")], "source_idx")
+    n = docs.count()
+    return ex.sample_with_replacement(spark, docs, n, 2 * n, 7).select("out_idx", "doc_id")
+
+
+@query("SELECT doc_id AS out_idx, source || '_' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)")
+def name_outputs(spark, sf_dir):
+    return ex.name_outputs(table(spark, sf_dir, "documents").select(F.col("source").alias("stem"), F.col("doc_id").alias("out_idx"))).select("out_idx", "name")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 8")
+def preview_rows(spark, sf_dir):
+    return ex.preview_rows(table(spark, sf_dir, "documents").select("doc_id", "lang"), by="doc_id")
+
+
+@query(f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {D_DRAW.format('11, doc_id')}, doc_id) - 1 AS k, greatest(1, (count(*) OVER () * 0.1)::INTEGER) AS n FROM documents)
+    SELECT doc_id, CASE WHEN k < greatest(1, floor((SELECT count(*) FROM documents) * 0.1)) THEN 'test' WHEN k < 2 * greatest(1, floor((SELECT count(*) FROM documents) * 0.1)) THEN 'val' ELSE 'train' END AS part FROM r""")
+def split_documents(spark, sf_dir):
+    parts = ex.split(table(spark, sf_dir, "documents").select("doc_id"), 0.1, 0.1, 11, "doc_id")
+    named = [p.select("doc_id", F.lit(n).alias("part")) for n, p in zip(("train", "val", "test"), parts, strict=True)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query("SELECT page_id, substr(sha256(html), 1, 16) AS digest, length(html) AS n FROM pages")
+def compute_once(spark, sf_dir):
+    """Lengths of pages, computed once for equal ones; every fifth asks anew."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content"), F.lit("length").alias("effect"), F.lit("{}").alias("params"), (F.col("page_id") % 5 == 0).alias("refresh"))
+    out = ex.compute_once(pages, lambda t: t.select("key", F.length("content").cast("long").alias("n")))
+    return out.select("page_id", F.substring_index("key", ":", 1).alias("digest"), "n")
+
+
+@query("SELECT conv_id, turn_at AS page_index, 'conv_' || conv_id || CASE WHEN n > 1 THEN ' — page ' || (turn_at + 1) ELSE '' END AS label, text AS page FROM (SELECT conv_id, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1) AS turn_at, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)")
+def expand_pages(spark, sf_dir):
+    """Turns as pages: gathered for each conversation and expanded to a row per page."""
+    conv = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("pages"))
+    named = conv.withColumn("name", F.concat(F.lit("conv_"), F.col("conv_id").cast("string")))
+    return regions.expand_pages(named).select("conv_id", F.col("page_index").cast("long").alias("page_index"), "label", "page")
+
+
+# ---- parameters, geometry, effects
+
+
+@query(f"""WITH r AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: least(1.0, greatest(0.0, (x::DOUBLE + 1) / 2))) AS a FROM embeddings)
+    SELECT vec_id, round(a[7] * 20, 9) AS noise_sigma_max, greatest(2, floor(a[7] * 20))::INTEGER AS sigma_high, round(greatest(0.01, a[2]), 9) AS intensity_high, round(greatest(0.5, 1 - a[10] * 0.4), 9) AS brightness_low, round(least(1.5, 1 + a[10] * 0.4), 9) AS brightness_high FROM r""")
+def action_params(spark, sf_dir):
+    p = table(spark, sf_dir, "embeddings").select("vec_id", action_to_params(_action(F.col("embedding"))).alias("p"))
+    return p.select("vec_id", *[F.round(f"p.{c}", 9).alias(c) for c in ("noise_sigma_max", "intensity_high", "brightness_low", "brightness_high")], "p.sigma_high")
+
+
+def _action(embedding: Column) -> Column:
+    return F.transform(F.slice(embedding, 1, 12), lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x.cast("double") + 1) / 2)))
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(props AS JSON)->>'k', '0') AS k, '1.0' AS p, user_id % 2 = 0 AS is_range FROM events")
+def merged_params(spark, sf_dir):
+    """Parameters of events over defaults, p always 1.0; every second has a range."""
+    default = F.create_map(F.lit("p"), F.lit("0.9"), F.lit("k"), F.lit("0"))
+    merged = merge_params(default, parse_params(F.col("props")))
+    pair = as_range(F.when(F.col("user_id") % 2 == 0, F.lit("[1, 2.5]")).otherwise(F.lit("3")))
+    return table(spark, sf_dir, "events").select("event_id", merged["k"].alias("k"), merged["p"].alias("p"), pair.isNotNull().alias("is_range"))
+
+
+@query("""SELECT doc_id, n_chars % 7 + 0.0 AS x1, n_chars % 7 + greatest(1.0, n_chars % 50 - 5.0) AS x_end, ((1 - n_chars % 101 / 100.0) * 255)::DECIMAL(9,4)::DOUBLE AS red_exact,
+    CASE WHEN greatest(n_chars, 500) <= 900 THEN n_chars ELSE floor(n_chars * (900.0 / greatest(n_chars, 500)))::BIGINT END AS preview_w, round(n_chars % 7 * 72 / 150.0, 9) AS point_x, round((10 + 0.8 * 12) * 72 / 150.0, 9) AS baseline FROM documents""")
+def geometry(spark, sf_dir):
+    """Boxes made of text lengths: geometry, page points, preview size, colour."""
+    n = F.col("n_chars")
+    x = (n % 7).cast("double")
+    corner = lambda a, b: F.array(a, F.lit(float(b)))
+    box = F.array(corner(x, 10), corner(x + n % 50 - 5, 10), corner(x + n % 50 - 5, 30), corner(x, 30))
+    g, point = box_geometry(box), to_page_points(box, F.lit(12), F.lit("#102030"), 150.0, F.lit("x"))
+    red = F.round((1 - n % 101 / 100.0) * 255, 4)
+    size = preview_size(n, F.lit(500).cast("long"), 900)
+    return table(spark, sf_dir, "documents").where(confidence_color(n % 101 / 100.0)["b"] == 0).select("doc_id", g["x1"].alias("x1"), (g["x1"] + g["w"]).alias("x_end"), red.alias("red_exact"), size["w"].cast("long").alias("preview_w"), F.round(point["x"], 9).alias("point_x"), F.round(point["baseline"], 9).alias("baseline"))
+
+
+def _effect_values() -> str:
+    rows = [(n, phase) for phase, names in (("ink", effects.INK), ("paper", effects.PAPER), ("post", effects.POST)) for n in names if n not in effects.DISABLED]
+    return ", ".join(f"('{n}', '{phase}')" for n, phase in rows)
+
+
+@query(f"WITH e(effect, phase) AS (VALUES {_effect_values()}) SELECT event_id, effect, phase FROM events JOIN (SELECT *, row_number() OVER (ORDER BY effect) - 1 AS k FROM e) USING (k) ".replace("FROM events JOIN", "FROM (SELECT event_id, user_id % 50 AS k FROM events) JOIN"))
+def effects_of_events(spark, sf_dir):
+    """Each event's effect from the enabled catalogue, by user."""
+    enabled = validate.enabled_effects(effects.effects_table(spark))
+    names = sorted(r["effect"] for r in enabled.collect())
+    keyed = enabled.withColumn("k", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("effect")) - 1)
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 50).alias("k"))
+    return events.join(F.broadcast(keyed), "k").select("event_id", "effect", "phase")
+
+
+# ---- synthetic forms
+
+FORM = """{"respondents": [{"respondent_id": "default", "display_name": "A", "field_types": [{"id": "standard", "name": "s", "font_family": "Sans", "font_size_range": [10, 14], "font_color": "#000000", "fill_style": "typed", "jitter_x": 0.0, "jitter_y": 0.0}, {"id": "stamp", "name": "t", "font_family": "Sans", "font_size_range": [16, 20], "font_color": "#00008B", "fill_style": "stamp", "jitter_x": 0.05, "jitter_y": 0.05}]}],
+"zones": [{"zone_id": "z1", "label": "name", "box": [[0, 0], [200, 0], [200, 30], [0, 30]], "faker_provider": "full_name"},
+{"zone_id": "z2", "label": "price", "box": [[0, 40], [200, 40], [200, 70], [0, 70]], "faker_provider": "price_medium", "alignment": "right"},
+{"zone_id": "z3", "label": "choice", "box": [[0, 80], [200, 80], [200, 110], [0, 110]], "custom_values": ["yes", "no", "maybe"], "field_type_id": "stamp"},
+{"zone_id": "z4", "label": "tick", "box": [[0, 120], [20, 120], [20, 140], [0, 140]], "faker_provider": "checkbox_checked", "alignment": "center"},
+{"zone_id": "z5", "label": "code", "box": [[0, 160], [200, 160], [200, 190], [0, 190]], "faker_provider": "bothify:??-####"},
+{"zone_id": "z6", "label": "day", "box": [[0, 200], [200, 200], [200, 230], [0, 230]], "faker_provider": "date_written"}]}"""
+
+
+def form(spark: SparkSession):
+    return annotations.read_config(spark, spark.createDataFrame([(FORM,)], "json string"))
+
+
+def _filled(spark, sf_dir) -> DataFrame:
+    """The form filled for every customer: the customer's key is the document's seed."""
+    _, types, zones = form(spark)
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("seed"))
+    return synth.filled_zones(docs.crossJoin(F.broadcast(zones)), types)
+
+
+@query(
+    f"""SELECT c_custkey AS seed, z AS zone_id, CASE z WHEN 'z3' THEN (['yes', 'no', 'maybe'])[{D_DRAW.format('c_custkey')} % 3 + 1] WHEN 'z4' THEN '☑' ELSE '$' || format('{{:,}}', 100 + {D_DRAW.format("c_custkey, 'z2', 'price'")} % 9900) || '.' || lpad(({D_DRAW.format("c_custkey, 'z2', 'cents'")} % 100)::VARCHAR, 2, '0') END AS text,
+    CASE z WHEN 'z3' THEN 16 + {D_DRAW.format("c_custkey, 'default', 'stamp'")} % 5 ELSE 10 + {D_DRAW.format("c_custkey, 'default', 'standard'")} % 5 END AS font_size FROM customer, (VALUES ('z2'), ('z3'), ('z4')) AS t(z)"""
+)
+def zone_text_and_style(spark, sf_dir):
+    return _filled(spark, sf_dir).where(F.col("zone_id").isin("z2", "z3", "z4")).select("seed", "zone_id", "text", F.col("font_size").cast("long").alias("font_size"))
+
+
+@query()
+def synth_documents(spark, sf_dir):
+    """Annotations of the filled forms; names, patterns and dates are this library's own draws."""
+    docs = synth.build_annotations(_filled(spark, sf_dir))
+    return docs.select("seed", "text", F.size("regions").alias("n_regions"), "synthetic")
+
+
+@query()
+def placement(spark, sf_dir):
+    """Where texts start in their boxes."""
+    return _filled(spark, sf_dir).select("seed", "zone_id", "shown", F.round("at.x", 6).alias("x"), F.round("at.y", 6).alias("y"))
+
+
+@query("SELECT c_custkey AS seed, 'ghost' AS respondent_id FROM customer WHERE c_custkey % 5 = 0")
+def missing_styles(spark, sf_dir):
+    """Zones whose respondent has no style."""
+    _, types, _ = form(spark)
+    zones = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("seed"), F.when(F.col("c_custkey") % 5 == 0, "ghost").otherwise("default").alias("respondent_id"), F.lit("standard").alias("field_type_id"))
+    return validate.missing_styles(zones, types).select("seed", "respondent_id")
+
+
+@query("SELECT c_custkey AS seed, c_custkey % 3 <> 2 AS known FROM customer")
+def attach_identity(spark, sf_dir):
+    """Zones with their respondent's identity, the default one, or none."""
+    seeds = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("seed"))
+    people = spark.createDataFrame([("a",), ("default",)], "respondent_id string")
+    known = synth.identities(seeds, people).where("not (seed % 3 = 2 and respondent_id = 'default')")
+    zones = seeds.withColumn("respondent_id", F.when(F.col("seed") % 3 == 0, "a").otherwise("ghost"))
+    return synth.attach_identity(zones, known).select("seed", F.col("who").isNotNull().alias("known"))
+
+
+# ---- degradation
+
+
+def _degraded(spark, sf_dir, name):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    out = dg.degrade(docs, name, 5)
+    return out.select("doc_id", F.size("applied").alias("n_applied"), F.md5("degraded").alias("degraded_md5"), F.length("degraded").alias("n_chars"))
+
+
+@query()
+def degrade_light(spark, sf_dir):
+    return _degraded(spark, sf_dir, "light")
+
+
+@query()
+def degrade_heavy(spark, sf_dir):
+    return _degraded(spark, sf_dir, "heavy")
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(text, 'rn', 'm'), 'cl', 'd'), 'vv', 'w')) AS degraded_md5 FROM documents")
+def degrade_look_alikes(spark, sf_dir):
+    """One effect with certainty: look-alike pairs run together."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(dg.rule("InkBleed", F.col("text"), F.lit(1.0), 5, F.col("doc_id"))).alias("degraded_md5"))
+
+
+@query()
+def degrade_chain(spark, sf_dir):
+    """Given effects in the given order, on conversations."""
+    conv = spread(table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn")), "id")
+    return dg.degrade_chain(conv, ["Gamma", "Brightness", "InkBleed"], 3, {"Brightness": (0.8, 1.2)}, key="id").select("conv_id", "turn", F.array_join("applied", ",").alias("applied"), F.md5("degraded").alias("degraded_md5"))
+
+
+@query()
+def sweep_best_params(spark, sf_dir):
+    """The best of eight candidate vectors for each benchmark text."""
+    docs = spread(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), "doc_id")
+    actions = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(8).select(F.col("vec_id").alias("action_id"), _action(F.col("embedding")).alias("action"))
+    return ev.best_params(sweep.sweep(docs, actions), "doc_id").withColumn("reward", F.round("reward", 9))
+
+
+# ---- logs and streams
+
+
+@query("SELECT event_id // 100 AS bucket, round(avg(value), 6) AS mean_reward, count(*) AS n, max(event_id) AS last_step, round(least(max(event_id) / 10000.0, 1.0), 9) AS progress FROM events GROUP BY 1")
+def reward_curve(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("value").alias("reward"))
+    return ev.reward_curve(log, 100, 10_000).withColumn("mean_reward", F.round("mean_reward", 6)).withColumn("progress", F.round("progress", 9))
+
+
+@query("SELECT user_id, count(*) AS n_items, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS elapsed, CASE WHEN max(ts) > min(ts) THEN round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) END AS per_second FROM events GROUP BY user_id")
+def run_stats(spark, sf_dir):
+    return ev.run_stats(table(spark, sf_dir, "events"), "user_id").withColumn("elapsed", F.round("elapsed", 6)).withColumn("per_second", F.round("per_second", 9))
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.col("value").alias("progress"), "value", "event_type")
+
+
+@query("SELECT user_id, arg_max(event_type, {'ts': ts, 'id': event_id}) AS status, max(value) AS progress FROM events GROUP BY user_id")
+def latest_status(spark, sf_dir):
+    return jobs.latest_status(_events(spark, sf_dir), "user_id")
+
+
+@query("SELECT user_id, arg_max(event_type, {'ts': ts, 'id': event_id}) AS status, max(value) AS progress FROM events GROUP BY user_id")
+def stream_status(spark, sf_dir):
+    """The same from a stream in update mode: of each job the row of the last micro-batch."""
+    out = jobs.run_to_end(jobs.latest_status(_event_stream(spark, sf_dir), "user_id"), shared_path(spark, "status"), "update")
+    return out.groupBy("user_id").agg(F.max_by("status", "epoch").alias("status"), F.max_by("progress", "epoch").alias("progress"))
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    raw = spark.readStream.schema(spark.read.parquet(path).schema)
+    # the file source takes folders: a single file is one through its name as a pattern
+    return raw.parquet(path.replace("events.parquet", "events*.parquet")).select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.col("value").alias("progress"), "value", "event_type")
+
+
+QUALITY = "SELECT time_bucket(INTERVAL '6 hours', ts::TIMESTAMP, TIMESTAMP '1970-01-01')::VARCHAR AS window_start, event_type, round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+def _quality(df: DataFrame) -> DataFrame:
+    return df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", F.round("mean_value", 6).alias("mean_value"), "n")
+
+
+@query(QUALITY)
+def windowed_quality(spark, sf_dir):
+    return _quality(jobs.windowed_quality(_events(spark, sf_dir), "6 hours", "1 hour", "event_type"))
+
+
+@query()
+def stream_quality(spark, sf_dir):
+    """The same from a stream in append mode: windows that the watermark has passed."""
+    stream = jobs.windowed_quality(_event_stream(spark, sf_dir), "6 hours", "1 hour", "event_type")
+    return _quality(jobs.run_to_end(stream, shared_path(spark, "quality")))
+
+
+# ---- images made of text, and user functions
+
+
+def _grids(spark, sf_dir) -> DataFrame:
+    """Texts as grey images 64 wide: each byte is a point."""
+    data = F.col("text").cast("binary")
+    height = F.greatest(F.lit(8), F.ceil(F.length(data) / 64)).cast("int")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), height.alias("height"), F.lit(64).alias("width"), F.rpad(data, height * 64, F.lit(b"\x00")).alias("data"))
+
+
+@query()
+def image_effects(spark, sf_dir):
+    out = None
+    for effect, amount in zip(im.EFFECTS, (1.2, 0.8, 5.0, 8.0, 3.0, 0.0, 0.5), strict=True):
+        one = im.augment_images(_grids(spark, sf_dir), effect, amount).select("id", F.lit(effect).alias("effect"), F.md5("data").alias("data_md5"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def ssim_pairs(spark, sf_dir):
+    grids = _grids(spark, sf_dir)
+    return im.ssim(grids, im.augment_images(grids, "NoiseTexturize", 8.0)).withColumn("ssim", F.round("ssim", 9))
+
+
+class _Reader:
+    """A stand-in for a model: reads a text in small letters and refuses those with a digit."""
+
+    def recognize(self, value: str) -> dict:
+        if any(c.isdigit() for c in value):
+            raise ValueError("a digit")
+        return {"text": value.lower(), "scores": [len(value) / (len(value) + 1)]}
+
+
+@query("SELECT item_id AS id, CASE WHEN NOT regexp_matches(text, '[0-9]') THEN md5(lower(text)) END AS text_md5, regexp_matches(text, '[0-9]') AS failed FROM benchmark")
+def recognize(spark, sf_dir):
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("data"))
+    return user.recognize(texts, _Reader).select("id", F.md5("text").alias("text_md5"), F.col("error").isNotNull().alias("failed"))
 
 
-def oracle_sql():
-    return {}
