@@ -19,9 +19,11 @@ WORDS, PERCENT = 5, 75
 #: Cells of the table of shingle counts, and of one row of it on its way.
 CELLS, BLOCK = 1 << 20, 1 << 15
 #: Prefixes are lengthened by one of these numbers of shingles, which is also how many shared ones they then require.
-LENGTHS = (1, 2, 4, 8, 16)
+LENGTHS = (1, 2, 4, 8)
 #: What a verified candidate costs, in prefix shingles looked up.
 VERIFY = 40
+#: Sets of one shingle whose pairs are looked at one by one.
+FEW = 64
 
 
 def shingles(texts: list[bytes], hashes: WordHashes, k: int = WORDS) -> list[np.ndarray]:
@@ -78,6 +80,10 @@ def excess(counts: np.ndarray) -> np.ndarray:
     return np.where(over > 4 * np.sqrt(counts.mean()) + 4, over, 0).astype(np.float32)
 
 
+#: Tokens from here on are shingles that occur in excess.
+FREQUENT = 1 << 58
+
+
 def prefix(s: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, int]:
     """(the prefix of a set, the number of shared shingles it requires).
 
@@ -105,13 +111,14 @@ def prefix(s: np.ndarray, over: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def index(docs: DataFrame, over) -> DataFrame:
-    """(token, node, n, l): the prefixes of docs(text) by their set keys; sets that occur again in a task are left out there."""
+    """(token, node, n, l, at, rare): the prefixes of docs(text) by their set keys, with each token's place and the number of those that
+    are not FREQUENT; sets that occur again in a task are left out there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, done = WordHashes(), set()
         for batch in batches:
             for _, part in portions(batch.column(0)):
-                tokens, nodes, sizes, lengths = [], [], [], []
+                tokens, rows = [], []
                 for s in shingles(part, hashes):
                     if not len(s) or (key := set_key(s)) in done:
                         continue
@@ -120,20 +127,37 @@ def index(docs: DataFrame, over) -> DataFrame:
                     done.add(key)
                     t, l = prefix(s, over.value)  # noqa: E741
                     tokens.append(t)
-                    nodes.append(np.full(len(t), key))
-                    sizes.append(np.full(len(t), len(s)))
-                    lengths.append(np.full(len(t), l))
+                    rows.append((key, len(s), l, int(np.searchsorted(t, np.uint64(FREQUENT)))))
                 if tokens:
-                    cols = [np.concatenate(tokens).view(np.int64), *(np.concatenate(c).astype(k) for c, k in ((nodes, np.int64), (sizes, np.int32), (lengths, np.int32)))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "node", "n", "l"])
+                    each = [len(t) for t in tokens]
+                    cols = [np.repeat(np.array(c, k), each) for c, k in zip(zip(*rows, strict=True), (np.int64, np.int32, np.int32, np.int32), strict=True)]
+                    place = np.concatenate([np.arange(m, dtype=np.int32) for m in each])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(tokens).view(np.int64), *cols[:3], place, cols[3])], names=["token", "node", "n", "l", "at", "rare"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int, l int")
+    return docs.select("text").mapInArrow(run, "token long, node long, n int, l int, at int, rare int")
 
 
 def similar_size(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def shared_needed(a: Column, b: Column) -> Column:
+    """Shingles that sets of these sizes share at least when they are similar: ceil(PERCENT (a + b) / (100 + PERCENT))."""
+    return F.floor((PERCENT * (a + b) + 99 + PERCENT) / (100 + PERCENT))
+
+
+def may_match(token: Column, x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Whether a shared prefix shingle can be one of the first that two similar sets share.
+
+    The k-th shared shingle leaves k - 1 before it and no more than the rest of either set; k goes up to the smaller
+    requirement. And where both prefixes reach FREQUENT shingles (as they do if they share one), no rarer shingle of either set that no other
+    prefix has is in the other set: most is a set's size without these.
+    """
+    needed = shared_needed(x["n"], y["n"])
+    place = F.least(x["n"] - x["at"], y["n"] - y["at"]) >= needed - F.least(x["l"], y["l"]) + 1
+    return similar_size(x["n"], y["n"]) & place & ((token < FREQUENT) | (F.least(x["most"], y["most"]) >= needed))
+
+
 def candidates(pairs: DataFrame) -> DataFrame:
     """Distinct (a, b) of pairs(a, b, la, lb), one row per shared prefix shingle, that share as many as the smaller requirement."""
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("la", "lb")).alias("needs")).where("shared >= needs").select("a", "b")
@@ -201,27 +225,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     by_token = Window.partitionBy("token")
     found = index(docs.select(F.col("text").cast("binary").alias("text")), over)
-    shared = stored(found.withColumn("lo", F.min("node").over(by_token)).withColumn("hi", F.max("node").over(by_token)).where("lo < hi").select("token", "node", "n", "l"), "shared")
-    here = by_token.orderBy("n", "node")
-    near = shared.select("node", "n", "l", *[f(F.struct("node", "n", "l")).over(here).alias(name) for name, f in (("head", F.first), ("prev", F.lag))])
+    found = found.withColumn("lo", F.min("node").over(by_token)).withColumn("hi", F.max("node").over(by_token)).where("lo < hi").drop("lo", "hi")
+    # copies of a set from several tasks are one
+    shared = stored(found.dropDuplicates(["token", "node"]), "shared")
+    alone = stored(shared.groupBy("node").agg((F.first("rare") - F.sum((F.col("token") < FREQUENT).cast("int"))).alias("alone")), "alone")
+    rows = with_ids(shared, alone, "node", "inner").withColumn("most", (F.col("n") - F.col("alone")).cast("int")).drop("alone", "rare")
+    # a set that cannot even reach the smallest one beside it has no partner there
+    reach = F.floor(F.col("most") * (100 + PERCENT) / PERCENT) - F.col("n")
+    rows = rows.withColumn("smallest", F.min("n").over(by_token)).where((F.col("token") < FREQUENT) | (reach >= F.col("smallest"))).drop("smallest")
+    rows = stored(rows, "rows")
+    # the sets with the least shingles of their own come first: of a group of edited copies those nearest to the original
+    here = by_token.orderBy((F.col("n") - F.col("most")), F.desc("n"), "node")
+    item = F.struct("node", "n", "l")
+    near = rows.select("node", "n", "l", F.first(item).over(here).alias("head"), F.lag(item).over(here).alias("prev"))
     near = near.select("node", "n", "l", F.explode(F.array_distinct(F.array("head", "prev"))).alias("o")).where(F.col("o").isNotNull() & (F.col("o.node") != F.col("node")) & similar_size(F.col("n"), F.col("o.n")))
     near = near.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), F.col("l").alias("la"), F.col("o.l").alias("lb"))
     links = verified(candidates(near), sets, docs)
 
     groups = stored(components(links), "components")
-    placed = stored(shared.distinct().join(groups, "node", "left").select("token", "node", "n", "l", F.coalesce("component", "node").alias("c")), "placed")
-    mixed = placed.select("*", F.min("c").over(by_token).alias("lo"), F.max("c").over(by_token).alias("hi")).where("lo < hi").select("token", "node", "n", "l", "c")
+    placed = rows.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    mixed = placed.select("*", F.min("c").over(by_token).alias("lo"), F.max("c").over(by_token).alias("hi"), F.count(F.lit(1)).over(by_token).alias("many")).where("lo < hi").drop("lo", "hi")
     mixed = stored(mixed, "mixed")
-    # components first, so that pairs within one are not even looked at
-    there = mixed.select("token", "c").distinct()
-    across = there.select("token", F.col("c").alias("ca")).join(there.select("token", F.col("c").alias("cb")), "token").where("ca < cb")
-    left = mixed.select("token", F.col("c").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("l").alias("la"))
-    right = mixed.select("token", F.col("c").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("l").alias("lb"))
-    met = across.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(similar_size(F.col("nx"), F.col("ny")))
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "la", "lb")
-    more = verified(candidates(met), sets, docs)
+    columns = ["token", "node", "n", "l", "at", "most", "c"]
+    side = lambda df, s: df.select(*[F.col(x).alias(x + s) for x in columns])
+    pair = lambda s: {x: F.col(x + s) for x in columns}
+    # a shingle of few sets: all pairs of components; of many: first which components meet, so that pairs within one are not even looked at
+    few, many = mixed.where(F.col("many") <= FEW), mixed.where(F.col("many") > FEW)
+    x, y = side(few, "_x"), side(few, "_y")
+    met = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("c_x") < F.col("c_y")) & may_match(F.col("token_x"), pair("_x"), pair("_y")))
+    there = many.select("token", "c").distinct()
+    across = there.select(F.col("token").alias("t"), F.col("c").alias("ca")).join(there.select(F.col("token").alias("t"), F.col("c").alias("cb")), "t").where("ca < cb")
+    x, y = side(many, "_x"), side(many, "_y")
+    large = across.join(x, (F.col("t") == F.col("token_x")) & (F.col("ca") == F.col("c_x"))).join(y, (F.col("t") == F.col("token_y")) & (F.col("cb") == F.col("c_y")) & may_match(F.col("token_x"), pair("_x"), pair("_y")))
+    ends = [F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), F.col("l_x").alias("la"), F.col("l_y").alias("lb")]
+    more = verified(candidates(met.select(*ends).unionByName(large.select(*ends))), sets, docs)
 
     nodes = stored(components(links.unionByName(more)), "components")
+    rows = first.where(F.col("block").isNull()).select("doc_id", "n", "key")
     least = sets.join(nodes, F.col("key") == F.col("node")).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stored(nodes.join(least, "component").select("node", "component_id"), "named")
     known = with_group(rows.where("key <> 0"), "key", least=F.min("doc_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hot_keys, stored, with_group, with_ids
-from .text import mixed, portions
+from .text import least_places, mixed, portions
 
 #: Bytes of a repeated string, and of the grams of which the one with the least hash stands for a window.
 LENGTH, GRAM = 200, 96
@@ -147,21 +147,6 @@ class Grams:
             return mixed((sums[GRAM:] - sums[:-GRAM]) * self.back[: n - GRAM + 1])
 
 
-def least_places(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of width entries of h the place of its leftmost least entry, from doubling spans."""
-    n = len(h) - width + 1
-    best, at, span = h.copy(), np.arange(len(h)), 1
-    while span * 2 <= width:
-        left, right = best[:-span], best[span:]
-        later = right < left
-        at = np.where(later, at[span:], at[:-span])
-        best = np.minimum(left, right)
-        span *= 2
-    rest = width - span
-    later = best[rest : rest + n] < best[:n]
-    return np.where(later, at[rest : rest + n], at[:n])
-
-
 def window_runs(data: bytes, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begins, ends, hash): the windows of data by the gram that stands for them; each run of windows [begin, end) has one."""
     h = grams.of(data)

@@ -35,10 +35,25 @@ def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mixed(out)
 
 
+def least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """For each window of width entries of h the place of its leftmost least entry, from doubling spans."""
+    n = len(h) - width + 1
+    best, at, span = h.copy(), np.arange(len(h)), 1
+    while span * 2 <= width:
+        left, right = best[:-span], best[span:]
+        later = right < left
+        at = np.where(later, at[span:], at[:-span])
+        best = np.minimum(left, right)
+        span *= 2
+    rest = width - span
+    later = best[rest : rest + n] < best[:n]
+    return np.where(later, at[rest : rest + n], at[:n])
+
+
 class WordHashes:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of texts; those of words seen lately are remembered."""
 
-    MOST = 500_000
+    MOST = 800_000
 
     def __init__(self):
         self.seen: dict[bytes, int] = _Hashes()
@@ -55,7 +70,7 @@ class _Hashes(dict):
         return h
 
 
-def portions(column: pa.Array, most_bytes: int = 4 << 20):
+def portions(column: pa.Array, most_bytes: int = 2 << 20):
     """(first row, texts) of a column, about most_bytes of text at a time, in one piece each text."""
     part, first, size = [], 0, 0
     for i in range(len(column)):
@@ -67,3 +82,38 @@ def portions(column: pa.Array, most_bytes: int = 4 << 20):
             part, first, size = [], i + 1, 0
     if part:
         yield first, part
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_BASE = 0x9E3779B97F4A7C15
+_powers: dict[str, np.ndarray] = {}
+#: Words longer than this are hashed one by one.
+LONG_WORD = 64
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2**64."""
+    if len(_powers.get("up", ())) < n:
+        n = max(n, 1 << 20)
+        for name, base in (("up", _BASE), ("back", pow(_BASE, -1, 1 << 64))):
+            with np.errstate(over="ignore"):
+                _powers[name] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
+    return _powers["up"], _powers["back"]
+
+
+def word_hashes(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words [^\\x20\\x09-\\x0D]+ of all texts in order, number of words of each text), from running sums of bytes."""
+    data = b"\n".join(texts_)
+    raw = np.frombuffer(data, np.uint8)
+    up, back = powers(len(raw) + 1)
+    edge = np.diff(np.concatenate([[True], _IS_SPACE[raw], [True]]).view(np.int8))
+    starts, ends = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+        h = mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.nonzero(ends - starts > LONG_WORD)[0]:
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts_])
+    return h, np.diff(np.searchsorted(starts, bounds))
