@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stored, with_group, with_ids
-from .text import WordHashes, portions, windows
+from .text import portions, windows, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: Cells of the table of shingle counts, and of one row of it on its way.
-CELLS, BLOCK = 1 << 20, 1 << 15
+CELLS, BLOCK = 1 << 22, 1 << 16
 #: Prefixes are lengthened by one of these numbers of shingles, which is also how many shared ones they then require.
 LENGTHS = (1, 2, 4, 8)
 #: What a verified candidate costs, in prefix shingles looked up.
@@ -26,14 +26,12 @@ VERIFY = 40
 FEW = 64
 
 
-def shingles(texts: list[bytes], hashes: WordHashes, k: int = WORDS) -> list[np.ndarray]:
+def shingles(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingles of each text: of k words each, of the whole sequence where there are fewer, none without words."""
-    split = [t.lower().split() for t in texts]
-    flat = hashes.of([w for words in split for w in words])
+    flat, each = word_hashes([t.lower() for t in texts])
     whole = windows(flat, k)
     out, at = [], 0
-    for words in split:
-        n = len(words)
+    for n in each.tolist():
         h = whole[at : at + n - k + 1].copy() if n >= k else windows(flat[at : at + n], n, seed=n) if n else np.empty(0, np.uint64)
         h.sort()
         out.append(h[np.concatenate([[True], h[1:] != h[:-1]])] if n else h)
@@ -50,11 +48,11 @@ def set_key(s: np.ndarray) -> int:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of two kinds: a document's set (doc_id, n, key), and blocks of the table of counts."""
-    hashes, table = WordHashes(), np.zeros(CELLS, np.int64)
+    table = np.zeros(CELLS, np.int64)
     names = ["doc_id", "n", "key", "block", "counts"]
     for batch in batches:
         for first, part in portions(batch.column(1)):
-            sets = shingles(part, hashes)
+            sets = shingles(part)
             table += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             keys = pa.array([set_key(s) for s in sets], pa.int64())
             nulls = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
@@ -115,11 +113,11 @@ def index(docs: DataFrame, over) -> DataFrame:
     are not FREQUENT; sets that occur again in a task are left out there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, done = WordHashes(), set()
+        done = set()
         for batch in batches:
             for _, part in portions(batch.column(0)):
                 tokens, rows = [], []
-                for s in shingles(part, hashes):
+                for s in shingles(part):
                     if not len(s) or (key := set_key(s)) in done:
                         continue
                     if len(done) > 200_000:
@@ -164,13 +162,13 @@ def candidates(pairs: DataFrame) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, known, held = WordHashes(), OrderedDict(), 0
+    known, held = OrderedDict(), 0
 
     def of(key: int, text) -> np.ndarray:
         nonlocal held
         s = known.get(key)
         if s is None:
-            s = known[key] = shingles([text.as_buffer().to_pybytes()], hashes)[0]
+            s = known[key] = shingles([text.as_buffer().to_pybytes()])[0]
             held += s.nbytes
             while held > 64 << 20 and len(known) > 1:
                 held -= known.popitem(last=False)[1].nbytes
@@ -253,8 +251,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     few, many = mixed.where(F.col("many") <= FEW), mixed.where(F.col("many") > FEW)
     x, y = side(few, "_x"), side(few, "_y")
     met = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("c_x") < F.col("c_y")) & may_match(F.col("token_x"), pair("_x"), pair("_y")))
-    there = many.select("token", "c").distinct()
-    across = there.select(F.col("token").alias("t"), F.col("c").alias("ca")).join(there.select(F.col("token").alias("t"), F.col("c").alias("cb")), "t").where("ca < cb")
+    # what the best of a component's sets could share, so that hopeless components don't meet
+    there = many.groupBy("token", "c").agg(F.max("most").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("room"), F.max("l").alias("l"))
+    ca, cb = (there.select(*[F.col(x).alias(x + s) for x in there.columns]) for s in ("_a", "_b"))
+    needed = shared_needed(F.col("low_a"), F.col("low_b"))
+    sizes = (F.col("high_a") * 100 >= F.col("low_b") * PERCENT) & (F.col("high_b") * 100 >= F.col("low_a") * PERCENT)
+    reach = (F.least("room_a", "room_b") >= needed - F.least("l_a", "l_b") + 1) & ((F.col("token_a") < FREQUENT) | (F.least("most_a", "most_b") >= needed))
+    across = ca.join(cb, (F.col("token_a") == F.col("token_b")) & (F.col("c_a") < F.col("c_b")) & sizes & reach).select(F.col("token_a").alias("t"), F.col("c_a").alias("ca"), F.col("c_b").alias("cb"))
     x, y = side(many, "_x"), side(many, "_y")
     large = across.join(x, (F.col("t") == F.col("token_x")) & (F.col("ca") == F.col("c_x"))).join(y, (F.col("t") == F.col("token_y")) & (F.col("cb") == F.col("c_y")) & may_match(F.col("token_x"), pair("_x"), pair("_y")))
     ends = [F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), F.col("l_x").alias("la"), F.col("l_y").alias("lb")]

@@ -50,26 +50,6 @@ def least_places(h: np.ndarray, width: int) -> np.ndarray:
     return np.where(later, at[rest : rest + n], at[:n])
 
 
-class WordHashes:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of texts; those of words seen lately are remembered."""
-
-    MOST = 800_000
-
-    def __init__(self):
-        self.seen: dict[bytes, int] = _Hashes()
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.seen) > self.MOST:
-            self.seen.clear()
-        return np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def portions(column: pa.Array, most_bytes: int = 2 << 20):
     """(first row, texts) of a column, about most_bytes of text at a time, in one piece each text."""
     part, first, size = [], 0, 0
