@@ -56,7 +56,9 @@ def read_gt_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     regions = F.transform(kept, region)
     good = raw.where("_corrupt_record is null").select("path", F.coalesce("_image", F.lit("")).alias("image_path"), F.array_join(F.transform(kept, lambda r: r["text"]), "\n").alias("text"), regions.alias("regions"), F.lit(True).alias("synthetic"), F.lit(None).cast("long").alias("seed"), F.lit(None).cast("string").alias("generation_timestamp"))
-    return good, raw.where("_corrupt_record is not null").select("path", F.lit("unreadable").alias("reason"))
+    # the reader wants another column beside that of corrupt records
+    broken = F.col("_corrupt_record").isNotNull() | (F.size("text_region") < -1)
+    return good, raw.where(broken).select("path", F.lit("unreadable").alias("reason"))
 
 
 def read_ground_truth(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
