@@ -19,6 +19,8 @@ from .text import least_places, mixed, portions
 LENGTH, GRAM = 200, 96
 _BASE = 0x9E3779B97F4A7C15
 _UNIT = 1 << 20
+#: Runs of one gram that one task compares by a suffix array; the windows of a gram with more meet by a hash of the whole window first.
+MOST_RUNS = 1000
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -132,19 +134,20 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Grams:
-    """Hashes of all grams of a text from running sums of its bytes times powers of a base (modulo 2**64)."""
+    """Hashes of all grams (of width bytes) of a text from running sums of its bytes times powers of a base (modulo 2**64)."""
 
-    def __init__(self):
+    def __init__(self, width: int = GRAM):
+        self.width = width
         self.up = self.back = np.empty(0, np.uint64)
 
     def of(self, data: bytes) -> np.ndarray:
-        n = len(data)
+        n, w = len(data), self.width
         if n >= len(self.up):
             self.up, self.back = _powers(_BASE, max(n, _UNIT)), _powers(pow(_BASE, -1, 1 << 64), max(n, _UNIT))
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
-            return mixed((sums[GRAM:] - sums[:-GRAM]) * self.back[: n - GRAM + 1])
+            return mixed((sums[w:] - sums[:-w]) * self.back[: n - w + 1])
 
 
 def window_runs(data: bytes, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,21 +179,22 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RUNS = "k long, h long, id long, at int, n int, bytes binary, copies int"
 
 
-def _nominated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """RUNS of the marked grams. Of equal runs in a portion one goes to the others of its gram (copies tells of more); the rest are known to be repeated."""
-    grams, rows, held = Grams(), [], 0
+def _merged(rows: list[tuple[int, bytes, int, int, int]]) -> pa.RecordBatch:
+    """RUNS of a portion's (h, bytes, id, at, n). Of equal ones one goes to the others of its h (copies tells of more); the rest are known to be repeated."""
     names, kinds = [c.split()[0] for c in RUNS.split(", ")], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+    rows.sort(key=lambda r: (r[0], r[1]))
+    done = []
+    for (h, data), same in groupby(rows, key=lambda r: (r[0], r[1])):
+        same = list(same)
+        for j, (_, _, id_, at, n) in enumerate(same):
+            k = h if j == 0 else (id_ * _BASE + at) % (1 << 64) - (1 << 63)
+            done.append((k, h if j == 0 else None, id_, at, n, data if j == 0 else None, len(same)))
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
-    def out() -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0], r[1]))
-        done = []
-        for (h, data), same in groupby(rows, key=lambda r: (r[0], r[1])):
-            same = list(same)
-            for j, (_, _, id_, at, n) in enumerate(same):
-                k = h if j == 0 else (id_ * _BASE + at) % (1 << 64) - (1 << 63)
-                done.append((k, h if j == 0 else None, id_, at, n, data if j == 0 else None, len(same)))
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
+def _nominated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RUNS of the marked grams, merged in portions."""
+    grams, rows, held = Grams(), [], 0
     for batch in batches:
         ids, text, places = (batch.column(i) for i in range(3))
         for i in range(batch.num_rows):
@@ -205,10 +209,62 @@ def _nominated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((int(h[j]), piece, id_, a, b - a))
                 held += len(piece) + 100
             if held > 24 << 20:
-                yield out()
+                yield _merged(rows)
                 rows, held = [], 0
     if rows:
-        yield out()
+        yield _merged(rows)
+
+
+def _hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, id, run, at): all windows of runs (id, at, bytes) by a hash of the whole window."""
+    whole = Grams(LENGTH)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, runs = (batch.column(i).to_numpy() for i in range(2))
+        hashes = [whole.of(x.as_buffer().to_pybytes()) for x in batch.column(2)]
+        n = [len(h) for h in hashes]
+        at = np.concatenate([a + np.arange(k, dtype=np.int32) for a, k in zip(runs.tolist(), n, strict=True)]).astype(np.int32)
+        cols = [np.concatenate(hashes).view(np.int64), np.repeat(ids, n), np.repeat(runs, n), at]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["w", "id", "run", "at"])
+
+
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RUNS of one window each, with its own hash for h: those of runs (id, at, bytes) that start at places, merged in portions."""
+    rows, held = [], 0
+    for batch in batches:
+        for id_, run, data, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for w in windows:
+                a = w["at"] - run
+                rows.append((w["w"], data[a : a + LENGTH], id_, w["at"], 1))
+            held += len(windows) * (LENGTH + 100)
+            if held > 24 << 20:
+                yield _merged(rows)
+                rows, held = [], 0
+    if rows:
+        yield _merged(rows)
+
+
+def small_groups(runs: DataFrame) -> DataFrame:
+    """RUNS in which equal windows that weren't merged still share h, but no task compares more than MOST_RUNS runs of one gram.
+
+    The runs at the edges of a passage hold each document's own bytes, so a gram of a frequent passage has about as many different
+    strings as documents. The windows of such a gram part: they are counted by a hash of the whole window (partial
+    aggregation for frequent ones), and those that met go on as strings of LENGTH bytes under that hash, merged in portions. So a
+    group holds the copies of one window, one for each portion, and bytes still decide. runs is stored; it is read several times.
+    """
+    crowded = stored(runs.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > MOST_RUNS).select("h"), "crowded")
+    rest = with_ids(runs.where("h is not null"), crowded, "h", "left_anti").select(*runs.columns).unionByName(runs.where("h is null"))
+    if crowded.isEmpty():
+        return rest
+    parted = stored(with_ids(runs.where("h is not null"), crowded, "h").select("id", "at", "bytes", "n", "copies"), "parted", "zstd")
+    windows = stored(parted.select("id", "at", "bytes").mapInArrow(_hashed_windows, "w long, id long, run int, at int"), "windows")
+    met = with_group(windows, "w", times=F.count(F.lit(1))).where("times > 1")
+    places = met.groupBy("id", F.col("run").alias("at")).agg(F.collect_list(F.struct("w", F.col("at").alias("at"))).alias("windows"))
+    single = parted.select("id", "at", "bytes").join(places, ["id", "at"]).select("id", "at", "bytes", "windows").mapInArrow(_single_windows, RUNS)
+    # runs merged before are repeated as a whole
+    whole = parted.where("copies > 1").select(F.xxhash64("id", "at").alias("k"), F.lit(None).cast("long").alias("h"), "id", "at", "n", F.lit(None).cast("binary").alias("bytes"), "copies")
+    return rest.unionByName(single).unionByName(whole)
 
 
 def _spans(windows: list[int], at: int) -> list[tuple[int, int]]:
@@ -296,7 +352,7 @@ def remove_repeated_bytes(docs: DataFrame, with_bytes: bool = False) -> DataFram
     nominated. The runs of nominated windows with one gram meet as byte strings; runs whose strings are equal are repeated as
     a whole, and different strings of one gram go into one suffix array (suffix_array), in which equal windows
     are neighbours. Nothing is decided by a hash. Equal runs of a task are merged before the shuffle, so a passage that
-    very many documents hold reaches its group once per task.
+    very many documents hold reaches its group once per task; grams that still have very many runs are parted by window (small_groups).
 
     Documents with equal texts of LENGTH bytes or more lose everything; one of them is compared with the others. Null
     texts are empty. Rows that repeat a doc_id are separate documents: repeated rows lose everything too. Empty table: no rows. n_spans counts maximal removed runs.
@@ -316,7 +372,7 @@ def remove_repeated_bytes(docs: DataFrame, with_bytes: bool = False) -> DataFram
     counted = marked.select(key.alias("k"), "id", "at", F.col("hot").isNotNull().alias("sure")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k")))
     places = stored(counted.where("sure or n > 1").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("places")), "places", "zstd")
     nominated = with_ids(originals, stored(places.select("id"), "ids"), "id").join(places.hint("merge"), "id").select("id", "text", "places")
-    runs = nominated.mapInArrow(_nominated, RUNS)
+    runs = small_groups(stored(nominated.mapInArrow(_nominated, RUNS), "runs", "zstd"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = runs.repartition(n, "k").sortWithinPartitions("h", "bytes").select("h", "id", "at", "n", "bytes", "copies").mapInArrow(_resolve, "id long, begins int, ends int")
     spans = stored(found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("begins", "ends"))).alias("spans")), "spans", "zstd")

@@ -166,3 +166,35 @@ def test_byte_strings(docs, rows, empty):
     assert suffix_dedup.remove_repeated_bytes(empty).count() == 0
     kept = suffix_dedup.remove_repeated_bytes(docs, with_bytes=True).collect()
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in kept)
+
+
+def removed_bytes(texts):
+    """(n_removed, n_spans, sha256 of the rest) of each text."""
+    count = Counter(t[j : j + 200] for t in texts for j in range(len(t) - 199))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for j in range(len(t) - 199):
+            if count[t[j : j + 200]] > 1:
+                gone[j : j + 200] = b"\1" * 200
+        out.append((sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+def test_bytes_around_a_frequent_passage(spark, monkeypatch):
+    """Each document's own bytes around a passage make as many strings of one gram as documents; they may not meet in one group."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, before = letters(240), [letters(60) for _ in range(20)]
+    # some pairs share what stands before the passage too; some hold a part of it that is long enough, or is not
+    texts = [(before[i % 20] if i % 5 == 0 else letters(60)) + (passage if i % 7 else passage[: rng.randint(150, 230)]) + letters(60) for i in range(240)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "MOST_RUNS", 20)
+    seen = []
+    small_groups = suffix_dedup.small_groups
+    monkeypatch.setattr(suffix_dedup, "small_groups", lambda runs: seen.append((runs, small_groups(runs))) or seen[-1][1])
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeated_bytes(df).collect()}
+    assert got == dict(enumerate(removed_bytes([t.encode() for t in texts])))
+    most = [d.where("h is not null").groupBy("h").count().agg(F.max("count")).first()[0] for d in seen[0]]
+    assert most[0] > 100 and most[1] <= 20
