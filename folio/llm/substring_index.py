@@ -19,6 +19,8 @@ from .text import least_places, mixed, portions, word_hashes
 WINDOW, GRAM = 20, 8
 #: Runs of the index that are merged into one, and batches that a whole table is worked in.
 FAN_IN, BATCHES = 4, 2
+#: Runs of one fingerprint that one task verifies together; the windows of a fingerprint with more are grouped one by one.
+MOST_RUNS = 1000
 LAST = (1 << 63) - 1
 
 
@@ -145,8 +147,8 @@ class FingerprintIndex:
 
 
 def _runs_of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each run of windows with one marked fingerprint: (k, h, id, at, n, hashes); runs whose windows all stand earlier in this task's portion have no hashes."""
-    names = ["k", "h", "id", "at", "n", "hashes", "new"]
+    """For each run of windows with one marked fingerprint: (h, id, at, n, hashes); runs whose windows all stand earlier in this task's portion have no h and no hashes."""
+    names = ["h", "id", "at", "n", "hashes", "new"]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         rows.sort(key=lambda r: (r[1], r[4], r[2], r[0], r[3]))  # h, hashes, id: the first of equal ones goes on
@@ -156,10 +158,10 @@ def _runs_of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for at, h, id_, n, packed, new in same:
                 if first is None:
                     first = (id_, at)
-                    done.append((h, h, id_, at, n, packed, new))
+                    done.append((h, id_, at, n, packed, new))
                 elif new and first != (id_, at):  # a repeated row stands at the same place
-                    done.append(((id_ * 0x9E3779B97F4A7C15 + at) % (1 << 64) - (1 << 63), None, id_, at, n, None, new))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+                    done.append((None, id_, at, n, None, new))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
     rows: list[tuple] = []
@@ -192,9 +194,6 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for h, id_, at, n, packed, new in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "at", "n", "hashes", "new")), strict=True):
-            if h is None:
-                out.append((id_, at, (1 << n) - 1))
-                continue
             if h != current:
                 current, seen = h, {}
             mask = 0
@@ -208,6 +207,38 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["id", "at", "mask"])
 
 
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, id, at, new): all windows of runs (id, at, hashes, new)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, runs = (batch.column(i).to_numpy() for i in range(2))
+        hashes = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
+        n = [len(h) for h in hashes]
+        at = np.concatenate([a + np.arange(k) for a, k in zip(runs.tolist(), n, strict=True)]).astype(np.int32)
+        cols = [np.concatenate(hashes), np.repeat(ids, n), at, np.repeat(batch.column(3).to_numpy(zero_copy_only=False), n)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["w", "id", "at", "new"])
+
+
+def small_groups(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs of fingerprints that have MOST_RUNS at most, masks (id, at, mask) of the others' windows that occur earlier).
+
+    Runs at the edge of a shared passage hold each document's own words, so a frequent fingerprint has about as many different runs
+    as documents. Its windows are grouped by their own hash: the first place of each comes from partial aggregation for
+    frequent ones (with_group), so no task gathers the fingerprint. runs is stored; it is read several times.
+    """
+    known, open_ = runs.where("h is null"), runs.where("h is not null")
+    crowded = stored(open_.groupBy("h").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > MOST_RUNS).select("h"), "crowded")
+    rest = with_ids(open_, crowded, "h", "left_anti").select(*runs.columns)
+    masks = known.select("id", "at", F.expr("cast(shiftleft(1, n) - 1 as int)").alias("mask"))
+    if crowded.isEmpty():
+        return rest, masks
+    windows = stored(with_ids(open_, crowded, "h").select("id", "at", "hashes", "new").mapInArrow(_single_windows, "w long, id long, at int, new boolean"), "windows")
+    placed = with_group(windows, "w", first=F.min(F.struct("id", "at")))
+    later = placed.where(F.col("new") & (F.struct("id", "at") != F.col("first")))
+    return rest, masks.unionByName(later.select("id", "at", F.lit(1).alias("mask")))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words that stay: (id, sha of all words, removed, text that stays)."""
     for batch in batches:
@@ -239,9 +270,10 @@ def dedup_batch(index: FingerprintIndex, batch: DataFrame, everything: DataFrame
     # all words of history stand before all words of the batch
     text = with_ids(everything, stored(places.select("id").distinct(), "ids"), "id")
     marked = text.join(places.hint("merge"), "id").select("id", F.col("text").cast("binary").alias("text"), "places", "new")
-    runs = marked.mapInArrow(_runs_of_windows, "k long, h long, id long, at int, n int, hashes binary, new boolean")
+    runs, known = small_groups(stored(marked.mapInArrow(_runs_of_windows, "h long, id long, at int, n int, hashes binary, new boolean"), "runs"))
     n = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    later = runs.repartition(n, "k").sortWithinPartitions("h", "id", "at").select("h", "id", "at", "n", "hashes", "new").mapInArrow(_later, "id long, at int, mask int")
+    later = runs.repartition(n, "h").sortWithinPartitions("h", "id", "at").select("h", "id", "at", "n", "hashes", "new").mapInArrow(_later, "id long, at int, mask int")
+    later = later.unionByName(known)
     masks = stored(later.groupBy("id").agg(F.collect_list(F.struct("at", "mask")).alias("masks")), "masks")
     losing = with_ids(batch, stored(masks.select("id"), "ids"), "id").join(masks.hint("merge"), "id")
     cut = losing.select("id", F.col("text").cast("binary").alias("text"), "masks").mapInArrow(_cut, "id long, sha string, n_removed long, rest binary")
@@ -255,7 +287,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
     Words are [^\x20\x09-\x0D]+. A word goes if a window of WINDOW words covers it whose words also start earlier: in
     a smaller doc_id, or in the same document. Documents are worked in batches by doc_id, each matched with the index of all
     earlier ones (FingerprintIndex). Equal windows have equal fingerprints, so none is missed; matches are verified by a
-    64-bit hash of the whole window within equal 64-bit fingerprints.
+    64-bit hash of the whole window, within equal 64-bit fingerprints unless these are frequent (small_groups).
 
     Documents with the same words as one with a smaller doc_id lose everything (from WINDOW words on) and aren't indexed. Null texts
     have no words. A null doc_id counts as the largest. Rows that repeat doc_id and text stand at one place and fare alike. Empty

@@ -198,3 +198,22 @@ def test_bytes_around_a_frequent_passage(spark, monkeypatch):
     assert got == dict(enumerate(removed_bytes([t.encode() for t in texts])))
     most = [d.where("h is not null").groupBy("h").count().agg(F.max("count")).first()[0] for d in seen[0]]
     assert most[0] > 100 and most[1] <= 20
+
+
+def test_words_around_a_frequent_phrase(spark, monkeypatch):
+    """Each document's own words around a phrase make as many runs of one fingerprint as documents; they may not meet in one group."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    phrase, before = words(26), [words(12) for _ in range(20)]
+    texts = [" ".join([before[i % 20] if i % 5 == 0 else words(12), phrase if i % 7 else " ".join(phrase.split()[: rng.randint(9, 25)]), words(12)]) for i in range(240)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(substring_index, "MOST_RUNS", 20)
+    seen = []
+    small_groups = substring_index.small_groups
+    monkeypatch.setattr(substring_index, "small_groups", lambda runs: seen.append((runs, small_groups(runs))) or seen[-1][1])
+    expected = without_repeats(rows)
+    got = substring_index.remove_repeats(df).collect()
+    assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == {(i, n, k, hashlib.sha256(b).hexdigest()) for i, (n, k, b) in expected.items()}
+    most = [max(d.where("h is not null").groupBy("h").count().agg(F.max("count")).first()[0] or 0 for d in side) for side in ([r for r, _ in seen], [g for _, (g, _) in seen])]
+    assert most[0] > 50 and most[1] <= 20
