@@ -21,7 +21,6 @@ WINDOW, GRAM = 20, 8
 FAN_IN, BATCHES = 4, 2
 #: Runs of one fingerprint that one task verifies together; the windows of a fingerprint with more are grouped one by one.
 MOST_RUNS = 1000
-LAST = (1 << 63) - 1
 
 
 def _two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -52,11 +51,11 @@ def windows_of(grams: np.ndarray) -> np.ndarray:
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, sha = [], []
-        for t in batch.column(1):
+        for t in batch.column(0):
             words = t.as_buffer().to_pybytes().split()
             n.append(len(words))
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["id", "n", "sha"])
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(sha, pa.string()), *batch.columns], names=["n", "sha", *batch.schema.names])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +239,7 @@ def small_groups(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that stay: (id, sha of all words, removed, text that stays)."""
+    """The words that stay: (id, removed, text that stays)."""
     for batch in batches:
         rows = []
         for i in range(batch.num_rows):
@@ -253,14 +252,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         step[r["at"] + j + WINDOW] -= 1
             gone = np.cumsum(step)[: len(words)] > 0
             rest = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            rows.append((batch.column(0)[i].as_py(), hashlib.sha256(b" ".join(words)).hexdigest(), int(gone.sum()), rest))
+            rows.append((batch.column(0)[i].as_py(), int(gone.sum()), rest))
         if rows:
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.string(), pa.int64(), pa.binary()], strict=True)], names=["id", "sha", "n_removed", "rest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["id", "n_removed", "rest"])
 
 
 def dedup_batch(index: FingerprintIndex, batch: DataFrame, everything: DataFrame, with_text: bool = False) -> DataFrame:
-    """(id, sha, n_removed, kept_sha[, kept_text]) of the documents of batch(id, text) that lose words; batch becomes a run of index.
+    """(id, n_removed, kept_sha[, kept_text]) of the documents of batch(id, text) that lose words; batch becomes a run of index.
 
     Fingerprints that match another occurrence only nominate windows. Of each nominated window, in the batch and in the
     documents of everything(id, text) that it meets in history, the words are read again and hashed as a whole; a window is
@@ -276,48 +275,58 @@ def dedup_batch(index: FingerprintIndex, batch: DataFrame, everything: DataFrame
     later = later.unionByName(known)
     masks = stored(later.groupBy("id").agg(F.collect_list(F.struct("at", "mask")).alias("masks")), "masks")
     losing = with_ids(batch, stored(masks.select("id"), "ids"), "id").join(masks.hint("merge"), "id")
-    cut = losing.select("id", F.col("text").cast("binary").alias("text"), "masks").mapInArrow(_cut, "id long, sha string, n_removed long, rest binary")
+    cut = losing.select("id", F.col("text").cast("binary").alias("text"), "masks").mapInArrow(_cut, "id long, n_removed long, rest binary")
     kept = [F.sha2("rest", 256).alias("kept_sha")] + ([F.col("rest").cast("string").alias("kept_text")] if with_text else [])
-    return cut.select("id", "sha", "n_removed", *kept)
+    return cut.select("id", "n_removed", *kept)
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
     r"""One row for each row of docs: doc_id, n_words, n_removed, kept_sha256 (and with_text: kept_text).
 
     Words are [^\x20\x09-\x0D]+. A word goes if a window of WINDOW words covers it whose words also start earlier: in
-    a smaller doc_id, or in the same document. Documents are worked in batches by doc_id, each matched with the index of all
+    an earlier document, or in the same one. Documents stand in the order of doc_id (null last), then of their text's SHA-256: rows with
+    one doc_id (or none) and different texts are different documents. They are worked in batches by their place in that order, each matched with the index of all
     earlier ones (FingerprintIndex). Equal windows have equal fingerprints, so none is missed; matches are verified by a
     64-bit hash of the whole window, within equal 64-bit fingerprints unless these are frequent (small_groups).
 
-    Documents with the same words as one with a smaller doc_id lose everything (from WINDOW words on) and aren't indexed. Null texts
-    have no words. A null doc_id counts as the largest. Rows that repeat doc_id and text stand at one place and fare alike. Empty
+    Documents with the same words as an earlier one lose everything (from WINDOW words on) and aren't indexed. Null texts
+    have no words. Rows that repeat doc_id and text are one document and fare alike. Empty
     table: no rows. Kept words are joined by one space.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), text.alias("text"))
-    sums = stored(texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_sums, "id long, n long, sha string"), "sums")
-    first = with_group(sums.where(F.col("n") >= WINDOW), "sha", first=F.min("id"))
-    copies = stored(first.where("id <> first").select("id", "sha").distinct(), "copies")
-    index, parts, low = FingerprintIndex(docs.sparkSession), [], None
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    spark = docs.sparkSession
+    # a stored copy in the order of documents, in which rows are numbered once; equal rows are dealt by where they stood
+    order = [F.col("doc_id").asc_nulls_last(), F.col("raw").asc(), F.col("row").asc()]
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    dealt = raw.withColumn("raw", F.sha2("text", 256)).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    numbered = dealt.select("text", F.monotonically_increasing_id().alias("id"), "doc_id", "raw")
+    rows = stored(numbered.mapInArrow(_sums, "n long, sha string, text binary, id long, doc_id long, raw string"), "texts", "zstd")
+    texts, sums = rows.select("id", "text"), rows.select("id", "doc_id", "raw", "n", "sha")
+    placed = with_group(sums.where(F.col("n") >= WINDOW), "sha", first=F.min(F.struct("id", "doc_id", "raw")))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("raw") == F.col("first.raw"))
+    placed = stored(placed.select("id", "doc_id", "n", "sha", F.col("first.id").alias("first"), same.alias("same")), "places")
+    index, parts, low = FingerprintIndex(spark), [], None
     cuts = sums.agg(F.expr(f"percentile_approx(id, array({', '.join(str(i / batches) for i in range(1, batches))}), 1000)")).first()[0] if batches > 1 else []
-    originals = with_ids(texts, stored(copies.select("id").distinct(), "copy_ids"), "id", "left_anti")
-    for high in [*sorted(set(cuts or [])), LAST]:
+    originals = with_ids(texts, stored(placed.where("id <> first").select("id"), "copy_ids"), "id", "left_anti")
+    for high in [*sorted(set(cuts or [])), (1 << 63) - 1]:
         span = F.col("id") <= high if low is None else (F.col("id") <= high) & (F.col("id") > low)
         parts.append(stored(dedup_batch(index, originals.where(span), originals.where(F.col("id") <= high), with_text), "cut"))
         low = high
     cut = parts[0]
     for part in parts[1:]:
         cut = cut.unionByName(part)
-    gone = copies.select("id", "sha", F.lit(True).alias("copy"))
-    out = sums.join(gone, ["id", "sha"], "left").join(cut.dropDuplicates(["id", "sha"]), ["id", "sha"], "left")
+    few = sums.where(F.col("n") < WINDOW).select("id", "doc_id", "n", "sha", F.lit(False).alias("copy"))
+    own = placed.where("same").select("id", "doc_id", "n", "sha", F.lit(False).alias("copy"), "first").join(cut.withColumnRenamed("id", "first"), "first", "left").drop("first")
+    copies = placed.where("not same").select("id", "doc_id", "n", "sha", F.lit(True).alias("copy"))
+    out = own.unionByName(few, allowMissingColumns=True).unionByName(copies, allowMissingColumns=True)
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     columns = [
-        F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"),
+        "doc_id",
         F.col("n").alias("n_words"),
         F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), nothing).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
     ]
     if not with_text:
         return out.select(*columns)
-    whole = texts.select("id", F.col("text")).dropDuplicates(["id"]).withColumn("text", F.regexp_replace(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), "^ | $", ""))
-    return out.join(whole, "id", "left").select(*columns, F.when(F.col("copy"), F.lit("")).otherwise(F.coalesce("kept_text", "text")).alias("kept_text"))
+    whole = texts.select("id", F.regexp_replace(F.trim(F.regexp_replace(F.col("text").cast("string"), r"[\x20\x09-\x0D]+", " ")), "^ | $", "").alias("text"))
+    return out.join(whole, "id").select(*columns, F.when(F.col("copy"), F.lit("")).otherwise(F.coalesce("kept_text", "text")).alias("kept_text"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
@@ -158,12 +157,6 @@ def window_runs(data: bytes, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.n
     return cut[:-1], cut[1:], h[p[cut[:-1]]].view(np.int64)
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = [t.as_buffer().to_pybytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in data], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in data], pa.string())], names=["id", "n", "sha"])
-
-
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = Grams()
     for batch in batches:
@@ -335,13 +328,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     removed += b - at
                 at = max(at, b)
             kept.append(data[at:])
-            rows.append((batch.column(0)[i].as_py(), hashlib.sha256(data).hexdigest(), removed, spans, b"".join(kept)))
+            rows.append((batch.column(0)[i].as_py(), removed, spans, b"".join(kept)))
         if rows:
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "sha", "n_removed", "n_spans", "kept"])
-
-
-LAST = (1 << 63) - 1
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeated_bytes(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
@@ -355,15 +345,17 @@ def remove_repeated_bytes(docs: DataFrame, with_bytes: bool = False) -> DataFram
     very many documents hold reaches its group once per task; grams that still have very many runs are parted by window (small_groups).
 
     Documents with equal texts of LENGTH bytes or more lose everything; one of them is compared with the others. Null
-    texts are empty. Rows that repeat a doc_id are separate documents: repeated rows lose everything too. Empty table: no rows. n_spans counts maximal removed runs.
+    texts are empty. Each row is a document of its own, whatever its doc_id (null or repeated): rows are numbered once, in a stored copy of
+    the table, and known by that number. Repeated rows lose everything too. Empty table: no rows. n_spans counts maximal removed runs.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), text.alias("text"))
-    sums = stored(texts.mapInArrow(_sums, "id long, n long, sha string"), "sums")
-    known = with_group(sums.where(F.col("n") >= LENGTH), "sha", first=F.min("id"), size=F.count(F.lit(1)))
-    copied = stored(known.where("size > 1").select("id", "sha", "first").distinct(), "copies")
+    numbered = docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = stored(numbered.select("*", F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha")), "texts", "zstd")
+    texts, sums = rows.select("id", "text"), rows.select("id", "doc_id", "n", "sha")
+    known = with_group(rows.where(F.col("n") >= LENGTH).select("id", "sha"), "sha", first=F.min("id"), size=F.count(F.lit(1)))
+    copied = stored(known.where("size > 1").select("id", "first"), "copies")
     # of copies the first is compared, and dropped again in the end
-    originals = with_ids(texts, stored(copied.where("id <> first").select("id").distinct(), "copy_ids"), "id", "left_anti")
+    originals = with_ids(texts, stored(copied.where("id <> first").select("id"), "copy_ids"), "id", "left_anti")
     anchors = originals.mapInArrow(_anchors, "h long, id long, at int")
     hot = stored(hot_keys(anchors, "h").select(F.col("h").alias("hot")), "hot")
     marked = anchors.join(F.broadcast(hot), F.col("h") == F.col("hot"), "left")
@@ -377,11 +369,11 @@ def remove_repeated_bytes(docs: DataFrame, with_bytes: bool = False) -> DataFram
     found = runs.repartition(n, "k").sortWithinPartitions("h", "bytes").select("h", "id", "at", "n", "bytes", "copies").mapInArrow(_resolve, "id long, begins int, ends int")
     spans = stored(found.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("begins", "ends"))).alias("spans")), "spans", "zstd")
     losing = with_ids(originals, stored(spans.select("id"), "ids"), "id").join(spans.hint("merge"), "id").select("id", "text", "spans")
-    cut = losing.mapInArrow(_cut, "id long, sha string, n_removed long, n_spans long, kept binary")
-    cut = cut.select("id", "sha", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha"), *(["kept"] if with_bytes else []))
-    out = sums.join(copied.select("id", "sha", F.lit(True).alias("copy")), ["id", "sha"], "left").join(cut.dropDuplicates(["id", "sha"]), ["id", "sha"], "left")
+    cut = losing.mapInArrow(_cut, "id long, n_removed long, n_spans long, kept binary")
+    cut = cut.select("id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha"), *(["kept"] if with_bytes else []))
+    out = sums.join(copied.select("id", F.lit(True).alias("copy")), "id", "left").join(cut, "id", "left")
     columns = [
-        F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"),
+        "doc_id",
         F.col("n").alias("n_bytes"),
         F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
@@ -389,4 +381,4 @@ def remove_repeated_bytes(docs: DataFrame, with_bytes: bool = False) -> DataFram
     ]
     if not with_bytes:
         return out.select(*columns)
-    return out.join(texts.dropDuplicates(["id"]), "id", "left").select(*columns, F.when(F.col("copy"), F.lit(b"")).otherwise(F.coalesce("kept", "text")).alias("kept"))
+    return out.join(texts, "id").select(*columns, F.when(F.col("copy"), F.lit(b"")).otherwise(F.coalesce("kept", "text")).alias("kept"))

@@ -217,3 +217,21 @@ def test_words_around_a_frequent_phrase(spark, monkeypatch):
     assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == {(i, n, k, hashlib.sha256(b).hexdigest()) for i, (n, k, b) in expected.items()}
     most = [max(d.where("h is not null").groupBy("h").count().agg(F.max("count")).first()[0] or 0 for d in side) for side in ([r for r, _ in seen], [g for _, (g, _) in seen])]
     assert most[0] > 50 and most[1] <= 20
+
+
+def test_documents_without_an_id_of_their_own(spark):
+    """Texts with a null or repeated doc_id neither share what they lose nor hide each other's repeats."""
+    rng = random.Random(10)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, whole = words(40), words(40), words(40), words(60)
+    texts = [(1, f"{words(9)} {a} {words(5)}"), (2, whole), (3, f"{c} {words(30)}"), (7, whole), (7, f"{words(30)} {c}"), (7, words(90)), (8, f"{words(3)} {a}"), (8, f"{words(50)} {words(50)}")]
+    texts += [(None, f"{b} {words(20)}"), (None, f"{b} {words(30)}"), (None, f"{words(10)} {a}"), (None, words(80)), (None, whole)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeated_bytes(df).collect()
+    expected = Counter((i, len(t), *r) for (i, t), r in zip(texts, removed_bytes([t.encode() for _, t in texts]), strict=True))
+    assert Counter(tuple(r) for r in got) == expected
+    order = sorted(texts, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    cut = without_repeats([(place, t) for place, (_, t) in enumerate(order)])
+    expected = Counter((order[place][0], n, k, hashlib.sha256(rest).hexdigest()) for place, (n, k, rest) in cut.items())
+    for batches in (1, 2):
+        assert Counter(tuple(r) for r in substring_index.remove_repeats(df, batches).collect()) == expected
