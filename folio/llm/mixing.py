@@ -172,10 +172,17 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (1, 2, 3),
 def mix_documents(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (1, 2, 3), most: float = MOST_COPIES) -> DataFrame:
     """docs with each row as often as its copies say; all columns of docs, in its order.
 
-    The copies are joined by doc_id, source and size; rows that repeat all of these share their copies evenly.
+    The copies are joined by doc_id, source and size. Rows that repeat all of these share their copies: in the order of a hash of
+    their texts each takes its whole share, and the first ones take one more until all are given.
     """
-    drawn = mix(docs, seed, weights, most).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    key = [F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")]
+    drawn = stored(mix(docs, seed, weights, most).groupBy(*key).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows")), "copies")
     sized = docs.withColumn("_n", n_words(F.col("text")))
     on = sized["doc_id"].cast("long").eqNullSafe(F.col("_id")) & sized["source"].eqNullSafe(F.col("_source")) & (sized["_n"] == F.col("_size"))
-    copies = F.floor(F.col("_sum") / F.col("_rows")).cast("int")
-    return sized.join(drawn, on).where(copies > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    joined = sized.join(drawn, on)
+    own = joined.where("_rows = 1").withColumn("_copies", F.col("_sum").cast("int"))
+    if not drawn.where("_rows > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text"))) - 1
+        share = F.floor(F.col("_sum") / F.col("_rows")) + (place < F.col("_sum") % F.col("_rows")).cast("int")
+        own = own.unionByName(joined.where("_rows > 1").withColumn("_copies", share.cast("int")))
+    return own.where("_copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -24,10 +24,11 @@ END_ID = 1
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of one length that are ranked in one group, on average.
 RANKED = 8192
-#: The linear program ends where its bound shows so small a gap, or after so many pivots; it is feasible at any time.
+#: The linear program ends where its bound shows so small a gap, or after so many pivots (its basis is feasible at any time; the bound
+#: closes slowly). So many columns enter for each pricing, at most.
 GAP, MOST_PIVOTS, EACH_PRICING = 0.01, 1000, 48
-#: Pieces that are filled one sequence at a time while patterns with padding are left out.
-MOST_FILLED = 20_000
+#: Pieces that are filled one sequence at a time in one pass; of more, every so many stand for as many alike.
+FILLED = 10_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -40,16 +41,18 @@ def vocabulary_path() -> str:
 
 @lru_cache(maxsize=2)
 def encoding(path: str):
-    """The byte-level BPE of a tokenizers file. Its ids are its merge ranks, which lets tiktoken apply them faster."""
+    """(the byte-level BPE of a tokenizers file, its added tokens with their ids). Its ids are its merge ranks, which lets tiktoken apply them faster."""
     import tiktoken
 
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {t["content"] for t in spec["added_tokens"]}
-    ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if any(t[flag] for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that look at what stands around them are not supported")
+    ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
 class _Known(dict):
@@ -73,16 +76,25 @@ _UNSAFE, _BREAK = re.compile(r" (?=\s|\Z)"), re.compile(r" (?=\S)")
 
 
 class Tokens:
-    """Texts to ids. A pre-token never spans a blank that a visible character follows, so the parts between are encoded once each."""
+    """Texts to ids. Added tokens of the file stand for themselves and part the text, the leftmost and longest first. A pre-token never spans
+    a blank that a visible character follows, so the parts between are encoded once each."""
 
     def __init__(self, path: str):
-        encode = encoding(path).encode_ordinary
-        self.first, self.later = _Known(encode, ""), _Known(encode, " ")
+        bpe, self.added = encoding(path)
+        self.first, self.later = _Known(bpe.encode_ordinary, ""), _Known(bpe.encode_ordinary, " ")
+        self.split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
 
-    def ids(self, text: str) -> bytes:
-        parts = (_BREAK.split(text) if _UNSAFE.search(text) else text.split(" ")) if text else [""]
+    def plain(self, text: str) -> list[bytes]:
+        parts = _BREAK.split(text) if _UNSAFE.search(text) else text.split(" ")
         later = self.later
-        return b"".join([self.first[parts[0]], *[later[p] for p in parts[1:]], struct.pack("<I", END_ID)])
+        return [self.first[parts[0]], *[later[p] for p in parts[1:]]]
+
+    def ids(self, text: str) -> bytes:
+        out, at = [], 0
+        for found in self.split.finditer(text):
+            out += [*self.plain(text[at : found.start()]), struct.pack("<I", self.added[found[0]])]
+            at = found.end()
+        return b"".join([*out, *self.plain(text[at:]), struct.pack("<I", END_ID)])
 
 
 def tokenized_pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -136,7 +148,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, length: int, gap: f
 
     Revised simplex with the basis's inverse. A knapsack under the duals prices columns: for each item the best column that
     holds it and fills a sequence, and the best for each total that needs no padding. Those of most value enter one
-    after the other while they still have negative reduced cost. It ends when Farley's bound shows gap.
+    after the other while they still have negative reduced cost. It ends when Farley's bound shows gap, no column is worth its price, or
+    after most_pivots.
     """
     m = len(sizes)
     costs = np.array([padded(w, length) if w else 0 for w in range(length + 1)], float)
@@ -231,10 +244,10 @@ def exact_fill(items: dict[int, int], length: int) -> list[list[int]]:
 def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, int, int, int, int]]:
     """(length, lo, hi, first sequence, copies in a sequence, offset): pieces of that length ranked lo to hi - 1 go there.
 
-    Full pieces and pairs of lengths that fill a sequence need no program. Of the rest, the linear program's patterns
-    without padding are rounded down, then up while demand lasts. What remains is filled exactly one sequence at a
-    time: what rounding leaves, a few pieces for each distinct length whatever the number of pieces; beyond
-    MOST_FILLED, patterns with padding are rounded down too.
+    Full pieces and pairs of lengths that fill a sequence need no program. Of the rest, the linear program's patterns with GAP
+    padding at most are rounded down, those without any then up while demand lasts. What is left is filled exactly one sequence at a
+    time, in passes: where it is more than FILLED pieces, a thinned histogram of about as many is filled and each of its
+    sequences stands for many, until all are placed. So the work does not depend on the number of pieces.
     """
     left = {s: n for s, n in histogram.items() if n}
     patterns: list[tuple[dict[int, int], int]] = []
@@ -263,14 +276,19 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, int
             take(solved[i][0], int(solved[i][1] + 1e-6))
         for i in sorted(tight, key=lambda i: -(solved[i][1] % 1)):
             take(solved[i][0], 1)
-        if sum(left.values()) > MOST_FILLED:
-            for col, v in solved:
-                take(col, int(v))
-        for row in exact_fill(left, length):
-            counted: dict[int, int] = defaultdict(int)
-            for s in row:
-                counted[s] += 1
-            patterns.append((dict(counted), 1))
+        for i, (col, v) in enumerate(solved):
+            if padded(total[i], length) - total[i] <= GAP * length:
+                take(col, int(v + 1e-6))
+        while pieces := sum(left.values()):
+            each = -(-pieces // FILLED)
+            thin = {s: n // each for s, n in left.items()}
+            if not any(thin.values()):  # fewer of each length than stand for one
+                each, thin = 1, left
+            for row in exact_fill(thin, length):
+                counted: dict[int, int] = defaultdict(int)
+                for s in row:
+                    counted[s] += 1
+                take(dict(counted), each)
     rows, used, sequence = [], defaultdict(int), 0
     for col, n in patterns:
         offset = 0
@@ -285,7 +303,7 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, int
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's ids (null or empty text: none) and END_ID are cut into full pieces, each a sequence of its own, and one rest.
+    A document's ids (null or empty text: none; those of added tokens in a text included) and END_ID are cut into full pieces, each a sequence of its own, and one rest.
     The histogram of lengths (length rows at most, whatever the corpus) goes to the driver, where a linear program over
     patterns of lengths, columns priced by a knapsack, is solved and rounded (plan). Pieces are ranked
     within their length: a length's pieces are split by hash into groups of about RANKED rows, whose counts give each group's

@@ -11,13 +11,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import stored, with_ids
-from .text import texts
+from .text import portions
 
 # The character model: symbol 0 is a word's end, 1 to 26 are a to z, 27 is any other letter.
 SYMBOLS, ORDER, OTHER = 28, 4, 27
-CELLS = SYMBOLS**ORDER
+CELLS, STATES = SYMBOLS**ORDER, SYMBOLS ** (ORDER - 1)
 #: Cells of the count table that travel in one row.
 BLOCK = 4096
 
@@ -27,7 +28,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 BETWEEN = " -._*~"
 #: Costs (negative log probabilities) of the channel.
 AS_LETTER, AS_END, DROP_MARK, KEEP_MARK, DROP_REPEAT, DROP_THIRD, ANY_LETTER = 0.7, 3.0, 1.0, 0.7, 4.0, 0.3, 4.0
-BEAM = 24
+#: States from which a step is taken on arrays.
+DENSE = 400
 
 DECORATION = ".,;:|!?*#$%&\"'()[]{}<>«»…-_=+~/\\"
 DISGUISED = re.compile(r"[0-9@$!|+(€£¡]|(.)\1\1|\w[-._*~]+\w")
@@ -59,14 +61,7 @@ def gram_counts(data: bytes) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CELLS, np.int64)
     for batch in batches:
-        part, size = [], 0
-        for t in texts(batch.column(0)):
-            part.append(t)
-            size += len(t)
-            if size > 4 << 20:
-                total += gram_counts(b"\n".join(part))
-                part, size = [], 0
-        if part:
+        for _, part in portions(batch.column(0)):
             total += gram_counts(b"\n".join(part))
     full = [b for b in range(0, CELLS, BLOCK) if total[b : b + BLOCK].any()]
     yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK for b in full], pa.int32()), pa.array([total[b : b + BLOCK].tobytes() for b in full], pa.binary())], names=["block", "counts"])
@@ -134,26 +129,65 @@ def symbol(c: str) -> int:
     return 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else OTHER
 
 
-def decode(x: str, model: np.ndarray) -> str:
-    """The likeliest reading of a lower-case string: Viterbi over the lattice of its options under the character model.
+def _step(states: dict[int, tuple], x: str, at: int, model: np.ndarray) -> dict[int, tuple]:
+    """One character further: each state's cheapest (cost, (before, letters)); the letters of a reading are linked backwards."""
+    nxt: dict[int, tuple] = {}
+    for emitted, cost in options(x, at):
+        for state, (sum_, out) in states.items():
+            if emitted == "" or emitted == " " and state % SYMBOLS == 0:
+                new, total, text = state, sum_ + cost, out
+            else:
+                cell = state * SYMBOLS + symbol(emitted)
+                new, total, text = cell % STATES, sum_ + cost + float(model[cell]), (out, emitted)
+            if new not in nxt or total < nxt[new][0]:
+                nxt[new] = (total, text)
+    return nxt
+
+
+def _dense_step(states: dict[int, tuple], x: str, at: int, model: np.ndarray) -> dict[int, tuple]:
+    """The same for very many states: a table of all states' costs; for each letter the cheapest of those that differ in their oldest symbol."""
+    costs = np.full(STATES, np.inf)
+    costs[list(states)] = [s[0] for s in states.values()]
+    best, came, letter = np.full(STATES, np.inf), np.zeros(STATES, np.int64), [""] * STATES
+    table, old = costs.reshape(SYMBOLS, -1), model.reshape(SYMBOLS, STATES // SYMBOLS, SYMBOLS)
+    for emitted, cost in options(x, at):
+        if emitted in ("", " "):
+            stays = np.arange(STATES) if emitted == "" else np.arange(0, STATES, SYMBOLS)
+            for i in stays[costs[stays] + cost < best[stays]].tolist():
+                best[i], came[i], letter[i] = costs[i] + cost, i, ""
+            if emitted == "":
+                continue
+        k = symbol(emitted)
+        sums = table + old[:, :, k]
+        if emitted == " ":
+            sums[:, ::SYMBOLS] = np.inf  # an end after an end stays
+        first = sums.argmin(0)
+        total = sums[first, np.arange(sums.shape[1])] + cost
+        for tail in np.nonzero(total < best.reshape(-1, SYMBOLS)[:, k])[0].tolist():
+            i = tail * SYMBOLS + k
+            best[i], came[i], letter[i] = total[tail], first[tail] * (STATES // SYMBOLS) + tail, emitted
+    out = {}
+    for i in np.nonzero(np.isfinite(best))[0].tolist():
+        text = states[int(came[i])][1]
+        out[i] = (float(best[i]), (text, letter[i]) if letter[i] else text)
+    return out
 
-    A state is the last ORDER - 1 symbols; of equal states the cheaper stays and BEAM states go on.
-    """
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
-    modulus = SYMBOLS ** (ORDER - 1)
+
+def likeliest(x: str, model: np.ndarray) -> tuple[float, str]:
+    """(cost, reading) of a lower-case string: Viterbi over the whole lattice of its options under the character model. A state is the last ORDER - 1 symbols."""
+    states: dict[int, tuple] = {0: (0.0, None)}
     for at in range(len(x)):
-        nxt: dict[int, tuple[float, str]] = {}
-        for emitted, cost in options(x, at):
-            for state, (sum_, out) in states.items():
-                if emitted == "" or emitted == " " and state % SYMBOLS == 0:
-                    new, total, text = state, sum_ + cost, out
-                else:
-                    cell = state * SYMBOLS + symbol(emitted)
-                    new, total, text = cell % modulus, sum_ + cost + float(model[cell]), out + emitted
-                if new not in nxt or total < nxt[new][0]:
-                    nxt[new] = (total, text)
-        states = nxt if len(nxt) <= BEAM else dict(sorted(nxt.items(), key=lambda s: s[1][0])[:BEAM])
-    return min((cost + (float(model[state * SYMBOLS]) if state % SYMBOLS else 0.0), out) for state, (cost, out) in states.items())[1]
+        states = (_dense_step if len(states) > DENSE else _step)(states, x, at, model)
+    cost, out = min(((cost + (float(model[state * SYMBOLS]) if state % SYMBOLS else 0.0), out) for state, (cost, out) in states.items()), key=lambda s: s[0])
+    letters = []
+    while out is not None:
+        out, emitted = out
+        letters.append(emitted)
+    return cost, "".join(reversed(letters))
+
+
+def decode(x: str, model: np.ndarray) -> str:
+    return likeliest(x, model)[1]
 
 
 def plain(token: str) -> str:
@@ -161,13 +195,13 @@ def plain(token: str) -> str:
 
 
 class Restorer:
-    """Texts to sets of hashed words, each distinct token decoded once for as long as it is remembered."""
+    """Texts to sets of hashed words (of those in kept, if given), each distinct token decoded once for as long as it is remembered."""
 
-    #: Tokens remembered, at most; then the memory starts anew.
-    MOST = 400_000
+    #: Bytes of tokens remembered, about; then the memory starts anew.
+    MOST = 48 << 20
 
-    def __init__(self, model: np.ndarray):
-        self.model, self.seen = model, {}
+    def __init__(self, model: np.ndarray, kept=None):
+        self.model, self.kept, self.seen, self.held = model, kept, {}, 0
 
     def readings(self, token: str) -> list[str]:
         low = token.lower()
@@ -195,14 +229,21 @@ class Restorer:
 
     def features(self, text: str) -> np.ndarray:
         found: set[int] = set()
+        seen, kept = self.seen, self.kept
         for t in set(text.split()):
-            ids = self.seen.get(t)
+            ids = seen.get(t)
             if ids is None:
-                if len(self.seen) >= self.MOST:
-                    self.seen.clear()
-                ids = self.seen[t] = tuple(word_id(w) for w in self.readings(t) if w)
-            found.update(ids)
-        found.update(map(word_id, self.spaced(text)))
+                if self.held >= self.MOST:
+                    seen.clear()
+                    self.held = 0
+                ids = tuple(word_id(w) for w in self.readings(t) if w)
+                if kept is not None:
+                    ids = tuple(i for i in ids if i in kept)
+                seen[t] = ids
+                self.held += 160 + len(t) + (48 + 48 * len(ids) if ids else 0)
+            if ids:
+                found.update(ids)
+        found.update(i for i in map(word_id, self.spaced(text)) if kept is None or i in kept)
         out = np.fromiter(found, np.int64, len(found))
         out.sort()
         return out
@@ -212,8 +253,11 @@ def word_id(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode()) >> 1
 
 
-def _hashed(texts_: list[bytes], restorer: Restorer) -> list[np.ndarray]:
-    return [restorer.features(t.decode("utf-8", "replace")) for t in texts_]
+def _hashed(column: pa.Array, restorer: Restorer) -> Iterator[np.ndarray]:
+    """The features of a column's texts (null: those of an empty one), one text at a time."""
+    for t in column:
+        raw = t.as_buffer()
+        yield restorer.features(raw.to_pybytes().decode("utf-8", "replace") if raw is not None else "")
 
 
 def word_counts(marked: DataFrame, model) -> DataFrame:
@@ -228,8 +272,7 @@ def word_counts(marked: DataFrame, model) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bincount(at, minlength=len(word))), pa.array(np.bincount(at, y, len(word)).astype(np.int64))], names=["word", "df", "df1"])
 
         for batch in batches:
-            found, y = _hashed(texts(batch.column(0)), restorer), batch.column(1).to_numpy()
-            for f, label in zip(found, y, strict=True):
+            for f, label in zip(_hashed(batch.column(0), restorer), batch.column(1).to_numpy(), strict=True):
                 parts.append((f, np.full(len(f), label)))
                 size += len(f)
                 if size > 1_000_000:
@@ -245,9 +288,9 @@ def known_words(marked: DataFrame, model, vocabulary: np.ndarray) -> DataFrame:
     """(words, y) of marked(text, y): the places in vocabulary of each text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model.value)
+        restorer = Restorer(model.value, set(vocabulary.tolist()))
         for batch in batches:
-            found = [np.searchsorted(vocabulary, f[np.isin(f, vocabulary)]) for f in _hashed(texts(batch.column(0)), restorer)]
+            found = [np.searchsorted(vocabulary, f) for f in _hashed(batch.column(0), restorer)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1)], names=["words", "y"])
 
     return marked.select("text", "y").mapInArrow(run, "words array<bigint>, y int")
@@ -277,19 +320,8 @@ def fit_words(at: list[np.ndarray], y: np.ndarray, words: int, rounds: int = 300
     return w, b
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, score, predicted.
-
-    1. Character ORDER-grams are counted over all texts (a table of fixed size) and give the character model.
-    2. Each text's tokens that look disguised (digits or signs among letters, letters three times, marks between letters,
-       letters spaced out) are decoded by Viterbi; a text's features are its words as they stand and as restored.
-    3. Word counts by label over all labelled rows outside the held-out fifth choose the MOST_WORDS words that tell most (by
-       the likelihood ratio); their weights are fitted on at most MOST_LABELLED of these rows, those whose doc_id
-       has the smallest hash. 4. Every text is scored by the model; score >= 0.5 predicts 1.
-
-    Null and empty texts are scored by the bias. Labels with a null doc_id or toxic are left out; rows that repeat a
-    doc_id count as often as they stand. No usable labels: all scores are low. Empty table: no rows.
-    """
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with one more column, _score: the model is fitted on docs and labels as score_toxicity describes it."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(character_model(character_counts(docs)))
     usable = labels.select(F.col("doc_id").cast("long").alias("_id"), (F.col("toxic") > 0).cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("_id")))
@@ -305,18 +337,36 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = known_words(told.join(F.broadcast(few), "_id"), model, vocabulary).toPandas()
     weights = spark.sparkContext.broadcast((vocabulary, *fit_words([np.asarray(r, np.int64) for r in sample["words"]], sample["y"].to_numpy(float), len(vocabulary))))
 
+    at = docs.columns.index("text")
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, w, b = weights.value
-        weight, restorer = dict(zip(vocabulary.tolist(), w.tolist(), strict=True)), Restorer(model.value)
+        weight = dict(zip(vocabulary.tolist(), w.tolist(), strict=True))
+        restorer = Restorer(model.value, weight)
         for batch in batches:
-            z = np.array([b + sum(weight[i] for i in f.tolist() if i in weight) for f in _hashed(texts(batch.column(1)), restorer)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=["doc_id", "score"])
+            z = np.array([b + sum(weight[i] for i in f.tolist()) for f in _hashed(batch.column(at), restorer)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=[*batch.schema.names, "_score"])
+
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, held_out, score, predicted.
+
+    1. Character ORDER-grams are counted over all texts (a table of fixed size) and give the character model.
+    2. Each text's tokens that look disguised (digits or signs among letters, letters three times, marks between letters,
+       letters spaced out) are decoded by Viterbi; a text's features are its words as they stand and as restored.
+    3. Word counts by label over all labelled rows outside the held-out fifth choose the MOST_WORDS words that tell most (by
+       the likelihood ratio); their weights are fitted on at most MOST_LABELLED of these rows, those whose doc_id
+       has the smallest hash. 4. Every text is scored by the model; score >= 0.5 predicts 1.
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    Null and empty texts are scored by the bias. Labels with a null doc_id or toxic are left out; rows that repeat a
+    doc_id count as often as they stand. No usable labels: all scores are low. Empty table: no rows.
+    """
+    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels).withColumnRenamed("_score", "score")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that score_toxicity predicts 1 for; all columns of docs, in its order. Rows with a null doc_id stay."""
-    gone = stored(score_toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct(), "toxic")
-    return with_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that score_toxicity predicts 1 for, each judged by its own text whatever its doc_id; all columns of docs, in its order."""
+    return scored(docs, labels).where("_score < 0.5").select(*docs.columns)

@@ -89,9 +89,12 @@ def test_mixing(docs, empty):
     again = mixing.mix(docs.repartition(9), seed=1).collect()
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr)
     assert mixing.mix(empty).count() == 0
-    copies = mixing.mix_documents(docs.dropDuplicates(["doc_id"]))
-    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs.dropDuplicates(["doc_id"])).collect()}
-    assert Counter(r["doc_id"] for r in copies.collect()) == Counter({i: c for i, c in want.items() if c}) and copies.columns == docs.columns
+    # repeated rows share their copies, and none is lost
+    more = docs.unionByName(docs.where("doc_id in (3, 12, 40)")).withColumn("doc_id", F.when(F.col("doc_id") < 9, None).otherwise(F.col("doc_id")))
+    copies, want = mixing.mix_documents(more), Counter()
+    for r in mixing.mix(more).collect():
+        want[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in copies.collect()) == +want and copies.columns == docs.columns
 
 
 def test_mixing_levels_and_expectation(spark):
@@ -145,6 +148,39 @@ def test_decoder():
     assert restorer.words("house") == ["house"] and restorer.words("") == []
 
 
+def exhaustive(x, model, at=0, state=0, text=""):
+    """The least (cost, reading) of all paths through the lattice."""
+    if at == len(x):
+        return (float(model[state * toxicity.SYMBOLS]) if state % toxicity.SYMBOLS else 0.0), text
+    best = None
+    for emitted, cost in toxicity.options(x, at):
+        if emitted == "" or emitted == " " and state % toxicity.SYMBOLS == 0:
+            rest, own = exhaustive(x, model, at + 1, state, text), cost
+        else:
+            cell = state * toxicity.SYMBOLS + toxicity.symbol(emitted)
+            rest, own = exhaustive(x, model, at + 1, cell % toxicity.STATES, text + emitted), cost + float(model[cell])
+        if best is None or own + rest[0] < best[0]:
+            best = own + rest[0], rest[1]
+    return best
+
+
+def test_decoder_finds_the_likeliest(monkeypatch):
+    rng = random.Random(11)
+    words = b" ".join(rng.choice([b"idiot", b"stupid", b"loose", b"bad", b"table", b"six", b"letters"]) for _ in range(3000))
+    model = toxicity.character_model(toxicity.gram_counts(words))
+    tokens = ["".join(rng.choice("abdis01345!*-. |") for _ in range(rng.randint(1, 6))) for _ in range(150)] + ["st*p*d", "1d!0t", "sss", "*", "-"]
+    for dense in (toxicity.DENSE, 0):
+        monkeypatch.setattr(toxicity, "DENSE", dense)
+        for x in tokens:
+            if x.count("*") > 2:
+                continue
+            cost, reading = toxicity.likeliest(x, model)
+            best, _ = exhaustive(x, model)
+            assert abs(cost - best) < 1e-4, (x, reading)
+    assert toxicity.decode("st*p1d", model) == "stupid"
+    assert len(toxicity.decode("a1" * 50_000, model)) > 1000
+
+
 def test_toxicity(spark):
     rng = random.Random(0)
     clean = ["sea", "house", "tree", "river", "stone", "light", "paper", "green", "bread", "music"]
@@ -193,9 +229,8 @@ def test_tokens_are_those_of_the_tokenizer(rows):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(packing.vocabulary_path())
-    reference.encode_special_tokens = True
     tokens = packing.Tokens(packing.vocabulary_path())
-    odd = ["a  b", "a   b", " a", "a ", "a \n \nb", "x\n b  \n\n c", "it's  'll", "\t a  b", "<|endoftext|> x", "é\x1c y", "a\x1c\x1d b", "日本 語", "1 23,4"]
+    odd = ["a  b", "a   b", " a", "a ", "a \n \nb", "x\n b  \n\n c", "it's  'll", "\t a  b", "<|endoftext|> x", "a <|endoftext|>b<|endoftext|><|endoftext|> \n c", "<|endoftext", " <|endoftext|>", "é\x1c y", "a\x1c\x1d b", "日本 語", "1 23,4"]
     for t in [t or "" for _, t in rows] + odd:
         assert np.frombuffer(tokens.ids(t), "<u4").tolist() == reference.encode(t, add_special_tokens=False).ids + [packing.END_ID]
 
