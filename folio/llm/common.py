@@ -101,7 +101,7 @@ def with_ids(rows: DataFrame, ids: DataFrame, on: str | list[str], how: str = "l
     return rows.join(F.broadcast(ids) if small else ids.hint("merge"), on, how)
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges(a, b): component is the smallest node that links reach.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014), each written to the shared folder; a
@@ -110,7 +110,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """
     e = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         # large star: neighbours above a node go to the smallest of its neighbourhood
@@ -128,8 +128,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if (now["n"], now["h"]) == before and now["n"] == now["d"]:
             break
         before = (now["n"], now["h"])
-    else:
-        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     out = e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return out.unionByName(roots)

@@ -50,7 +50,7 @@ def least_places(h: np.ndarray, width: int) -> np.ndarray:
     return np.where(later, at[rest : rest + n], at[:n])
 
 
-def portions(column: pa.Array, most_bytes: int = 2 << 20):
+def portions(column: pa.Array, most_bytes: int = 1 << 19):
     """(first row, texts) of a column, about most_bytes of text at a time, in one piece each text."""
     part, first, size = [], 0, 0
     for i in range(len(column)):
@@ -82,10 +82,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["back"]
 
 
-def word_hashes(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words [^\\x20\\x09-\\x0D]+ of all texts in order, number of words of each text), from running sums of bytes."""
-    data = b"\n".join(texts_)
-    raw = np.frombuffer(data, np.uint8)
+#: Bytes whose running sums are held at once.
+PART = 1 << 19
+
+
+def _hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of raw, which neither begins nor ends within one."""
     up, back = powers(len(raw) + 1)
     edge = np.diff(np.concatenate([[True], _IS_SPACE[raw], [True]]).view(np.int8))
     starts, ends = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
@@ -94,6 +96,22 @@ def word_hashes(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
         h = mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     for i in np.nonzero(ends - starts > LONG_WORD)[0]:
-        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    return starts, h
+
+
+def word_hashes(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words [^\\x20\\x09-\\x0D]+ of all texts in order, number of words of each text), from running sums of bytes, PART at a time (longer words as they are)."""
+    data = b"\n".join(texts_)
+    raw, at, starts, hashes = np.frombuffer(data, np.uint8), 0, [], []
+    while at < len(raw) or not starts:
+        end = at + PART
+        while end < len(raw) and not len(gap := np.nonzero(_IS_SPACE[raw[end : end + 4096]])[0]):
+            end += 4096
+        end = min(len(raw), end + (int(gap[0]) if end < len(raw) else 0))
+        s, h = _hashed_words(raw[at:end])
+        starts.append(s + at)
+        hashes.append(h)
+        at = max(end, at + 1)
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts_])
-    return h, np.diff(np.searchsorted(starts, bounds))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), bounds))

@@ -5,7 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from folio.llm import exact_dedup, jaccard, substring_index, suffix_dedup
+from folio.llm import exact_dedup, jaccard, substring_index, suffix_dedup, text
 from folio.llm.common import components
 from pyspark.sql import functions as F
 
@@ -77,19 +77,46 @@ def test_near_duplicates(docs, rows, empty):
     assert {r["doc_id"] for r in left.collect()} == set(expected.values())
 
 
-def test_many_edited_copies(spark):
-    """Copies of one text with a few edits each: pairs are similar or not by the number of edits, and none may be lost."""
+def test_many_edited_copies(spark, monkeypatch):
+    """Copies of one text with a few edits each: pairs are similar or not by the number of edits, and none may be lost; with small
+    bounds, so that shingles are many and hot. Beside them, texts that share a line, and rows without a doc_id of their own."""
     rng = random.Random(5)
-    base = [f"w{i}" for i in range(100)]
-    rows = []
-    for i in range(150):
-        words = list(base)
-        for _ in range(rng.randint(0, 5)):
-            words[rng.randrange(100)] = f"x{rng.random()}"
-        rows.append((i, " ".join(words)))
-    expected = linked(shingle_sets(rows))
-    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
-    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == expected
+    monkeypatch.setattr(jaccard, "FEW", 6)
+    monkeypatch.setattr(jaccard, "ORDERED", 40)
+    words = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    base, line, rows = words(100), words(12), []
+    for i in range(200):
+        edited = list(base)
+        for _ in range(rng.randint(0, 7)):
+            edited[rng.randrange(100)] = f"x{rng.randrange(60)}"
+        rows.append((i, " ".join(edited)))
+    rows += [(1000 + i, " ".join(line + words(rng.randint(0, 9)))) for i in range(120)]
+    # a chain whose middle has no doc_id, one whose end repeats another's, the largest doc_id, and copies without any
+    for chain, ids in ((words(80), (2001, None, 2003)), (words(80), (1005, 2005, 2006)), (words(80), ((1 << 63) - 1, 2008, 2007)), (words(80), (None, None, None))):
+        for k, i in enumerate(ids):
+            rows.append((i, " ".join(chain[: 80 - 8 * k])))
+    rows += [rows[-1], (None, "")]
+    expected = linked(shingle_sets(enumerate(t for _, t in rows)))
+    groups = defaultdict(list)
+    for place, root in expected.items():
+        groups[root].append(rows[place][0])
+    named = {root: min((i for i in ids if i is not None), default=None) for root, ids in groups.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.near_duplicates(df)
+    sizes = shingle_sets(enumerate(t for _, t in rows))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == Counter((rows[p][0], len(sizes[p]), named[root]) for p, root in expected.items())
+    left = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(df).collect())
+    first = {root: min(((rows[p][0] is None, rows[p][0] or 0, hashlib.sha256(rows[p][1].encode()).hexdigest(), rows[p]) for p, r in expected.items() if r == root), key=lambda x: x[:3])[3] for root in groups}
+    assert set(left) == set(first.values())
+
+
+def test_words_are_hashed_in_parts(monkeypatch):
+    texts = [b"one two  three", b"", b" \t", b"x" * 9000 + b" two " + b"one " * 500, b"three"]
+    whole, each = text.word_hashes(texts)
+    assert each.tolist() == [len(WORD.findall(t)) for t in texts]
+    monkeypatch.setattr(text, "PART", 7)
+    again, each_again = text.word_hashes(texts)
+    assert (whole == again).all() and (each == each_again).all() and whole[0] != whole[1] and whole[0] == whole[5] and whole[2] == whole[-1]
 
 
 def test_components(spark):
