@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, stored
+from .common import MOST_BROADCAST, SPACES, let, stored
 
 #: Documents that one reduction step pairs in sequence, on average; its residual goes to the next level.
 FAN_IN = 128
@@ -179,7 +179,8 @@ def mix_documents(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (
     drawn = stored(mix(docs, seed, weights, most).groupBy(*key).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows")), "copies")
     sized = docs.withColumn("_n", n_words(F.col("text")))
     on = sized["doc_id"].cast("long").eqNullSafe(F.col("_id")) & sized["source"].eqNullSafe(F.col("_source")) & (sized["_n"] == F.col("_size"))
-    joined = sized.join(drawn, on)
+    small = drawn.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    joined = sized.join(F.broadcast(drawn) if small else drawn.hint("merge"), on)
     own = joined.where("_rows = 1").withColumn("_copies", F.col("_sum").cast("int"))
     if not drawn.where("_rows > 1").isEmpty():
         place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text"))) - 1
