@@ -47,27 +47,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over four tasks a core: costly rows of one file split go to many tasks."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    """df as it is where its files have as many splits as there are cores; the costly rows of a few splits go to four tasks a core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores, *keys)
 
 
-def ascii_only(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\x20-\x7e\n]", "")
-
-
-# DuckDB's levenshtein counts bytes, so both engines compare what is ASCII.
-D_ASCII = r"regexp_replace({}, '[^\x20-\x7e\n]', '', 'g')"
+# DuckDB's levenshtein counts bytes: the misread copies put single letters of ASCII for others, which costs as much in bytes as in characters.
+D_FRACTION = "(('0x' || substr(md5(concat_ws(':', {})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 D_DRAW = "('0x' || substr(md5(concat_ws(':', {})), 1, 8))::BIGINT"
 D_CER = "CASE WHEN length({t}) = 0 AND length({p}) = 0 THEN 0.0 WHEN length({t}) = 0 THEN 1.0 ELSE levenshtein({p}, {t})::DOUBLE / length({t}) END"
 
 
 # ---- error rates of single texts
 
-TURNS = f"SELECT conv_id, turn, role, {D_ASCII.format('text')} AS t FROM conversations"
+TURNS = "SELECT conv_id, turn, role, text AS t FROM conversations"
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", ascii_only(F.col("text")).alias("t")), "conv_id", "turn")
+    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("t")), "conv_id", "turn")
 
 
 @query(f"WITH s AS ({TURNS}) SELECT conv_id, turn, {D_CER.format(t='t', p=chr(116) + 'ranslate(t, ' + repr('lo') + ', ' + repr('10') + ')')} AS cer FROM s")
@@ -76,7 +73,7 @@ def cer_by_turn(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", cer(F.translate("t", "lo", "10"), F.col("t")).alias("cer"))
 
 
-W = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
+W = r"list_filter(string_split_regex({}, '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda w: w <> '')"
 D_CODES = "list_aggregate(list_transform({w}, lambda x: chr(list_position(v, x)::INTEGER)), 'string_agg', '')"
 
 
@@ -106,7 +103,7 @@ def reward_by_turn(spark, sf_dir):
 
 def line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = spread(docs.select("doc_id", "lang", "source", "line", ascii_only(F.col("raw")).alias("text")), "doc_id", "line")
+    lines = spread(docs.select("doc_id", "lang", "source", "line", F.col("raw").alias("text")), "doc_id", "line")
     read = F.col("doc_id") % 50 != 7
     conf = 0.5 + draw(F.col("doc_id"), F.col("line")) % 500 / 1000.0
     made = lines.select("*", F.when(read, F.translate("text", "l", "1")).alias("_original"), F.array(conf).alias("_original_scores"), F.when(read, F.translate("text", "lo", "10")).alias("_augmented"), F.array(conf - 0.2).alias("_augmented_scores"))
@@ -125,7 +122,7 @@ def d_metrics() -> str:
             f"CASE WHEN lost THEN 0.0 ELSE {conf} END AS {name}_confidence",
         ]
     return f"""l AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-    s AS (SELECT doc_id, lang, source, line, {D_ASCII.format('raw')} AS t, doc_id % 50 = 7 AS lost, 0.5 + {D_DRAW.format('doc_id, line')} % 500 / 1000.0 AS conf FROM l),
+    s AS (SELECT doc_id, lang, source, line, raw AS t, doc_id % 50 = 7 AS lost, 0.5 + {D_DRAW.format('doc_id, line')} % 500 / 1000.0 AS conf FROM l),
     m AS (SELECT doc_id, lang, source, line, {', '.join(parts)} FROM s)"""
 
 
@@ -450,18 +447,63 @@ def degrade_look_alikes(spark, sf_dir):
     return docs.select("doc_id", F.md5(dg.rule("InkBleed", F.col("text"), F.lit(1.0), 5, F.col("doc_id"))).alias("degraded_md5"))
 
 
-@query()
+CHARS = "regexp_extract_all({}, '(?s).')"
+RUN = "replace(replace(replace(w, 'rn', 'm'), 'cl', 'd'), 'vv', 'w')"
+
+
+def d_words(text: str, chance: str, *keys: str) -> str:
+    """SQL of look-alike pairs that run together in the words that a draw hits."""
+    return f"array_to_string(list_transform(string_split({text}, ' '), lambda w, i: CASE WHEN {D_FRACTION.format(', '.join([*keys, 'i - 1']))} < least(1.0, ({chance}) * 5) THEN {RUN} ELSE w END), ' ')"
+
+
+def d_chars(text: str, chance: str, to: str, *keys: str) -> str:
+    """SQL of to(c) for each character that a draw hits."""
+    return f"array_to_string(list_transform({CHARS.format(text)}, lambda c, i: CASE WHEN {D_FRACTION.format(', '.join([*keys, 'i - 1']))} < {chance} THEN {to} ELSE c END), '')"
+
+
+BRIGHT = "0.1 * abs(1 - (0.8 + 0.3999999999999999 * " + D_FRACTION.format("3, id, 1, 'Brightness', 'Brightness', 'x'") + ")) / 0.4"
+
+
+@query(
+    f"""WITH a AS (SELECT conv_id, turn, concat_ws(':', conv_id, turn) AS id, text FROM conversations), b AS (SELECT *, {d_chars('text', '0.02::DOUBLE * 5', "translate(c, 'O0l1', '0O1l')", '3', 'id', '0', "'Gamma'", "'Gamma'")} AS t1 FROM a),
+    c AS (SELECT *, {d_chars('t1', BRIGHT, "''", '3', 'id', '1', "'Brightness'", "'Brightness'")} AS t2 FROM b)
+    SELECT conv_id, turn, 'Gamma,Brightness,InkBleed' AS applied, md5({d_words('t2', '0.02::DOUBLE', '3', 'id', '2', "'InkBleed'", "'InkBleed'")}) AS degraded_md5 FROM c"""
+)
 def degrade_chain(spark, sf_dir):
     """Given effects in the given order, on conversations."""
     conv = spread(table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn")), "id")
     return dg.degrade_chain(conv, ["Gamma", "Brightness", "InkBleed"], 3, {"Brightness": (0.8, 1.2)}, key="id").select("conv_id", "turn", F.array_join("applied", ",").alias("applied"), F.md5("degraded").alias("degraded_md5"))
 
 
+INK_CHANCE = "0.1 * (0.2 + 0.39999999999999997 * {}) / 0.8"
+
+
+@query(f"""SELECT doc_id, md5({d_words('text', INK_CHANCE.format(D_FRACTION.format("5, doc_id, 0, 'InkBleed', 'InkBleed', 'x'")), '5', 'doc_id', '0', "'InkBleed'", "'InkBleed'")}) AS degraded_md5 FROM documents""")
+def degrade_one(spark, sf_dir):
+    """A single effect, always applied, to every document."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return dg.degrade_one(docs, "InkBleed", 5, 0.2, 0.6).select("doc_id", F.md5("degraded").alias("degraded_md5"))
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, text, {D_FRACTION.format("8, doc_id, 0, 'InkBleed', 'p'")} < 0.5 AS ink, {D_FRACTION.format("8, doc_id, 1, 'Gamma', 'p'")} < 0.25 AS gamma FROM documents),
+    b AS (SELECT *, CASE WHEN ink THEN {d_words('text', '0.02::DOUBLE', '8', 'doc_id', '0', "'InkBleed'", "'InkBleed'")} ELSE text END AS t1 FROM a)
+    SELECT doc_id, CASE WHEN ink AND gamma THEN 'InkBleed,Gamma' WHEN ink THEN 'InkBleed' WHEN gamma THEN 'Gamma' ELSE '' END AS applied,
+    md5(CASE WHEN gamma THEN {d_chars('t1', '0.02::DOUBLE * 5', "translate(c, 'O0l1', '0O1l')", '8', 'doc_id', '1', "'Gamma'", "'Gamma'")} ELSE t1 END) AS degraded_md5 FROM b"""
+)
+def degrade_custom(spark, sf_dir):
+    """Effects given out of order are sorted into phases, each with its probability."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    out = dg.degrade_custom(docs, [("Gamma", 0.25, None, None), ("InkBleed", 0.5, None, None)], 8)
+    return out.select("doc_id", F.array_join("applied", ",").alias("applied"), F.md5("degraded").alias("degraded_md5"))
+
+
 @query()
 def sweep_best_params(spark, sf_dir):
-    """The best of eight candidate vectors for each benchmark text."""
-    docs = spread(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), "doc_id")
-    actions = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(8).select(F.col("vec_id").alias("action_id"), _action(F.col("embedding")).alias("action"))
+    """The best of a stated grid of parameter vectors for each turn of a conversation."""
+    docs = spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"), "doc_id")
+    grid = [(i, [a if j % 2 else b for j in range(12)]) for i, (a, b) in enumerate((a, b) for a in (0.0, 0.5, 1.0) for b in (0.0, 0.5, 1.0))]
+    actions = spark.createDataFrame(grid, "action_id long, action array<double>")
     return ev.best_params(sweep.sweep(docs, actions), "doc_id").withColumn("reward", F.round("reward", 9))
 
 
@@ -514,7 +556,7 @@ def windowed_quality(spark, sf_dir):
     return _quality(jobs.windowed_quality(_events(spark, sf_dir), "6 hours", "1 hour", "event_type"))
 
 
-@query()
+@query(QUALITY.replace("GROUP BY", "WHERE time_bucket(INTERVAL '6 hours', ts::TIMESTAMP, TIMESTAMP '1970-01-01') + INTERVAL '6 hours' <= (SELECT max(ts)::TIMESTAMP - INTERVAL '1 hour' FROM events) GROUP BY"))
 def stream_quality(spark, sf_dir):
     """The same from a stream in append mode: windows that the watermark has passed."""
     stream = jobs.windowed_quality(_event_stream(spark, sf_dir), "6 hours", "1 hour", "event_type")
@@ -561,3 +603,102 @@ def recognize(spark, sf_dir):
     return user.recognize(texts, _Reader).select("id", F.md5("text").alias("text_md5"), F.col("error").isNotNull().alias("failed"))
 
 
+
+
+# ---- truths with their predictions, files, checks and numbers
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations),
+    m AS (SELECT doc_id, text AS t, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 1 THEN translate(text, 'lo', '10') END AS o, CASE WHEN doc_id % 3 <> 0 THEN translate(text, 'e', 'c') END AS a FROM t)
+    SELECT doc_id, """
+    + ", ".join(
+        f"CASE WHEN {p} IS NULL THEN 1.0 ELSE {D_CER.format(t='t', p=p)} END AS {n}_cer, CASE WHEN {p} IS NULL THEN 1.0 WHEN len({W.format('t')}) = 0 THEN 0.0 ELSE len(list_filter(list_zip({W.format('t')}, {W.format(p)}), lambda z: z[1] <> z[2]))::DOUBLE / len({W.format('t')}) END AS {n}_wer, CASE WHEN {p} IS NULL THEN 0.0 ELSE {c} END AS {n}_confidence"
+        for n, p, c in (("original", "o", "(0.5 + 0.75) / 2"), ("augmented", "a", "0.0"))
+    )
+    + " FROM m"
+)
+def join_predictions(spark, sf_dir):
+    """Turns joined with two tables of predictions: one lacks rows and holds null texts, the other has no scores."""
+    turns_ = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    original = turns_.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 != 1, F.translate("text", "lo", "10")).alias("text"), F.array(F.lit(0.5), F.lit(0.75)).alias("scores"))
+    augmented = turns_.where("doc_id % 3 <> 0").select("doc_id", F.translate("text", "e", "c").alias("text"), F.array().cast("array<double>").alias("scores"))
+    return pairing.join_predictions(turns_, original, augmented).drop("text")
+
+
+@query("SELECT 'c_' || c_custkey || '.png' AS image_path, c_name || chr(10) || c_mktsegment AS text, 2::BIGINT AS n_regions, CASE WHEN c_custkey % 2 = 0 THEN 0.5 ELSE 1.0 END AS least_confidence, c_custkey % 9 + 0.0 AS x1, 0.0 AS y3 FROM customer")
+def read_xml_annotations(spark, sf_dir):
+    """All customers written as XML annotations and read back; a region without text falls out, what lacks takes its default."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    region = lambda text, more: F.concat(F.lit("<text_region"), more, F.lit("><coords x1=\""), (key % 9).cast("string"), F.lit("\" y1=\"1\" x2=\"5\"/><text>"), text, F.lit("</text></text_region>"))
+    half = F.when(key % 2 == 0, F.lit(" confidence=\"0.5\"")).otherwise(F.lit(""))
+    xml = F.concat(F.lit("<document image=\"c_"), key.cast("string"), F.lit(".png\">"), region(F.col("c_name"), F.lit("")), region(F.col("c_mktsegment"), half), F.lit("<text_region><coords x1=\"1\"/></text_region></document>"))
+    path = shared_path(spark, "xml")
+    c.select(xml.alias("value")).write.text(path)
+    good, _ = annotations.read_gt_xml(spark, path, multi_line=False)
+    box = F.col("regions")[0]["box"]
+    return good.select("image_path", "text", F.size("regions").cast("long").alias("n_regions"), F.array_min(F.transform("regions", lambda r: r["confidence"])).alias("least_confidence"), box[0][0].alias("x1"), box[2][1].alias("y3"))
+
+
+@query("SELECT 'doc_' || doc_id || '.png' AS image_path, md5(text) AS text_md5, md5(text) AS full_text_md5, len(string_split(text, chr(10))) AS n_regions, CASE WHEN doc_id % 4 = 0 THEN len(string_split(text, chr(10))) ELSE 0 END AS n_faults FROM documents")
+def stream_annotations(spark, sf_dir):
+    """All documents as annotation files that a stream reads as they arrive; every fourth has confidences that are none."""
+    box = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in ((0, 0), (100, 0), (100, 20), (0, 20))])
+    confidence = F.when(F.col("doc_id") % 4 == 0, 1.5).otherwise(0.5)
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(box.alias("box"), x.alias("text"), confidence.alias("confidence")))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image_path"), "text", lines.alias("regions"))
+    path = shared_path(spark, "arriving")
+    annotations.write_annotations(docs, path)
+    out = jobs.run_to_end(jobs.stream_annotations(spark, f"{path}/documents"), shared_path(spark, "arrived"))
+    return out.select("image_path", F.md5("text").alias("text_md5"), F.md5("full_text").alias("full_text_md5"), F.col("n_regions").cast("long").alias("n_regions"), F.col("n_faults").cast("long").alias("n_faults"))
+
+
+@query("SELECT event_id, 'preset p' || (user_id % 3) || ', ' || event_type || ': e' || (event_id % 10) || ' has p = ' || ((event_id % 7 - 1) * 0.25)::DOUBLE AS reason FROM events WHERE event_id % 7 IN (0, 6)")
+def validate_preset(spark, sf_dir):
+    """Probabilities made of events: those beyond 0 to 1 are named."""
+    made = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("preset"), F.col("event_type").alias("phase"), F.concat(F.lit("e"), (F.col("event_id") % 10).cast("string")).alias("effect"), ((F.col("event_id") % 7 - 1) * 0.25).alias("p"))
+    return validate.validate_preset(made).select("event_id", "reason")
+
+
+@query("SELECT conv_id, role FROM conversations WHERE turn = 1")
+def zones_on_page(spark, sf_dir):
+    """Turns as pages: those of one page."""
+    return validate.zones_on_page(table(spark, sf_dir, "conversations").withColumn("page", F.col("turn")), 1).select("conv_id", "role")
+
+
+@query(f"WITH e(effect, phase) AS (VALUES {_effect_values()}) SELECT event_id, effect FROM events JOIN (SELECT effect, row_number() OVER (ORDER BY effect) - 1 AS k, count(*) OVER () AS n FROM e WHERE phase = 'post') ON user_id % n = k")
+def effects_of_a_phase(spark, sf_dir):
+    """Each event's effect among those of the last phase, by user."""
+    post = validate.enabled_effects(validate.effects_in_phase(effects.effects_table(spark), "post"))
+    names = sorted(r["effect"] for r in post.collect())
+    keyed = post.select("effect", (F.array_position(F.array(*[F.lit(n) for n in names]), F.col("effect")) - 1).alias("k"))
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % len(names)).alias("k"))
+    return events.join(F.broadcast(keyed), "k").select("event_id", "effect")
+
+
+@query("SELECT doc_id, trunc((1 - s) * 255)::INTEGER AS r, trunc(s * 255)::INTEGER AS g, 0 AS b FROM (SELECT doc_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (n_chars % 131 - 10) / 100.0::DOUBLE)) AS s FROM documents)")
+def confidence_colors(spark, sf_dir):
+    """Colours of scores, some beyond 0 to 1."""
+    color = confidence_color((F.col("n_chars") % 131 - 10) / F.lit(100.0))
+    return table(spark, sf_dir, "documents").select("doc_id", color["r"].alias("r"), color["g"].alias("g"), color["b"].alias("b"))
+
+
+@query("SELECT i AS doc_no, i + 77 AS seed, 'doc_' || lpad((i + 1)::VARCHAR, 6, '0') AS stem, 'doc_' || lpad((i + 1)::VARCHAR, 6, '0') || '.png' AS image_path, z AS zone_id FROM range((SELECT count(*) FROM pages)) AS r(i), (VALUES ('z1'), ('z2'), ('z3'), ('z4'), ('z5'), ('z6')) AS t(z)")
+def documents_by_zones(spark, sf_dir):
+    """As many numbered documents as there are pages, by the form's zones."""
+    _, _, zones = form(spark)
+    return ex.documents_by_zones(spark, table(spark, sf_dir, "pages").count(), 77, zones.select("zone_id"))
+
+
+@query("SELECT name, n::BIGINT AS n FROM (VALUES ('train_val', 0), ('train_test', 0), ('val_test', 0), ('missing', 0), ('extra', 0)) AS t(name, n), (SELECT count(*) AS c FROM documents) WHERE c > 2")
+def check_split(spark, sf_dir):
+    """The parts of a split share nothing and lack nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    found = ex.check_split(*ex.split(docs, 0.2, 0.1, 3, "doc_id"), docs)
+    return spark.createDataFrame(list(found.items()), "name string, n long")
+
+
+@query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang")
+def with_transform(spark, sf_dir):
+    """A function of the user's own over the whole table."""
+    return user.with_transform(table(spark, sf_dir, "documents"), lambda t: t.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars")))

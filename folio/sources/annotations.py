@@ -43,10 +43,10 @@ def read_gt_json(spark: SparkSession, path: str, multi_line: bool = True) -> tup
 XML_DOCUMENT = """_image string, text_region array<struct<_confidence:double,text:string,coords:struct<_x1:double,_y1:double,_x2:double,_y2:double,_x3:double,_y3:double,_x4:double,_y4:double>>>, _corrupt_record string"""
 
 
-def read_gt_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(annotations, rejects) of <document image> files: regions lacking coords or text are left out, a coordinate defaults to 0,
+def read_gt_xml(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(annotations, rejects) of <document image> files (or of large files with many, which are then split): regions lacking coords or text are left out, a coordinate defaults to 0,
     confidence to 1; the document's text is that of its regions, a line each."""
-    raw = spark.read.format("xml").option("rowTag", "document").schema(XML_DOCUMENT).load(path).withColumn("path", F.col("_metadata.file_path"))
+    raw = spark.read.format("xml").option("rowTag", "document").option("multiLine", multi_line).schema(XML_DOCUMENT).load(path).withColumn("path", F.col("_metadata.file_path"))
     kept = F.filter(F.coalesce("text_region", F.array().cast("array<struct<_confidence:double,text:string,coords:struct<_x1:double,_y1:double,_x2:double,_y2:double,_x3:double,_y3:double,_x4:double,_y4:double>>>")), lambda r: r["coords"].isNotNull() & r["text"].isNotNull())
 
     def region(r: Column) -> Column:
