@@ -271,23 +271,65 @@ def _spans(windows: list[int], at: int) -> list[tuple[int, int]]:
     return out
 
 
+def meeting(groups: list[list[bytes]], whole: Grams) -> list[list[tuple[int, int] | None]]:
+    """For each string of each group the (first, last) of its windows whose hash stands twice in the group, or None: no other windows can be equal."""
+    strings = [x for g in groups for x in g]
+    n = np.array([len(x) for x in strings])
+    starts, windows = np.cumsum(n) - n, n - LENGTH + 1
+    owner = np.repeat(np.arange(len(strings)), windows)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    group = np.repeat(np.arange(len(groups), dtype=np.uint64), [len(g) for g in groups])
+    with np.errstate(over="ignore"):
+        key = whole.of(b"".join(strings))[starts[owner] + offset] ^ (group[owner] * np.uint64(_BASE))
+    order = np.argsort(key)
+    same = np.nonzero(key[order[1:]] == key[order[:-1]])[0]
+    twice = np.zeros(len(key), bool)
+    twice[order[same]] = twice[order[same + 1]] = True
+    at = np.nonzero(twice)[0]
+    have, first = np.unique(owner[at], return_index=True)
+    last = np.append(first[1:], len(at)) - 1 if len(at) else first
+    found: list[tuple[int, int] | None] = [None] * len(strings)
+    for i, f, z in zip(have.tolist(), offset[at[first]].tolist() if len(at) else [], offset[at[last]].tolist() if len(at) else [], strict=True):
+        found[i] = (f, z)
+    each = iter(found)
+    return [[next(each) for _ in g] for g in groups]
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, begin, end) spans of repeated windows, from runs sorted by (h, bytes)."""
+    """(id, begin, end) spans of repeated windows, from runs sorted by (h, bytes). Groups are looked at some megabyte at a time; what can meet in
+    one, cut to what can meet, goes into its suffix array."""
+    whole = Grams(LENGTH)
     current, strings, occurrences = None, [], []
+    pending: list[tuple[list[bytes], list[list[tuple]]]] = []
+    held = 0
     rows: list[tuple[int, int, int]] = []
 
+    def settle() -> None:
+        nonlocal held
+        for (strings, occurrences), spans in zip(pending, meeting([g for g, _ in pending], whole) if pending else [], strict=True):
+            cut: dict[bytes, list[int]] = defaultdict(list)
+            for i, span in enumerate(spans):
+                if span:
+                    cut[strings[i][span[0] : span[1] + LENGTH]].append(i)
+            for (data, same), offsets in zip(cut.items(), repeated_windows(list(cut)), strict=True):
+                every = sorted(offsets) if len(same) == 1 else range(len(data) - LENGTH + 1)
+                for i in same:
+                    if len(occurrences[i]) == 1 and occurrences[i][0][3] == 1 and every:
+                        id_, at = occurrences[i][0][:2]
+                        rows.extend((id_, a, b) for a, b in _spans(every, at + spans[i][0]))
+        pending.clear()
+        held = 0
+
     def close() -> None:
-        if not strings:
-            return
-        alone = len(strings) == 1
-        found = None if alone else repeated_windows(strings)
-        for i, occ in enumerate(occurrences):
-            whole = len(occ) > 1 or occ[0][3] > 1
-            for id_, at, n, _ in occ:
-                if whole:
-                    rows.append((id_, at, at + n - 1 + LENGTH))
-                elif found is not None and found[i]:
-                    rows.extend((id_, a, b) for a, b in _spans(sorted(found[i]), at))
+        nonlocal held
+        for occ in occurrences:
+            if len(occ) > 1 or occ[0][3] > 1:
+                rows.extend((id_, at, at + n - 1 + LENGTH) for id_, at, n, _ in occ)
+        if len(strings) > 1:
+            pending.append((strings, occurrences))
+            held += sum(map(len, strings))
+            if held > _UNIT // 2:
+                settle()
 
     def out() -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
@@ -309,6 +351,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out()
             rows = []
     close()
+    settle()
     if rows:
         yield out()
 
