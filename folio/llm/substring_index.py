@@ -85,13 +85,14 @@ class FingerprintIndex:
     A new batch becomes a run too, so that matching it with history merges sorted buckets without a shuffle. Fingerprints so
     frequent that one bucket would be overfull (hot_keys, at most HOT_KEYS a run, whose list is kept) lie aside in a
     part that isn't bucketed. compact() merges FAN_IN runs of a level into one of the next, so that n
-    batches leave a logarithmic number of runs and each fingerprint is rewritten as often.
+    batches leave a logarithmic number of runs and each fingerprint is rewritten as often; the merged runs are dropped.
     """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN):
         self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[DataFrame, DataFrame, list[int]]]] = []
+        self.names: dict[int, str] = {}
 
     def _run(self, anchors: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
         """(cold fingerprints, hot ones, hot keys) of a stored table."""
@@ -100,7 +101,9 @@ class FingerprintIndex:
         aside = stored(anchors.where(F.col("h").isin(hot)), "hot")
         cold = anchors.where(~F.col("h").isin(hot)).repartition(self.buckets, "h")
         cold.write.bucketBy(self.buckets, "h").sortBy("h").option("path", new_path(self.spark, "run")).saveAsTable(name)
-        return self.spark.table(name), aside, hot
+        run = self.spark.table(name)
+        self.names[id(run)] = name
+        return run, aside, hot
 
     def runs(self) -> list[tuple[DataFrame, DataFrame, list[int]]]:
         return [r for level in self.levels for r in level]
@@ -138,7 +141,14 @@ class FingerprintIndex:
                 for run, aside, _ in parts:
                     both = run.select("h", "id", "at").unionByName(aside)
                     merged = both if merged is None else merged.unionByName(both)
-                new = self._run(stored(merged, "merged"))
+                both = stored(merged, "merged")
+                new = self._run(both)
+                for run, aside, _ in parts:  # immutable runs go as a whole; the new one holds all their rows
+                    name = self.names.pop(id(run))
+                    drop_stored(run)
+                    drop_stored(aside)
+                    self.spark.sql(f"DROP TABLE {name}")
+                drop_stored(both)
                 self.levels[i] = []
                 if i + 1 == len(self.levels):
                     self.levels.append([])
