@@ -39,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact dedup", dedup), ("n-gram Jaccard join", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: The classifier and the random rounding cannot be stated in SQL; the tests compare the stages with brute force.
+#: The classifier and the random rounding cannot be stated in SQL; the tests compare each operator with brute force, and the stages with what they are given.
 ORACLE_SQL = None
 
 
