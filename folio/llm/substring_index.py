@@ -17,8 +17,8 @@ from .text import least_places, mixed, portions, word_hashes
 
 #: Words of a window, and of the grams of which the one with the least hash is the window's fingerprint.
 WINDOW, GRAM = 20, 8
-#: Runs of the index that are merged into one, and batches that a whole table is worked in.
-FAN_IN, BATCHES = 4, 2
+#: Runs of the index that are merged into one, and batches that a whole table is worked in: the last one meets history as a merged run.
+FAN_IN, BATCHES = 2, 3
 #: Runs of one fingerprint that one task verifies together; the windows of a fingerprint with more are grouped one by one.
 MOST_RUNS = 1000
 
@@ -95,7 +95,7 @@ class FingerprintIndex:
         self.names: dict[int, str] = {}
 
     def _run(self, anchors: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
-        """(cold fingerprints, hot ones, hot keys) of a stored table."""
+        """(cold fingerprints, hot ones, hot keys) of a stored table or a union of such; it is read three times."""
         name = f"folio_run_{uuid.uuid4().hex}"
         hot = [r["h"] for r in hot_keys(anchors, "h").collect()]
         aside = stored(anchors.where(F.col("h").isin(hot)), "hot")
@@ -141,14 +141,12 @@ class FingerprintIndex:
                 for run, aside, _ in parts:
                     both = run.select("h", "id", "at").unionByName(aside)
                     merged = both if merged is None else merged.unionByName(both)
-                both = stored(merged, "merged")
-                new = self._run(both)
+                new = self._run(merged)
                 for run, aside, _ in parts:  # immutable runs go as a whole; the new one holds all their rows
                     name = self.names.pop(id(run))
                     drop_stored(run)
                     drop_stored(aside)
                     self.spark.sql(f"DROP TABLE {name}")
-                drop_stored(both)
                 self.levels[i] = []
                 if i + 1 == len(self.levels):
                     self.levels.append([])
