@@ -20,10 +20,12 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a folder of this process's own where that is unset, as in tests."""
+    """The folder that all executors share, from spark.checkpoint.dir; a folder of this process's own where that is unset, as in tests, on a local master only."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="folio-")
