@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.draw import draw
 from ..functions.geometry import box_geometry, confidence_color, preview_size, to_page_points
 from ..functions.metrics import car, cer, reward, text_similarity, wer
+from ..functions import providers
 from ..functions.params import action_to_params, as_range, is_image_name, merge_params, output_stem, parse_params
 from ..operators import degrade as dg
 from ..operators import evaluate as ev
@@ -382,15 +383,32 @@ def _filled(spark, sf_dir) -> DataFrame:
     return synth.filled_zones(docs.crossJoin(F.broadcast(zones)), types)
 
 
-@query(
-    f"""SELECT c_custkey AS seed, z AS zone_id, CASE z WHEN 'z3' THEN (['yes', 'no', 'maybe'])[{D_DRAW.format('c_custkey')} % 3 + 1] WHEN 'z4' THEN '☑' ELSE '$' || format('{{:,}}', 100 + {D_DRAW.format("c_custkey, 'z2', 'price'")} % 9900) || '.' || lpad(({D_DRAW.format("c_custkey, 'z2', 'cents'")} % 100)::VARCHAR, 2, '0') END AS text,
-    CASE z WHEN 'z3' THEN 16 + {D_DRAW.format("c_custkey, 'default', 'stamp'")} % 5 ELSE 10 + {D_DRAW.format("c_custkey, 'default', 'standard'")} % 5 END AS font_size FROM customer, (VALUES ('z2'), ('z3'), ('z4')) AS t(z)"""
+def d_pick(values: list[str], *keys: str) -> str:
+    """SQL of the value that a draw picks."""
+    return f"({values})[{D_DRAW.format(', '.join(keys))} % {len(values)} + 1]"
+
+
+D_CODE = " || ".join(
+    ["'-'" if i == 2 else f"substr('abcdefghijklmnopqrstuvwxyz', {D_DRAW.format(f"c_custkey, 'z5', {i}, 'letter'")} % 26 + 1, 1)" if i < 2 else f"({D_DRAW.format(f"c_custkey, 'z5', {i}")} % 10)::VARCHAR" for i in range(7)]
 )
+
+
+ZONES = f"""SELECT c_custkey AS seed, z AS zone_id, CASE z
+WHEN 'z1' THEN {d_pick(providers.FIRST, 'c_custkey', "'default'", "'first'")} || ' ' || {d_pick(providers.LAST, 'c_custkey', "'default'", "'last'")}
+WHEN 'z2' THEN '$' || format('{{:,}}', 100 + {D_DRAW.format("c_custkey, 'z2', 'price'")} % 9900) || '.' || lpad(({D_DRAW.format("c_custkey, 'z2', 'cents'")} % 100)::VARCHAR, 2, '0')
+WHEN 'z3' THEN (['yes', 'no', 'maybe'])[{D_DRAW.format('c_custkey')} % 3 + 1]
+WHEN 'z4' THEN '☑'
+WHEN 'z5' THEN {D_CODE}
+ELSE strftime(DATE '2024-01-01' + ({D_DRAW.format("c_custkey, 'z6', 'day'")} % 18001 - 18000)::INTEGER, '%B %d, %Y') END AS text,
+CASE z WHEN 'z3' THEN 16 + {D_DRAW.format("c_custkey, 'default', 'stamp'")} % 5 ELSE 10 + {D_DRAW.format("c_custkey, 'default', 'standard'")} % 5 END AS font_size FROM customer, (VALUES ('z1'), ('z2'), ('z3'), ('z4'), ('z5'), ('z6')) AS t(z)"""
+
+
+@query(ZONES)
 def zone_text_and_style(spark, sf_dir):
-    return _filled(spark, sf_dir).where(F.col("zone_id").isin("z2", "z3", "z4")).select("seed", "zone_id", "text", F.col("font_size").cast("long").alias("font_size"))
+    return _filled(spark, sf_dir).select("seed", "zone_id", "text", F.col("font_size").cast("long").alias("font_size"))
 
 
-@query()
+@query(f"WITH z AS ({ZONES}) SELECT seed, string_agg(text, chr(10) ORDER BY zone_id) AS text, count(*)::INTEGER AS n_regions, true AS synthetic FROM z GROUP BY seed")
 def synth_documents(spark, sf_dir):
     """Annotations of the filled forms; names, patterns and dates are this library's own draws."""
     docs = synth.build_annotations(_filled(spark, sf_dir))

@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir), or in one of this process where that is unset."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir), or in one of this process where that is unset, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="folio-"))
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
