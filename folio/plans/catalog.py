@@ -415,7 +415,19 @@ def synth_documents(spark, sf_dir):
     return docs.select("seed", "text", F.size("regions").alias("n_regions"), "synthetic")
 
 
-@query()
+def d_inside(mean: float, sd: float, low: float, high: float, fallback: float, axis: str) -> str:
+    """SQL of the first of twenty normal draws (Box-Muller) that lies in a stamp's box."""
+    keys = f"seed, zone_id, '{axis}', i"
+    drawn = f"{mean}::DOUBLE + {sd}::DOUBLE * sqrt(-2 * ln(({D_DRAW.format(keys + ", 'u'")} + 1) / 4294967297.0::DOUBLE)) * cos(2 * pi() * {D_FRACTION.format(keys + ", 'v'")})"
+    return f"coalesce(list_filter(list_transform(range(20), lambda i: {drawn}), lambda p: p BETWEEN {low} AND {high})[1], {fallback}::DOUBLE)"
+
+
+@query(
+    f"""WITH z AS ({ZONES})
+    SELECT seed, zone_id, CASE WHEN zone_id = 'z3' THEN upper(text) ELSE text END AS shown,
+    round(CASE zone_id WHEN 'z2' THEN 200 - 0.55::DOUBLE * font_size * length(text) - 4 WHEN 'z3' THEN {d_inside(24, 10, 0, 200, 24, 'x')} WHEN 'z4' THEN (20 - 0.55::DOUBLE * font_size * length(text)) / 2 ELSE 10.0::DOUBLE END, 6) AS x,
+    round(CASE zone_id WHEN 'z1' THEN 3.0::DOUBLE WHEN 'z2' THEN 43 WHEN 'z3' THEN {d_inside(95, 1.5, 80, 110, 83, 'y')} WHEN 'z4' THEN 122 WHEN 'z5' THEN 163 ELSE 203 END, 6) AS y FROM z"""
+)
 def placement(spark, sf_dir):
     """Where texts start in their boxes."""
     return _filled(spark, sf_dir).select("seed", "zone_id", "shown", F.round("at.x", 6).alias("x"), F.round("at.y", 6).alias("y"))
