@@ -441,14 +441,20 @@ def missing_styles(spark, sf_dir):
     return validate.missing_styles(zones, types).select("seed", "respondent_id")
 
 
-@query("SELECT c_custkey AS seed, c_custkey % 3 <> 2 AS known FROM customer")
+@query(
+    f"""WITH r AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'default' END AS r FROM customer),
+    n AS (SELECT c_custkey, r, {d_pick(providers.FIRST, 'c_custkey', 'r', "'first'")} AS f, {d_pick(providers.LAST, 'c_custkey', 'r', "'last'")} AS l FROM r)
+    SELECT c_custkey AS seed, r IS NOT NULL AS known, CASE WHEN r IS NOT NULL THEN f || ' ' || l END AS full_name, CASE WHEN r IS NOT NULL THEN f[1] || '.' || l[1] || '.' END AS initials,
+    CASE WHEN r IS NOT NULL THEN lpad(({D_DRAW.format("c_custkey, r, 'a'")} % 899 + 1)::VARCHAR, 3, '0') || '-' || lpad(({D_DRAW.format("c_custkey, r, 'b'")} % 99 + 1)::VARCHAR, 2, '0') || '-' || lpad(({D_DRAW.format("c_custkey, r, 'c'")} % 9999 + 1)::VARCHAR, 4, '0') END AS ssn,
+    CASE WHEN r IS NOT NULL THEN ({D_DRAW.format("c_custkey, r, 'no'")} % 999 + 1) || ' ' || {d_pick(providers.STREETS, 'c_custkey', 'r', "'street'")} END AS address FROM n"""
+)
 def attach_identity(spark, sf_dir):
     """Zones with their respondent's identity, the default one, or none."""
     seeds = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("seed"))
     people = spark.createDataFrame([("a",), ("default",)], "respondent_id string")
     known = synth.identities(seeds, people).where("not (seed % 3 = 2 and respondent_id = 'default')")
     zones = seeds.withColumn("respondent_id", F.when(F.col("seed") % 3 == 0, "a").otherwise("ghost"))
-    return synth.attach_identity(zones, known).select("seed", F.col("who").isNotNull().alias("known"))
+    return synth.attach_identity(zones, known).select("seed", F.col("who").isNotNull().alias("known"), *[F.col(f"who.{c}").alias(c) for c in ("full_name", "initials", "ssn", "address")])
 
 
 # ---- degradation
