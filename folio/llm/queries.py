@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, neighbours, packing, substring_index, suffix_dedup, toxicity, url_filter, warc
+from . import best_fit, exact_dedup, jaccard, mixing, neighbours, packing, prefix_trie, ranked, substring_index, suffix_dedup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best_fit(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (
+    op1_warc, op2_mixing, op3_neighbours, op4_toxicity, op5_jaccard, op6_exact_dedup, op7_substring_index, op8_suffix_dedup, op9_url_filter, op10_packing, op11_prefix_trie, op12_best_fit, op13_ranked_search,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_neighbours, op4_toxicity, op5_jaccard, op6_exact_dedup, op7_substring_index, op8_suffix_dedup, op9_url_filter, op10_packing)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.SQL}
+    return {"op6_exact_dedup": exact_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL, "op13_ranked_search": ranked.SQL}
