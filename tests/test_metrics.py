@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from folio.functions import metrics
 from folio.functions.metrics import car, cer, mean_confidence, reward, wer
 
 
@@ -29,6 +32,38 @@ def test_long_texts_agree_with_plain_levenshtein(spark):
     assert all(r["c"] == r["d"] for r in got)
 
 
+def plain(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("together", [1, 10**9])
+def test_distances_of_many_pairs(monkeypatch, together):
+    """Substitutions, insertions, unlike texts, one, two and several words of bits: together and one by one, against the whole table."""
+    monkeypatch.setattr(metrics, "TOGETHER", together)
+    rng, pairs = random.Random(3), [None, ("", ""), ("a", ""), ("", "ab"), ("x" * 64, "y" * 64), ("x" * 65, "y" * 63), ("aé😀", "é😀b")]
+    for k in range(160):
+        a = "".join(rng.choice("abcé😀") for _ in range(rng.choice([3, 20, 63, 64, 65, 129, 200])))
+        b = list(a)
+        for _ in range(rng.randint(0, 25)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "ab"])
+        pairs.append((a, "".join(b) if k % 4 else "".join(rng.choice("abz") for _ in range(rng.randint(1, 140)))))
+    assert metrics.text_distances(pairs) == [None if p is None else plain(*p) for p in pairs]
+
+
+def test_bounds():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 9)) for _ in range(2))
+        low, high = metrics.bounds(a, b)
+        assert low <= plain(a, b) == metrics.sequence_distance(a, b) <= high
+
+
 def test_confidence_and_reward(spark):
     assert one(spark, mean_confidence(F.col("s")), s=[0.5, 1.0]) == 0.75
     assert spark.range(1).select(mean_confidence(F.array().cast("array<double>"))).first()[0] == 0.0
