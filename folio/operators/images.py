@@ -1,4 +1,4 @@
-"""Effects on images that are array arithmetic, and structural similarity; rows of (id, height, width, data) with 8-bit grey or three channels."""
+"""Effects on images that are array arithmetic, and structural similarity; rows of (name, height, width, n_channels, data) with bytes, as read_images gives them."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.pictures import FLUSH, IMAGE, pixels
 
 EFFECTS = ["Brightness", "Gamma", "LowLightNoise", "NoiseTexturize", "ColorShift", "Dithering", "InkBleed"]
-IMAGE = "id long, height int, width int, data binary"
 
 
 def apply_effect(x: np.ndarray, effect: str, amount: float, seed: int) -> np.ndarray:
@@ -25,7 +27,7 @@ def apply_effect(x: np.ndarray, effect: str, amount: float, seed: int) -> np.nda
     elif effect == "NoiseTexturize":
         f = f + rng.normal(0, max(amount, 0), x.shape[:2])[..., None]
     elif effect == "ColorShift":
-        f = np.stack([np.roll(f[..., c], int(amount) * (c - 1), axis=1) for c in range(f.shape[2])], axis=2)
+        f = f if f.shape[2] == 1 else np.stack([np.roll(f[..., c], int(amount) * (c - 1), axis=1) if c < 3 else f[..., c] for c in range(f.shape[2])], axis=2)
     elif effect == "Dithering":
         bayer = (np.array([[0, 2], [3, 1]], np.float32) + 0.5) * 64
         f = 255.0 * (f > np.tile(bayer, (x.shape[0] // 2 + 1, x.shape[1] // 2 + 1))[: x.shape[0], : x.shape[1], None])
@@ -40,20 +42,52 @@ def apply_effect(x: np.ndarray, effect: str, amount: float, seed: int) -> np.nda
     return np.clip(np.rint(f), 0, 255).astype(np.uint8)
 
 
-def augment_images(df: DataFrame, effect: str, amount: float, seed: int = 0) -> DataFrame:
-    """df(id, height, width, data) with the effect on each; draws depend on seed and id."""
-    if effect not in EFFECTS:
-        raise ValueError(f"no such effect on images: {effect}")
+def augment_images(images: DataFrame, effects: list[tuple[str, float]], seed: int = 0) -> DataFrame:
+    """A row (name, effect, height, width, n_channels, data) for each image and each of the effects (name, amount), in one pass: an image is read once for all of them.
+
+    Draws depend on seed, name and effect, never on partitions. Images without points come back as they are.
+    """
+    unknown = [e for e, _ in effects if e not in EFFECTS]
+    if unknown:
+        raise ValueError(f"no such effects on images: {unknown}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["name", "effect", "height", "width", "n_channels", "data"])
+
+        rows, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                x = pixels(row)
+                for effect, amount in effects:
+                    y = apply_effect(x, effect, amount, zlib.crc32(f"{seed}:{row['name']}:{effect}".encode())) if x.size else x
+                    rows.append((row["name"], effect, *x.shape, y.tobytes()))
+                    size += y.nbytes
+                    if size > FLUSH:
+                        yield out(rows)
+                        rows, size = [], 0
+        if rows:
+            yield out(rows)
+
+    return images.select("name", "height", "width", "n_channels", "data").mapInArrow(run, IMAGE.replace("name string", "name string, effect string"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            data = []
-            for i, h, w, d in zip(b["id"], b["height"], b["width"], b["data"], strict=True):
-                x = np.frombuffer(d, np.uint8).reshape(h, w, -1)
-                data.append(apply_effect(x, effect, amount, zlib.crc32(f"{seed}:{i}".encode())).tobytes())
-            yield b.assign(data=data)
 
-    return df.select("id", "height", "width", "data").mapInPandas(run, IMAGE)
+def measured(images: DataFrame) -> DataFrame:
+    """images without their data, but with total, the sum of their values, and dark, how many are below 128."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(batch.num_columns - 1)
+            values = [np.frombuffer(data[i].as_buffer(), np.uint8) for i in range(len(data))]
+            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([int(v.sum(dtype=np.int64)) for v in values], pa.int64()), pa.array([int((v < 128).sum()) for v in values], pa.int64())], names=[*batch.schema.names[:-1], "total", "dark"])
+
+    kept = images.drop("data")
+    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes)
+    return images.select(*kept.columns, "data").mapInArrow(run, f"{schema}, total long, dark long")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -75,15 +109,20 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def ssim(original: DataFrame, degraded: DataFrame) -> DataFrame:
-    """(id, ssim) of images that both tables hold."""
-
-    def grey(d, h: int, w: int) -> np.ndarray:
-        return np.frombuffer(d, np.uint8).reshape(h, w, -1).mean(2)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = [similarity(grey(d, h, w), grey(d2, h2, w2)) for d, h, w, d2, h2, w2 in zip(b["data"], b["height"], b["width"], b["data2"], b["height2"], b["width2"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "ssim": s})
-
-    other = degraded.selectExpr("id", "height as height2", "width as width2", "data as data2")
-    return original.select("id", "height", "width", "data").join(other, "id").mapInPandas(run, "id long, ssim double")
+    """(name, ssim) of images that both tables hold; a name's rows in degraded are each compared, with the columns of degraded other than the image's kept (say, effect)."""
+    image = ["height", "width", "n_channels", "data"]
+    other = degraded.select(*[F.col(c).alias(f"_{c}") if c in image else F.col(c) for c in degraded.columns])
+    pairs = original.select("name", *image).join(other, "name")
+    kept = [c for c in degraded.columns if c not in image]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                second = {c: row[f"_{c}"] for c in image}
+                found.append(similarity(pixels(row).mean(2), pixels(second).mean(2)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.float64())], names=[*kept, "ssim"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in degraded.dtypes if c in kept)
+    return pairs.select(*kept, *image, *[f"_{c}" for c in image]).mapInArrow(run, f"{schema}, ssim double")

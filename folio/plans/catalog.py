@@ -17,7 +17,7 @@ from ..operators import evaluate as ev
 from ..operators import expand as ex
 from ..operators import images as im
 from ..operators import pairing, regions, sweep, synth, user, validate
-from ..sources import annotations, effects
+from ..sources import annotations, effects, pictures
 from ..sources.shared import shared_path
 from ..streaming import jobs
 
@@ -599,29 +599,58 @@ def stream_quality(spark, sf_dir):
     return _quality(jobs.run_to_end(stream, shared_path(spark, "quality")))
 
 
-# ---- images made of text, and user functions
+# ---- pictures of documents, written as PNG files and decoded again
 
 
-def _grids(spark, sf_dir) -> DataFrame:
-    """Texts as grey images 64 wide: each byte is a point."""
-    data = F.col("text").cast("binary")
-    height = F.greatest(F.lit(8), F.ceil(F.length(data) / 64)).cast("int")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), height.alias("height"), F.lit(64).alias("width"), F.rpad(data, height * 64, F.lit(b"\x00")).alias("data"))
+def _pictures(spark, sf_dir, picture, name: str) -> str:
+    """A folder with a PNG file for each document; every tenth file is no image."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("name"), "text"), "doc_id")
+    path = shared_path(spark, name)
+    good = pictures.as_png(pictures.drawn(docs.where("doc_id % 10 <> 9"), picture))
+    pictures.write_files(good.unionByName(docs.where("doc_id % 10 = 9").select("name", F.encode("text", "utf-8").alias("content"))), path)
+    return path
 
 
-@query()
+def _doc_id(name: Column) -> Column:
+    return pictures.stem(name).cast("long")
+
+
+D_HEIGHT = "list_sum(list_transform(string_split(text, chr(10)), lambda l: greatest(1, (length(l) + 79) // 80))) * 4"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 10 <> 9 THEN {D_HEIGHT} ELSE 0 END::INTEGER AS height, CASE WHEN doc_id % 10 <> 9 THEN 160 ELSE 0 END AS width, CASE WHEN doc_id % 10 <> 9 THEN 1 ELSE 0 END AS n_channels, CASE WHEN doc_id % 10 = 9 THEN 'undecodable' END AS reason FROM documents")
+def read_images(spark, sf_dir):
+    """Pages drawn as PNG files, decoded on the JVM; files that are no images are rejects."""
+    good, bad = pictures.read_images(spark, _pictures(spark, sf_dir, pictures.page_picture, "pages"))
+    none = F.lit(0)
+    rejects = bad.select(_doc_id(F.regexp_extract("path", r"([^/]*)$", 1)).alias("doc_id"), none.alias("height"), none.alias("width"), none.alias("n_channels"), "reason")
+    return good.select(_doc_id(F.col("name")).alias("doc_id"), "height", "width", "n_channels", F.lit(None).cast("string").alias("reason")).unionByName(rejects)
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, ({D_HEIGHT} * 160)::BIGINT AS n, (4 * length(regexp_replace(text, '[ \t\r\n\x0b\x0c]', '', 'g')))::BIGINT AS ink FROM documents WHERE doc_id % 10 <> 9)
+    SELECT doc_id, effect, (CASE effect WHEN 'Brightness' THEN (n - ink) * 184 + ink * 32 WHEN 'Gamma' THEN (n - ink) * round(255 * (230 / 255.0) ^ 2) + ink * round(255 * (40 / 255.0) ^ 2) WHEN 'Dithering' THEN (n - ink + ink // 4) * 255 ELSE (n - ink) * 230 + ink * 40 END)::BIGINT AS total,
+    CASE effect WHEN 'Dithering' THEN ink - ink // 4 ELSE ink END AS dark FROM d, (VALUES ('Brightness'), ('Gamma'), ('Dithering'), ('ColorShift')) AS e(effect)"""
+)
 def image_effects(spark, sf_dir):
-    out = None
-    for effect, amount in zip(im.EFFECTS, (1.2, 0.8, 5.0, 8.0, 3.0, 0.0, 0.5), strict=True):
-        one = im.augment_images(_grids(spark, sf_dir), effect, amount).select("id", F.lit(effect).alias("effect"), F.md5("data").alias("data_md5"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Decoded pages under four effects in one pass."""
+    good, _ = pictures.read_images(spark, _pictures(spark, sf_dir, pictures.page_picture, "pages"))
+    out = im.measured(im.augment_images(good, [("Brightness", 0.8), ("Gamma", 2.0), ("Dithering", 0.0), ("ColorShift", 3.0)]))
+    return out.select(_doc_id(F.col("name")).alias("doc_id"), "effect", "total", "dark")
 
 
-@query()
+@query(
+    """WITH b AS (SELECT doc_id, c, coalesce(length(string_split(text, ' ')[c + 1]), 0) % 17 AS h FROM documents, range(16) AS r(c) WHERE doc_id % 10 <> 9),
+    p AS (SELECT doc_id, r, c, r >= 16 - h AS ink FROM b, range(16) AS t(r)),
+    v AS (SELECT doc_id, r, c, CASE WHEN ink THEN 80.0::DOUBLE ELSE 230 END AS x, CASE WHEN ink THEN 64.0::DOUBLE ELSE 184 END AS y FROM p),
+    m AS (SELECT doc_id, i, j, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS xy FROM v JOIN range(10) AS s(i) ON r BETWEEN i AND i + 6 JOIN range(10) AS u(j) ON c BETWEEN j AND j + 6 GROUP BY doc_id, i, j)
+    SELECT doc_id, 'Brightness' AS effect, round(avg(((2 * mx * my + 6.5025) * (2 * xy + 58.5225)) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))), 6) AS ssim FROM m GROUP BY doc_id"""
+)
 def ssim_pairs(spark, sf_dir):
-    grids = _grids(spark, sf_dir)
-    return im.ssim(grids, im.augment_images(grids, "NoiseTexturize", 8.0)).withColumn("ssim", F.round("ssim", 9))
+    """Charts of words against their darker copies, both decoded images."""
+    good, _ = pictures.read_images(spark, _pictures(spark, sf_dir, pictures.chart_picture, "charts"))
+    out = im.ssim(good, im.augment_images(good, [("Brightness", 0.8)]))
+    return out.select(_doc_id(F.col("name")).alias("doc_id"), "effect", F.round("ssim", 6).alias("ssim"))
 
 
 class _Reader:

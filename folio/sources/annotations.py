@@ -1,4 +1,4 @@
-"""Reading and writing annotation files, images and configurations."""
+"""Reading and writing annotation files and configurations."""
 
 from __future__ import annotations
 
@@ -86,13 +86,6 @@ def scan_all(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", *[c.alias(n) for n, c in name_parts(F.col("path")).items()])
 
 
-def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images, rejects): rows of Spark's image source; what cannot be decoded is a reject. A missing path raises."""
-    raw = spark.read.format("image").option("dropInvalid", False).load(path)
-    bad = F.col("image.height") <= 0
-    return raw.where(~bad), raw.where(bad).select(F.col("image.origin").alias("path"), F.lit("undecodable").alias("reason"))
-
-
 def write_annotations(df: DataFrame, path: str, config_json: str | None = None) -> None:
     """Documents as JSON lines in path/documents, the configuration beside them in path/config."""
     df.write.json(f"{path}/documents")

@@ -71,9 +71,3 @@ def test_config(spark):
     assert (z["provider"], z["respondent_id"], z["zone_ord"]) == ("name", "default", 0)
     with pytest.raises(Exception, match="no known key"):
         annotations.read_config(spark, spark.createDataFrame([('{"what": 1}',)], "json string"))[2].collect()
-
-
-def test_broken_image_is_a_reject(spark, tmp_path):
-    (tmp_path / "x.png").write_bytes(b"not an image")
-    good, bad = annotations.read_images(spark, str(tmp_path))
-    assert good.count() == 0 and bad.count() == 1
