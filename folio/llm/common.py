@@ -56,6 +56,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """names, with as many underscores before each as it takes to be none of df's columns (which Spark compares without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def wide(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt over as many tasks as the session's shuffles have, by keys or evenly."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

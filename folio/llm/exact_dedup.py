@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_group, with_ids
+from .common import free_names, stored, with_group, with_ids
 
 
 def unchanged(text: Column) -> Column:
@@ -34,15 +34,16 @@ def exact_dedup(docs: DataFrame, normalise=unchanged) -> DataFrame:
     Rows that repeat doc_id and text are one document and come out once (of their other columns, one row's are
     taken). Null doc_ids with equal texts come out once as well.
     """
+    i, d = free_names(docs, "_id", "_digest")
     groups = stored(exact_groups(docs, normalise), "groups")
     repeated = groups.where("kept").groupBy("text_sha256", "doc_id").count().where("count > 1").limit(1).count() > 0
-    marked = docs.withColumn("_digest", F.sha2(normalise(F.col("text")), 256)).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    named = groups.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_sha256").alias("_digest"), "kept")
+    marked = docs.withColumn(d, F.sha2(normalise(F.col("text")), 256)).withColumn(i, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    named = groups.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(i), F.col("text_sha256").alias(d), "kept")
     if repeated:
-        kept = stored(named.where("kept").select("_id", "_digest").distinct(), "kept")
-        return with_ids(marked, kept, ["_id", "_digest"]).dropDuplicates(["_id", "_digest"]).select(*docs.columns)
-    gone = stored(named.where(~F.col("kept")).select("_id", "_digest"), "gone")
-    return with_ids(marked, gone, ["_id", "_digest"], "left_anti").select(*docs.columns)
+        kept = stored(named.where("kept").select(i, d).distinct(), "kept")
+        return with_ids(marked, kept, [i, d]).dropDuplicates([i, d]).select(*docs.columns)
+    gone = stored(named.where(~F.col("kept")).select(i, d), "gone")
+    return with_ids(marked, gone, [i, d], "left_anti").select(*docs.columns)
 
 
 #: What DuckDB answers for exact_groups on documents.

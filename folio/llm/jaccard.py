@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, stored, with_ids
-from .text import portions, windows, word_hashes
+from .common import components, drop_stored, free_names, stored, with_ids
+from .text import new_key, portions, windows, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: Cells of the table of shingle counts (a power of two in these bounds, about one for each eight bytes of text), and of one row of it on its way.
@@ -28,9 +28,9 @@ FEW = 64
 ORDERED = 4096
 
 
-def shingles(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
+def shingles(texts: list[bytes], k: int = WORDS, key: int = 0) -> list[np.ndarray]:
     """The sorted distinct shingles of each text: of k words each, of the whole sequence where there are fewer, none without words."""
-    flat, each = word_hashes([t.lower() for t in texts])
+    flat, each = word_hashes([t.lower() for t in texts], key)
     whole = windows(flat, k)
     out, at = [], 0
     for n in each.tolist():
@@ -48,7 +48,7 @@ def set_key(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) or 1 if len(s) else 0
 
 
-def counted(docs: DataFrame, cells: int) -> DataFrame:
+def counted(docs: DataFrame, cells: int, key: int) -> DataFrame:
     """Rows of two kinds from docs(id, doc_id, text, digest): the same with the size n and the key of each text's set, and blocks of the table of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +56,7 @@ def counted(docs: DataFrame, cells: int) -> DataFrame:
         names = ["id", "doc_id", "text", "digest", "n", "key", "block", "counts"]
         for batch in batches:
             for first, part in portions(batch.column(2)):
-                sets = shingles(part)
+                sets = shingles(part, key=key)
                 np.add.at(table, (np.concatenate(sets) & np.uint64(cells - 1)).astype(np.int64), np.int32(1))
                 own = [c.slice(first, len(sets)) for c in batch.columns]
                 nulls = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
@@ -118,7 +118,7 @@ def prefix(s: np.ndarray, rank_of: np.ndarray) -> tuple[np.ndarray, int, np.ndar
     return tokens[: n - need + chosen], chosen, rank[: n - need + chosen]
 
 
-def index(docs: DataFrame, rank_of, hot_rank: int) -> DataFrame:
+def index(docs: DataFrame, rank_of, hot_rank: int, secret: int) -> DataFrame:
     """(token, node, n, l, size, at, hot): the prefixes of docs(text) by their set keys, with the prefix's size, each token's place in it and
     whether its rank is hot_rank at least; sets that occur again in a task are left out there."""
 
@@ -127,7 +127,7 @@ def index(docs: DataFrame, rank_of, hot_rank: int) -> DataFrame:
         for batch in batches:
             for _, part in portions(batch.column(0)):
                 tokens, hot, rows = [], [], []
-                for s in shingles(part):
+                for s in shingles(part, key=secret):
                     if not len(s) or (key := set_key(s)) in done:
                         continue
                     if len(done) > 100_000:
@@ -195,30 +195,35 @@ def enough(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return sides.where(F.size(F.array_intersect("ta", "tb")) >= F.col("needs")).select("a", "b")
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, held = OrderedDict(), 0
+def _verifier(key: int):
+    """Keeps the pairs whose texts have the similarity; their words are hashed anew, under a key of its own, so that what one key took for alike is not taken so twice."""
 
-    def of(key: int, text) -> np.ndarray:
-        nonlocal held
-        s = known.get(key)
-        if s is None:
-            s = known[key] = shingles([text.as_buffer().to_pybytes()])[0]
-            held += s.nbytes
-            while held > 32 << 20 and len(known) > 1:
-                held -= known.popitem(last=False)[1].nbytes
-        return s
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = OrderedDict(), 0
+
+        def of(node: int, text) -> np.ndarray:
+            nonlocal held
+            s = known.get(node)
+            if s is None:
+                s = known[node] = shingles([text.as_buffer().to_pybytes()], key=key)[0]
+                held += s.nbytes
+                while held > 32 << 20 and len(known) > 1:
+                    held -= known.popitem(last=False)[1].nbytes
+            return s
+
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = np.zeros(len(a), bool)
+            for i in range(len(a)):
+                x, y = of(a[i], batch.column(2)[i]), of(b[i], batch.column(3)[i])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
-    for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = np.zeros(len(a), bool)
-        for i in range(len(a)):
-            x, y = of(a[i], batch.column(2)[i]), of(b[i], batch.column(3)[i])
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+    return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, key: int) -> DataFrame:
     """The pairs(a, b) of set keys whose whole texts have the similarity; sets(key, row) names a row of texts(id, text) for each key."""
     pairs = stored(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
@@ -226,7 +231,7 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     text = stored(with_ids(texts, ids, "id", "inner").select("key", "text"), "texts", "zstd")
     one = pairs.join(text.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     both = one.join(text.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    links = stored(both.mapInArrow(_verify, "a long, b long"), "links")
+    links = stored(both.mapInArrow(_verifier(key), "a long, b long"), "links")
     for old in (pairs, ids, text):
         drop_stored(old)
     return links
@@ -295,11 +300,11 @@ def classified(docs: DataFrame) -> DataFrame:
 
     The steps of near_duplicates, which see texts by their sets and rows by a number of their own.
     """
-    spark = docs.sparkSession
+    spark, key, other = docs.sparkSession, new_key(), new_key()
     measured = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << ((measured["bytes"] or 0) // 8).bit_length()))
     numbered = docs.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text", "digest")
-    first = stored(counted(numbered, cells), "sets", "zstd")
+    first = stored(counted(numbered, cells, key), "sets", "zstd")
     known, texts = first.where(F.col("block").isNull()).select("id", "doc_id", "digest", "n", "key"), first.where(F.col("block").isNull()).select("id", "text")
     total = known.agg(F.sum("n")).first()[0] or 0
     rank_of = spark.sparkContext.broadcast(rank_table(first.where(F.col("block").isNotNull()).select("block", "counts"), cells, total / cells))
@@ -308,7 +313,7 @@ def classified(docs: DataFrame) -> DataFrame:
 
     # a shingle is hot if its rank tells of more than a few hundredths of the rows; its sets are dealt over groups
     hot = max(ORDERED, measured["rows"] // 256)
-    found = index(texts, rank_of, hot.bit_length()).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(max(1, measured["rows"] // hot)))).otherwise(F.lit(0)))
+    found = index(texts, rank_of, hot.bit_length(), key).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(max(1, measured["rows"] // hot)))).otherwise(F.lit(0)))
     here = Window.partitionBy("token", "salt")
     found = found.withColumn("lo", F.min("node").over(here)).withColumn("hi", F.max("node").over(here)).where("hot or lo < hi").drop("lo", "hi")
     # copies of a set from several tasks are one
@@ -320,7 +325,7 @@ def classified(docs: DataFrame) -> DataFrame:
     rows = stored(shared.withColumn("many_here", F.sum(many).over(node)).withColumn("left", F.sum(many).over(from_here)), "rows")
     drop_stored(shared)
     held = stored(rows.groupBy("node").agg(F.collect_list("token").alias("tokens")), "held")
-    links = verified(enough(star(rows), held), sets, texts)
+    links = verified(enough(star(rows), held), sets, texts, other)
 
     groups = stored(components(links), "components")
     placed = rows.join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
@@ -328,7 +333,7 @@ def classified(docs: DataFrame) -> DataFrame:
     mixed = stored(mixed, "mixed")
     drop_stored(rows)
     more = across_few(mixed.where(~F.col("many"))).unionByName(across_many(mixed.where("many"))).distinct()
-    more = verified(enough(more, held), sets, texts)
+    more = verified(enough(more, held), sets, texts, other)
     drop_stored(mixed)
 
     nodes = stored(components(links.unionByName(more)), "components")
@@ -356,7 +361,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     4. All remaining pairs of nodes that share prefix shingles and lie in different components are counted and
        verified likewise (across_few, across_many); within a component no pair can change the result.
 
-    Sets are compared by 64-bit hashes of shingles. Null or empty texts have no shingles and link with nothing. Each row is a document of
+    Sets are compared by 64-bit hashes of shingles, under secret keys drawn for each run. Null or empty texts have no shingles and link with nothing. Each row is a document of
     its own: rows that repeat a doc_id may have different texts, and a null doc_id links others too; its component_id
     is null where no doc_id is reached. Rows that repeat doc_id and text each have their row. Empty table: no rows.
     """
@@ -370,5 +375,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     digest, id_ = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     named = classified(plain(docs, digest)).where("n > 0")
     own = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("digest") == F.col("keeper.digest"))
-    gone = stored(named.where(~own).select(id_.alias("_id"), F.col("digest").alias("_digest")).distinct(), "gone")
-    return with_ids(docs.withColumn("_id", id_).withColumn("_digest", digest), gone, ["_id", "_digest"], "left_anti").select(*docs.columns)
+    i, d = free_names(docs, "_id", "_digest")
+    gone = stored(named.where(~own).select(id_.alias(i), F.col("digest").alias(d)).distinct(), "gone")
+    return with_ids(docs.withColumn(i, id_).withColumn(d, digest), gone, [i, d], "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, SPACES, let, stored
+from .common import MOST_BROADCAST, SPACES, free_names, let, stored
 
 #: Documents that one reduction step pairs in sequence, on average; its residual goes to the next level.
 FAN_IN = 128
@@ -65,7 +65,8 @@ def pair(a: Column, b: Column, draw: Column) -> Column:
     return F.struct(F.when(goes_up, a_up).otherwise(a_down).alias("a"), F.when(goes_up, b_up).otherwise(b_down).alias("b"))
 
 
-ITEM = "struct<doc_id:bigint,m:bigint,p:double>"
+#: tie tells rows of one doc_id and size apart, where many are alike.
+ITEM = "struct<doc_id:bigint,m:bigint,p:double,tie:bigint>"
 
 
 def whole(p: Column) -> Column:
@@ -77,7 +78,7 @@ def fold(items: Column, seed: int, level: int) -> Column:
     start = F.struct(F.expr(f"cast(array() as array<{ITEM}>)").alias("done"), F.expr(f"cast(null as {ITEM})").alias("left"))
 
     def item(x: Column, p: Column) -> Column:
-        return F.struct(x["doc_id"].alias("doc_id"), x["m"].alias("m"), p.alias("p"))
+        return F.struct(x["doc_id"].alias("doc_id"), x["m"].alias("m"), p.alias("p"), x["tie"].alias("tie"))
 
     def settle(acc: Column, a: Column, b: Column) -> Column:
         a_whole, b_whole = whole(a["p"]), whole(b["p"])
@@ -87,7 +88,7 @@ def fold(items: Column, seed: int, level: int) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["left"]
-        both = let(pair(a, x, chance(F.lit(seed), F.lit(level), a["doc_id"], x["doc_id"], x["m"])), lambda p: settle(acc, item(a, p["a"]), item(x, p["b"])))
+        both = let(pair(a, x, chance(F.lit(seed), F.lit(level), a["doc_id"], a["tie"], x["doc_id"], x["m"], x["tie"])), lambda p: settle(acc, item(a, p["a"]), item(x, p["b"])))
         alone = F.when(whole(x["p"]), F.struct(F.concat(acc["done"], F.array(x)).alias("done"), a.alias("left"))).when(a.isNull(), F.struct(acc["done"].alias("done"), x.alias("left")))
         return alone.otherwise(both)
 
@@ -105,10 +106,10 @@ def settle_last(items: Column, seed: int) -> Column:
     error = f"struct<done:array<{ITEM}>,over:double>"
 
     def drawn(x: Column, p: Column) -> Column:
-        return F.when(chance(F.lit(seed), F.lit("last"), x["doc_id"], x["m"]) < p, F.lit(1.0)).otherwise(F.lit(0.0))
+        return F.when(chance(F.lit(seed), F.lit("last"), x["doc_id"], x["m"], x["tie"]) < p, F.lit(1.0)).otherwise(F.lit(0.0))
 
     def rounded(done: Column, over: Column, x: Column, p: Column) -> Column:
-        return let(drawn(x, p), lambda up: F.struct(F.concat(done, F.array(F.struct(x["doc_id"].alias("doc_id"), x["m"].alias("m"), up.alias("p")))).alias("done"), (over + (up - x["p"]) * x["m"]).alias("over")).cast(error))
+        return let(drawn(x, p), lambda up: F.struct(F.concat(done, F.array(F.struct(x["doc_id"].alias("doc_id"), x["m"].alias("m"), up.alias("p"), x["tie"].alias("tie")))).alias("done"), (over + (up - x["p"]) * x["m"]).alias("over")).cast(error))
 
     def step(acc: Column, x: Column) -> Column:
         p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x["p"] - acc["over"] / x["m"]))
@@ -130,12 +131,15 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (1, 2, 3),
     Blocks of about FAN_IN documents of a source (split by a hash, so a source of any share of the rows fills many)
     are folded at once and their residuals, one each, meet in blocks of the next level: a reduction tree whose height
     is the logarithm of the largest source. The last block also rounds the last residual (settle_last): a source's words
-    taken differ from its target by about a short document. Draws depend on seed and doc_ids: reruns agree.
+    taken differ from its target by about a short document. Draws depend on seed, doc_ids and sizes;
+    where more than FAN_IN rows share both, also on the rows' places in the files, so that such rows are spread over blocks too. Reruns agree.
 
     Null source is a source of its own, the last. Null or empty texts have size 0 and floor(ratio) copies. Rows that
     repeat a doc_id are mixed as separate documents. A null doc_id is kept. Empty table: no rows.
     """
-    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sizes")
+    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("tie")), "sizes")
+    if sizes.groupBy("doc_id", "size").count().where(F.col("count") > FAN_IN).isEmpty():
+        sizes = sizes.withColumn("tie", F.lit(0).cast("long"))
     targets = stored(source_targets(sizes, weights, most), "targets")
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -145,22 +149,22 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (1, 2, 3),
     rows = sizes.join(there, sizes["source"].eqNullSafe(F.col("_s"))).drop("_s")
     fixed, moving = F.col("size") == 0, ["source", "target", "source_size", "n_docs", "base"]
     whole_rows = rows.where(fixed).select("doc_id", *moving, F.col("size").alias("m"), F.lit(0.0).alias("p"))
-    rows = rows.where(~fixed).select("doc_id", *moving, F.col("size").alias("m"), "p")
+    rows = rows.where(~fixed).select("doc_id", *moving, F.col("size").alias("m"), "p", "tie")
     parts = [whole_rows]
     most_left = largest
     while True:
         last = most_left <= FAN_IN
-        key = F.lit(0) if last else F.pmod(F.xxhash64(F.lit(level), "doc_id", "m"), F.ceil(F.col("n_docs") / F.lit(float(FAN_IN) ** (level + 1))))
-        order = (-F.col("m")) if last else F.xxhash64(F.lit(seed), "doc_id")
-        items = F.sort_array(F.collect_list(F.struct(order.alias("h"), "doc_id", "m", "p")))
+        key = F.lit(0) if last else F.pmod(F.xxhash64(F.lit(level), "doc_id", "m", "tie"), F.ceil(F.col("n_docs") / F.lit(float(FAN_IN) ** (level + 1))))
+        order = (-F.col("m")) if last else F.xxhash64(F.lit(seed), "doc_id", "tie")
+        items = F.sort_array(F.collect_list(F.struct(order.alias("h"), "doc_id", "m", "p", "tie")))
         grouped = rows.withColumn("_b", key).groupBy(*moving, "_b").agg(items.alias("items"))
-        plain = F.transform("items", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["m"].alias("m"), x["p"].alias("p")))
+        plain = F.transform("items", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["m"].alias("m"), x["p"].alias("p"), x["tie"].alias("tie")))
         if last:
             parts.append(grouped.select(*moving, F.explode(settle_last(plain, seed)).alias("x")).select("x.doc_id", *moving, "x.m", "x.p"))
             break
         folded = stored(grouped.select(*moving, fold(plain, seed, level).alias("f")), f"level{level}")
         parts.append(folded.select(*moving, F.explode("f.done").alias("x")).select("x.doc_id", *moving, "x.m", "x.p"))
-        rows = folded.where(F.col("f.left").isNotNull()).select("f.left.doc_id", *moving, "f.left.m", "f.left.p")
+        rows = folded.where(F.col("f.left").isNotNull()).select("f.left.doc_id", *moving, "f.left.m", "f.left.p", "f.left.tie")
         most_left, level = math.ceil(most_left / FAN_IN), level + 1
     out = parts[0]
     for part in parts[1:]:
@@ -175,15 +179,16 @@ def mix_documents(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (
     The copies are joined by doc_id, source and size. Rows that repeat all of these share their copies: in the order of a hash of
     their texts each takes its whole share, and the first ones take one more until all are given.
     """
-    key = [F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")]
-    drawn = stored(mix(docs, seed, weights, most).groupBy(*key).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows")), "copies")
-    sized = docs.withColumn("_n", n_words(F.col("text")))
-    on = sized["doc_id"].cast("long").eqNullSafe(F.col("_id")) & sized["source"].eqNullSafe(F.col("_source")) & (sized["_n"] == F.col("_size"))
+    i, so, si, su, ro, n, c, k = free_names(docs, "_id", "_source", "_size", "_sum", "_rows", "_n", "_copies", "_k")
+    key = [F.col("doc_id").alias(i), F.col("source").alias(so), F.col("size").alias(si)]
+    drawn = stored(mix(docs, seed, weights, most).groupBy(*key).agg(F.sum("copies").alias(su), F.count(F.lit(1)).alias(ro)), "copies")
+    sized = docs.withColumn(n, n_words(F.col("text")))
+    on = sized["doc_id"].cast("long").eqNullSafe(F.col(i)) & sized["source"].eqNullSafe(F.col(so)) & (sized[n] == F.col(si))
     small = drawn.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     joined = sized.join(F.broadcast(drawn) if small else drawn.hint("merge"), on)
-    own = joined.where("_rows = 1").withColumn("_copies", F.col("_sum").cast("int"))
-    if not drawn.where("_rows > 1").isEmpty():
-        place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text"))) - 1
-        share = F.floor(F.col("_sum") / F.col("_rows")) + (place < F.col("_sum") % F.col("_rows")).cast("int")
-        own = own.unionByName(joined.where("_rows > 1").withColumn("_copies", share.cast("int")))
-    return own.where("_copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    own = joined.where(F.col(ro) == 1).withColumn(c, F.col(su).cast("int"))
+    if not drawn.where(F.col(ro) > 1).isEmpty():
+        place = F.row_number().over(Window.partitionBy(i, so, si).orderBy(F.xxhash64("text"))) - 1
+        share = F.floor(F.col(su) / F.col(ro)) + (place < F.col(su) % F.col(ro)).cast("int")
+        own = own.unionByName(joined.where(F.col(ro) > 1).withColumn(c, share.cast("int")))
+    return own.where(F.col(c) > 0).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(c)))).select(*docs.columns)

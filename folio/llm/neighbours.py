@@ -101,12 +101,13 @@ def exact_top(queries: pa.Table, members: pa.Table, most: int) -> pa.Table:
     if queries.num_rows and members.num_rows:
         q, x = matrix(queries["vector"]), matrix(members["vector"])
         ids, qs, floor = members["rep"].to_numpy(), queries["query"].to_numpy(), queries["floor"].to_numpy(zero_copy_only=False)
-        rough = q @ x.T
+        rough, longest = q @ x.T, np.sqrt((x * x).sum(1).max())
         for i in range(len(q)):
             s = rough[i]
             at = np.nonzero(s >= floor[i] - 1e-6 * max(1.0, abs(floor[i])))[0] if np.isfinite(floor[i]) else np.arange(len(s))
-            if len(at) > most + 4:
-                at = at[np.argpartition(-s[at], most + 3)[: most + 4]]
+            if len(at) > most:  # all that may be among the best: equal scores are told apart by their ids
+                slack = 1e-12 * longest * np.sqrt(q[i] @ q[i])
+                at = at[s[at] >= -np.partition(-s[at], most - 1)[most - 1] - slack]
             exact = (x[at] * q[i]).sum(1)
             order = np.lexsort((ids[at], -exact))[:most]
             out_q.append(np.full(len(order), qs[i]))

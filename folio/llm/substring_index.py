@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_stored, hot_keys, new_path, stored, with_group, with_ids
-from .text import least_places, mixed, portions, word_hashes
+from .text import least_places, mixed, new_key, portions, word_hashes
 
 #: Words of a window, and of the grams of which the one with the least hash is the window's fingerprint.
 WINDOW, GRAM = 20, 8
@@ -58,25 +58,30 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(sha, pa.string()), *batch.columns], names=["n", "sha", *batch.schema.names])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, part in portions(batch.column(1)):
-            flat, each = word_hashes(part)
-            if len(flat) < WINDOW:
-                continue
-            # windows of all documents at once; those that reach beyond their document are left out
-            begins = np.cumsum(each) - each
-            row = np.repeat(np.arange(len(part)), each)
-            starts = np.arange(len(flat) - WINDOW + 1)
-            starts = starts[starts + WINDOW <= (begins + each)[row[: len(starts)]]]
-            if not len(starts):
-                continue
-            grams = grams_of(flat)
-            p, row = fingerprints(grams)[starts], row[starts]
-            new = np.concatenate([[True], (p[1:] != p[:-1]) | (row[1:] != row[:-1])])
-            p, row = p[new], row[new]
-            ids = batch.column(0).slice(first, len(part)).to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(grams[p].view(np.int64)), pa.array(ids), pa.array((p - begins[row]).astype(np.int32))], names=["h", "id", "at"])
+def _anchors(key: int):
+    """(h, id, at) of the fingerprints of texts (id, text), words hashed under key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in portions(batch.column(1)):
+                flat, each = word_hashes(part, key)
+                if len(flat) < WINDOW:
+                    continue
+                # windows of all documents at once; those that reach beyond their document are left out
+                begins = np.cumsum(each) - each
+                row = np.repeat(np.arange(len(part)), each)
+                starts = np.arange(len(flat) - WINDOW + 1)
+                starts = starts[starts + WINDOW <= (begins + each)[row[: len(starts)]]]
+                if not len(starts):
+                    continue
+                grams = grams_of(flat)
+                p, row = fingerprints(grams)[starts], row[starts]
+                new = np.concatenate([[True], (p[1:] != p[:-1]) | (row[1:] != row[:-1])])
+                p, row = p[new], row[new]
+                ids = batch.column(0).slice(first, len(part)).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(grams[p].view(np.int64)), pa.array(ids), pa.array((p - begins[row]).astype(np.int32))], names=["h", "id", "at"])
+
+    return run
 
 
 class FingerprintIndex:
@@ -85,11 +90,12 @@ class FingerprintIndex:
     A new batch becomes a run too, so that matching it with history merges sorted buckets without a shuffle. Fingerprints so
     frequent that one bucket would be overfull (hot_keys, at most HOT_KEYS a run, whose list is kept) lie aside in a
     part that isn't bucketed. compact() merges FAN_IN runs of a level into one of the next, so that n
-    batches leave a logarithmic number of runs and each fingerprint is rewritten as often; the merged runs are dropped.
+    batches leave a logarithmic number of runs and each fingerprint is rewritten as often; the merged runs are dropped. Words are hashed under a
+    secret key of the index. drop() removes its runs.
     """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN):
-        self.spark, self.fan_in = spark, fan_in
+        self.spark, self.fan_in, self.key = spark, fan_in, new_key()
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[DataFrame, DataFrame, list[int]]]] = []
         self.names: dict[int, str] = {}
@@ -111,7 +117,7 @@ class FingerprintIndex:
     def add(self, docs: DataFrame) -> DataFrame:
         """Indexes docs(id, text) as one run. Returns (id, new, places): the fingerprints of docs that occur twice in docs or in
         an earlier run (new), and those that they meet there (not new)."""
-        anchors = stored(docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_anchors, "h long, id long, at int"), "anchors")
+        anchors = stored(docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_anchors(self.key), "h long, id long, at int"), "anchors")
         run, aside, hot = self._run(anchors)
         drop_stored(anchors)
         counts = run.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -133,6 +139,15 @@ class FingerprintIndex:
         self.compact()
         return out
 
+    def drop(self) -> None:
+        """Removes all runs, files and tables."""
+        for run, aside, _ in self.runs():
+            name = self.names.pop(id(run))
+            drop_stored(run)
+            drop_stored(aside)
+            self.spark.sql(f"DROP TABLE {name}")
+        self.levels = []
+
     def compact(self) -> None:
         """Merges the runs of each level that holds FAN_IN of them into one run of the next level."""
         for i in range(len(self.levels)):
@@ -153,46 +168,50 @@ class FingerprintIndex:
                 self.levels[i + 1].append(new)
 
 
-def _runs_of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs_of_windows(key: int):
     """For each run of windows with one marked fingerprint: (h, id, at, n, hashes); runs whose windows all stand earlier in this task's portion have no h and no hashes."""
-    names = ["h", "id", "at", "n", "hashes", "new"]
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[1], r[4], r[2], r[0], r[3]))  # h, hashes, id: the first of equal ones goes on
-        done = []
-        for _, same in groupby(rows, key=lambda r: (r[1], r[4])):
-            first = None
-            for at, h, id_, n, packed, new in same:
-                if first is None:
-                    first = (id_, at)
-                    done.append((h, id_, at, n, packed, new))
-                elif new and first != (id_, at):  # a repeated row stands at the same place
-                    done.append((None, id_, at, n, None, new))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
-
-    rows: list[tuple] = []
-    for batch in batches:
-        ids, text, places, new = (batch.column(i) for i in range(4))
-        for i in range(batch.num_rows):
-            flat, _ = word_hashes([text[i].as_buffer().to_pybytes()])
-            if len(flat) < WINDOW:
-                continue
-            all_grams = grams_of(flat)
-            p = fingerprints(all_grams)
-            starts = np.concatenate([[0], np.nonzero(p[1:] != p[:-1])[0] + 1, [len(p)]])
-            marked = np.nonzero(np.isin(p[starts[:-1]], places[i].values.to_numpy()))[0]
-            if not len(marked):
-                continue
-            grams, packed = all_grams.view(np.int64)[p[starts[marked]]].tolist(), windows_of(all_grams).tobytes()
-            id_, is_new = ids[i].as_py(), new[i].as_py()
-            for h, a, b in zip(grams, starts[marked].tolist(), starts[marked + 1].tolist(), strict=True):
-                rows.append((a, h, id_, b - a, packed[8 * a : 8 * b], is_new))
-            if len(rows) > 100_000:
-                yield out(rows)
-                rows = []
-    if rows:
-        yield out(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "id", "at", "n", "hashes", "new"]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            rows.sort(key=lambda r: (r[1], r[4], r[2], r[0], r[3]))  # h, hashes, id: the first of equal ones goes on
+            done = []
+            for _, same in groupby(rows, key=lambda r: (r[1], r[4])):
+                first = None
+                for at, h, id_, n, packed, new in same:
+                    if first is None:
+                        first = (id_, at)
+                        done.append((h, id_, at, n, packed, new))
+                    elif new and first != (id_, at):  # a repeated row stands at the same place
+                        done.append((None, id_, at, n, None, new))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
+        rows: list[tuple] = []
+        for batch in batches:
+            ids, text, places, new = (batch.column(i) for i in range(4))
+            for i in range(batch.num_rows):
+                flat, _ = word_hashes([text[i].as_buffer().to_pybytes()], key)
+                if len(flat) < WINDOW:
+                    continue
+                all_grams = grams_of(flat)
+                p = fingerprints(all_grams)
+                starts = np.concatenate([[0], np.nonzero(p[1:] != p[:-1])[0] + 1, [len(p)]])
+                marked = np.nonzero(np.isin(p[starts[:-1]], places[i].values.to_numpy()))[0]
+                if not len(marked):
+                    continue
+                grams, packed = all_grams.view(np.int64)[p[starts[marked]]].tolist(), windows_of(all_grams).tobytes()
+                id_, is_new = ids[i].as_py(), new[i].as_py()
+                for h, a, b in zip(grams, starts[marked].tolist(), starts[marked + 1].tolist(), strict=True):
+                    rows.append((a, h, id_, b - a, packed[8 * a : 8 * b], is_new))
+                if len(rows) > 100_000:
+                    yield out(rows)
+                    rows = []
+        if rows:
+            yield out(rows)
+
+    return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +296,7 @@ def dedup_batch(index: FingerprintIndex, batch: DataFrame, everything: DataFrame
     # all words of history stand before all words of the batch
     text = with_ids(everything, stored(places.select("id").distinct(), "ids"), "id")
     marked = text.join(places.hint("merge"), "id").select("id", F.col("text").cast("binary").alias("text"), "places", "new")
-    runs, known = small_groups(stored(marked.mapInArrow(_runs_of_windows, "h long, id long, at int, n int, hashes binary, new boolean"), "runs"))
+    runs, known = small_groups(stored(marked.mapInArrow(_runs_of_windows(index.key), "h long, id long, at int, n int, hashes binary, new boolean"), "runs"))
     n = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     later = runs.repartition(n, "h").sortWithinPartitions("h", "id", "at").select("h", "id", "at", "n", "hashes", "new").mapInArrow(_later, "id long, at int, mask int")
     later = later.unionByName(known)
@@ -320,6 +339,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
         span = F.col("id") <= high if low is None else (F.col("id") <= high) & (F.col("id") > low)
         parts.append(stored(dedup_batch(index, originals.where(span), originals.where(F.col("id") <= high), with_text), "cut"))
         low = high
+    index.drop()
     cut = parts[0]
     for part in parts[1:]:
         cut = cut.unionByName(part)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -66,42 +68,44 @@ def portions(column: pa.Array, most_bytes: int = 1 << 19):
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
 #: Words longer than this are hashed one by one.
 LONG_WORD = 64
+#: The bytes that count of a group of eight of which so many belong to a word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("back", pow(_BASE, -1, 1 << 64))):
-            with np.errstate(over="ignore"):
-                _powers[name] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
-    return _powers["up"], _powers["back"]
+def new_key() -> int:
+    """A secret of one run: whoever wrote the texts cannot have looked for words that it hashes alike."""
+    return secrets.randbits(64)
 
 
-#: Bytes whose running sums are held at once.
+#: Bytes that are worked at once.
 PART = 1 << 19
 
 
-def _hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the words of raw, which neither begins nor ends within one."""
-    up, back = powers(len(raw) + 1)
+def _hashed_words(raw: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of raw, which neither begins nor ends within one: eight bytes after the other are mixed into a state that begins with key and length."""
     edge = np.diff(np.concatenate([[True], _IS_SPACE[raw], [True]]).view(np.int8))
     starts, ends = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(raw) + 1,), (1,))
+    length = ends - starts
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-        h = mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    for i in np.nonzero(ends - starts > LONG_WORD)[0]:
-        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+        h = mixed(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key))
+    at, left, open_ = starts, length, np.arange(len(starts))
+    for _ in range(LONG_WORD // 8):
+        h[open_] = mixed(h[open_] ^ (eights[at] & _KEEP[np.minimum(left, 8)]))
+        more = left > 8
+        if not more.any():
+            break
+        at, left, open_ = at[more] + 8, left[more] - 8, open_[more]
+    for i in np.nonzero(length > LONG_WORD)[0]:
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), key)
     return starts, h
 
 
-def word_hashes(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words [^\\x20\\x09-\\x0D]+ of all texts in order, number of words of each text), from running sums of bytes, PART at a time (longer words as they are)."""
+def word_hashes(texts_: list[bytes], key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes under key of the words [^\\x20\\x09-\\x0D]+ of all texts in order, number of words of each text), PART bytes at a time (longer words as they are)."""
     data = b"\n".join(texts_)
     raw, at, starts, hashes = np.frombuffer(data, np.uint8), 0, [], []
     while at < len(raw) or not starts:
@@ -109,7 +113,7 @@ def word_hashes(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         while end < len(raw) and not len(gap := np.nonzero(_IS_SPACE[raw[end : end + 4096]])[0]):
             end += 4096
         end = min(len(raw), end + (int(gap[0]) if end < len(raw) else 0))
-        s, h = _hashed_words(raw[at:end])
+        s, h = _hashed_words(raw[at:end], key)
         starts.append(s + at)
         hashes.append(h)
         at = max(end, at + 1)

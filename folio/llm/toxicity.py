@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import stored, with_ids
+from .common import free_names, stored, with_ids
 from .text import portions
 
 # The character model: symbol 0 is a word's end, 1 to 26 are a to z, 27 is any other letter.
@@ -320,8 +320,8 @@ def fit_words(at: list[np.ndarray], y: np.ndarray, words: int, rounds: int = 300
     return w, b
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) with one more column, _score: the model is fitted on docs and labels as score_toxicity describes it."""
+def scored(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """docs(doc_id, text, ...) with one more column of that name, the score: the model is fitted on docs and labels as score_toxicity describes it."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(character_model(character_counts(docs)))
     usable = labels.select(F.col("doc_id").cast("long").alias("_id"), (F.col("toxic") > 0).cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("_id")))
@@ -345,9 +345,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         restorer = Restorer(model.value, weight)
         for batch in batches:
             z = np.array([b + sum(weight[i] for i in f.tolist()) for f in _hashed(batch.column(at), restorer)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -363,10 +363,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are scored by the bias. Labels with a null doc_id or toxic are left out; rows that repeat a
     doc_id count as often as they stand. No usable labels: all scores are low. Empty table: no rows.
     """
-    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels).withColumnRenamed("_score", "score")
+    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, "score")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that score_toxicity predicts 1 for, each judged by its own text whatever its doc_id; all columns of docs, in its order."""
-    return scored(docs, labels).where("_score < 0.5").select(*docs.columns)
+    [name] = free_names(docs, "_score")
+    return scored(docs, labels, name).where(F.col(name) < 0.5).select(*docs.columns)

@@ -5,7 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from folio.llm import exact_dedup, jaccard, substring_index, suffix_dedup, text
+from folio.llm import exact_dedup, jaccard, mixing, substring_index, suffix_dedup, text, toxicity
 from folio.llm.common import components
 from pyspark.sql import functions as F
 
@@ -262,3 +262,44 @@ def test_documents_without_an_id_of_their_own(spark):
     expected = Counter((order[place][0], n, k, hashlib.sha256(rest).hexdigest()) for place, (n, k, rest) in cut.items())
     for batches in (1, 2):
         assert Counter(tuple(r) for r in substring_index.remove_repeats(df, batches).collect()) == expected
+
+
+#: Two words of one length that a sum of bytes times powers of a public base takes for one.
+ALIKE = "mmmmmmmmmmmmmmmmmmmm", "jnrerjnpsmjmpolnhimm"
+
+
+def test_words_made_to_collide(spark):
+    a, b = ALIKE
+    docs = spark.createDataFrame([(1, " ".join([a] * 6)), (2, " ".join([b] * 6)), (3, " ".join(f"w{i}" for i in range(23)) + f" {a}"), (4, " ".join(f"w{i}" for i in range(3)) + f" {b} " + " ".join(f"v{i}" for i in range(3, 23)))], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()} == {i: i for i in (1, 2, 3, 4)}
+    swapped = spark.createDataFrame([(1, " ".join([a, b] * 12)), (2, " ".join([b, b] * 12))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_index.remove_repeats(swapped).collect()}
+    assert got == {1: 22, 2: 23}  # only what each repeats of itself
+
+
+def test_word_hashes_under_keys():
+    words = sorted({bytes(x) for n in (1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 70) for x in ([97] * n, [98] + [97] * (n - 1), [97] * (n - 1) + [98], [97] * (n // 2) + [99] + [97] * (n - n // 2 - 1))})
+    seen = set()
+    for key in (0, 1, text.new_key()):
+        h, _ = text.word_hashes([b" ".join(words)], key)
+        again, _ = text.word_hashes([b"\n".join(words[:5]), b" \t ".join(words[5:])], key)
+        assert len(set(h.tolist())) == len(words) and (h == again).all()
+        seen |= set(h.tolist())
+    assert len(seen) == 3 * len(words)
+
+
+def test_index_leaves_no_tables(spark, docs):
+    tables = lambda: {r["tableName"] for r in spark.sql("SHOW TABLES").collect()}
+    before = tables()
+    substring_index.remove_repeats(docs).count()
+    assert tables() == before
+
+
+def test_columns_of_the_stages_own_names(spark, docs):
+    """Columns named like those that the stages add come back as they were."""
+    named = docs.select("*", *[F.lit(f"own{i}").alias(c) for i, c in enumerate(("_id", "_digest", "_score", "_n", "_copies", "_ROWS", "__id"))])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for out in (exact_dedup.exact_dedup(named), jaccard.one_of_each(named), mixing.mix_documents(named), toxicity.drop_toxic(named, labels)):
+        assert out.columns == named.columns
+        kept = out.select(*named.columns[-7:]).distinct().collect()
+        assert [tuple(r) for r in kept] == [tuple(f"own{i}" for i in range(7))]
