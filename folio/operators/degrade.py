@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draw import fraction
+from ..functions.draw import draw, fraction
 from ..sources.effects import DISABLED, INK, PAPER, POST, phase_of, preset
 
 #: Effects with a rule for text.
@@ -26,10 +26,48 @@ def rate(effect: str, low: float | None, high: float | None, *keys) -> Column:
     return F.least(F.lit(1.0), 0.1 * x / _MAX[effect])
 
 
-def _each(text: Column, chance: Column, to, *keys) -> Column:
-    """text with to(character) for each character that a draw hits; to gives null for those that cannot change."""
-    one = lambda c, i: F.when(fraction(*keys, i) < chance, F.coalesce(to(c), c)).otherwise(c)
-    return F.when(text == "", text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+#: Characters that are searched for hits together: the gaps between hits have no memory, so each stretch may begin anew.
+STRETCH = 64
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _each(text: Column, chance: Column, to, *keys, among: str = "") -> Column:
+    """text with to(character) for each character that is hit; to gives null for those that cannot change, which are all but those of among where that is given.
+
+    What is drawn is not every character's fate but the gaps between hits, which are geometric: a stretch of STRETCH characters
+    takes one draw more than it has hits.
+    """
+
+    def hit(stretch: Column, j: Column) -> Column:
+        n = F.length(stretch)
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        kind = "struct<at:int,out:string>"
+
+        def gap(k: Column) -> Column:
+            u = (draw(*keys, j, k) + 1) / F.lit(4294967296.0)
+            return F.when(chance >= 1, 0).otherwise(F.least(F.lit(STRETCH), F.floor(F.log(u) / F.log(1 - chance)))).cast("int")
+
+        def one(acc: Column, place: Column) -> Column:
+            c = F.substring(stretch, place + 1, F.lit(1))
+            before = F.concat(acc["out"], F.substring(stretch, acc["at"] + 1, place - acc["at"]))
+            changed = F.struct((place + 1).alias("at"), F.concat(before, F.coalesce(to(c), c)).alias("out"))
+            return F.when(place >= n, F.struct(n.alias("at"), F.concat(acc["out"], F.substring(stretch, acc["at"] + 1, n)).alias("out"))).otherwise(changed).cast(kind)
+
+        def step(acc: Column, k: Column) -> Column:
+            return F.when(acc["at"] >= n, acc).otherwise(_let(acc["at"] + gap(k), lambda place: one(acc, place)))
+
+        few = F.least(F.lit(STRETCH), F.ceil(2 * STRETCH * chance).cast("int") + 4)
+        first = F.aggregate(F.sequence(F.lit(0), few - 1), start.cast(kind), step)
+        more = lambda acc: F.when((acc["at"] >= n) | (few >= STRETCH), F.array().cast("array<int>")).otherwise(F.sequence(few, F.lit(STRETCH)))
+        found = _let(first, lambda acc: F.aggregate(more(acc), acc, step))["out"]
+        return F.when(stretch.rlike(f"[{among}]"), found).otherwise(stretch) if among else found
+
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    return F.when((text == "") | (chance <= 0), text).otherwise(F.array_join(F.transform(stretches, hit), ""))
 
 
 def _swap(pairs: dict[str, str]):
@@ -47,27 +85,30 @@ def rule(effect: str, text: Column, chance: Column, *keys) -> Column:
     k = (*keys, effect)
     if effect == "InkBleed":  # look-alike pairs run together
         joined = F.replace(F.replace(F.replace(text, F.lit("rn"), F.lit("m")), F.lit("cl"), F.lit("d")), F.lit("vv"), F.lit("w"))
-        per_word = F.transform(F.split(text, " "), lambda w, i: F.when(fraction(*k, i) < F.least(F.lit(1.0), chance * 5), F.replace(F.replace(F.replace(w, F.lit("rn"), F.lit("m")), F.lit("cl"), F.lit("d")), F.lit("vv"), F.lit("w"))).otherwise(w))
+        per_word = F.transform(F.split(text, " "), lambda w, i: F.when(w.rlike("rn|cl|vv") & (fraction(*k, i) < F.least(F.lit(1.0), chance * 5)), F.replace(F.replace(F.replace(w, F.lit("rn"), F.lit("m")), F.lit("cl"), F.lit("d")), F.lit("vv"), F.lit("w"))).otherwise(w))
         return F.when(chance >= 1, joined).otherwise(F.array_join(per_word, " "))
     if effect == "LowLightNoise":  # thin marks fade
-        return _each(text, F.least(F.lit(1.0), chance * 5), lambda c: F.when(c.isin(".", ",", "'", ":"), F.lit("")), *k)
+        return _each(text, F.least(F.lit(1.0), chance * 5), lambda c: F.when(c.isin(".", ",", "'", ":"), F.lit("")), *k, among=".,':")
     if effect == "Markup":  # a run of words is struck out
-        words = F.split(text, " ")
-        first = F.floor(fraction(*k, "first") * F.size(words)).cast("int")
-        n = F.ceil(chance * F.size(words)).cast("int")
-        return F.array_join(F.transform(words, lambda w, i: F.when((i >= first) & (i < first + n), F.repeat(F.lit("_"), F.length(w))).otherwise(w)), " ")
+        def struck(x: Column) -> Column:
+            words, first, n = x["words"], x["first"], F.ceil(chance * F.size(x["words"])).cast("int")
+            run = F.transform(F.slice(words, first + 1, n), lambda w: F.repeat(F.lit("_"), F.length(w)))
+            return F.array_join(F.concat(F.slice(words, F.lit(1), first), run, F.slice(words, first + n + 1, F.size(words))), " ")
+
+        chosen = lambda words: F.struct(words.alias("words"), F.floor(fraction(*k, "first") * F.size(words)).cast("int").alias("first"))
+        return _let(_let(F.split(text, " "), chosen), struck)
     if effect == "NoiseTexturize":  # specks
         return _each(text, chance, lambda c: F.concat(c, F.when(fraction(*k, c) < 0.5, F.lit(".")).otherwise(F.lit("~"))), *k)
     if effect == "ColorShift":  # accents fall off
-        return _each(text, F.least(F.lit(1.0), chance * 10), lambda c: F.translate(c, _ACCENTS, _PLAIN), *k)
+        return _each(text, F.least(F.lit(1.0), chance * 10), lambda c: F.translate(c, _ACCENTS, _PLAIN), *k, among=_ACCENTS)
     if effect == "Brightness":  # characters vanish
         return _each(text, chance, lambda c: F.lit(""), *k)
     if effect == "Gamma":
-        return _each(text, F.least(F.lit(1.0), chance * 5), _swap({"O": "0", "0": "O", "l": "1", "1": "l"}), *k)
+        return _each(text, F.least(F.lit(1.0), chance * 5), _swap({"O": "0", "0": "O", "l": "1", "1": "l"}), *k, among="O0l1")
     if effect == "Dithering":  # words break
         return _each(text, chance, lambda c: F.when(c.rlike(r"^\w$"), F.concat(c, F.lit(" "))), *k)
     if effect == "Jpeg":
-        return _each(text, F.least(F.lit(1.0), chance * 2), _swap({"e": "c", "c": "e", "a": "o", "o": "a"}), *k)
+        return _each(text, F.least(F.lit(1.0), chance * 2), _swap({"e": "c", "c": "e", "a": "o", "o": "a"}), *k, among="ecao")
     return text
 
 

@@ -466,16 +466,6 @@ def _degraded(spark, sf_dir, name):
     return out.select("doc_id", F.size("applied").alias("n_applied"), F.md5("degraded").alias("degraded_md5"), F.length("degraded").alias("n_chars"))
 
 
-@query()
-def degrade_light(spark, sf_dir):
-    return _degraded(spark, sf_dir, "light")
-
-
-@query()
-def degrade_heavy(spark, sf_dir):
-    return _degraded(spark, sf_dir, "heavy")
-
-
 @query("SELECT doc_id, md5(replace(replace(replace(text, 'rn', 'm'), 'cl', 'd'), 'vv', 'w')) AS degraded_md5 FROM documents")
 def degrade_look_alikes(spark, sf_dir):
     """One effect with certainty: look-alike pairs run together."""
@@ -483,7 +473,6 @@ def degrade_look_alikes(spark, sf_dir):
     return docs.select("doc_id", F.md5(dg.rule("InkBleed", F.col("text"), F.lit(1.0), 5, F.col("doc_id"))).alias("degraded_md5"))
 
 
-CHARS = "regexp_extract_all({}, '(?s).')"
 RUN = "replace(replace(replace(w, 'rn', 'm'), 'cl', 'd'), 'vv', 'w')"
 
 
@@ -492,9 +481,71 @@ def d_words(text: str, chance: str, *keys: str) -> str:
     return f"array_to_string(list_transform(string_split({text}, ' '), lambda w, i: CASE WHEN {D_FRACTION.format(', '.join([*keys, 'i - 1']))} < least(1.0, ({chance}) * 5) THEN {RUN} ELSE w END), ' ')"
 
 
-def d_chars(text: str, chance: str, to: str, *keys: str) -> str:
-    """SQL of to(c) for each character that a draw hits."""
-    return f"array_to_string(list_transform({CHARS.format(text)}, lambda c, i: CASE WHEN {D_FRACTION.format(', '.join([*keys, 'i - 1']))} < {chance} THEN {to} ELSE c END), '')"
+def d_chars(text: str, chance: str, to: str, *keys: str, among: str = "") -> str:
+    """SQL of to(c) for each character that is hit: gaps between hits are drawn for stretches of 64 characters, x.at counts the draws."""
+    gap = f"CASE WHEN {chance} >= 1 THEN 0 ELSE least(64, floor(ln(({D_DRAW.format(', '.join([*keys, 'j - 1', 'x.at']))} + 1) / 4294967296.0::DOUBLE) / ln(1 - {chance})))::BIGINT END"
+    step = f"""CASE WHEN a.at >= length(s) THEN a ELSE list_transform([a.at + {gap}], lambda p: CASE WHEN p >= length(s) THEN {{'at': length(s)::BIGINT, 'out': a.out || substr(s, a.at + 1, length(s))}}
+      ELSE {{'at': p + 1, 'out': a.out || substr(s, a.at + 1, p - a.at) || list_transform([substr(s, p + 1, 1)], lambda c: {to})[1]}} END)[1] END"""
+    draws = "list_transform(range(65), lambda k: {'at': k, 'out': ''})"
+    stretch = f"list_reduce({draws}, lambda a, x: {step}, {{'at': 0::BIGINT, 'out': ''}}).out"
+    stretch = f"CASE WHEN regexp_matches(s, '[{among}]') THEN {stretch} ELSE s END" if among else stretch
+    return f"CASE WHEN {chance} <= 0 THEN {text} ELSE array_to_string(list_transform(regexp_extract_all({text}, '(?s).{{1,64}}'), lambda s, j: {stretch}), '') END"
+
+
+def d_rate(effect: str, low: float | None, high: float | None, *keys: str) -> str:
+    """SQL of the chance of an effect with a range."""
+    if low is None or effect not in dg._MAX:
+        return "0.02::DOUBLE"
+    x = f"({low}::DOUBLE + {high - low!r}::DOUBLE * {D_FRACTION.format(', '.join([*keys, f"'{effect}'", "'x'"]))})"
+    x = f"abs(1 - {x})" if effect == "Brightness" else f"(100 - {x})" if effect == "Jpeg" else x
+    return f"least(1.0::DOUBLE, 0.1::DOUBLE * {x} / {dg._MAX[effect]}::DOUBLE)"
+
+
+def d_swap(pairs: str) -> str:
+    """SQL of the characters of each pair put for one another."""
+    return "CASE c " + " ".join(f"WHEN '{c}' THEN '{pairs[i ^ 1]}'" for i, c in enumerate(pairs)) + " ELSE c END"
+
+
+def d_rule(effect: str, text: str, chance: str, *keys: str) -> str:
+    """SQL of one effect on a text; chance is a column's name."""
+    keys = (*keys, f"'{effect}'")
+    if effect == "InkBleed":
+        return d_words(text, chance, *keys)
+    if effect == "Markup":
+        words = f"string_split({text}, ' ')"
+        start = f"floor({D_FRACTION.format(', '.join([*keys, "'first'"]))} * len({words}))"
+        return f"array_to_string(list_transform({words}, lambda w, i: CASE WHEN i - 1 >= {start} AND i - 1 < {start} + ceil({chance} * len({words})) THEN repeat('_', length(w)) ELSE w END), ' ')"
+    speck = D_FRACTION.format(", ".join([*keys, "c"]))
+    times, to, *among = {
+        "LowLightNoise": (5, "CASE WHEN c IN ('.', ',', chr(39), ':') THEN '' ELSE c END", ".,'':"),
+        "NoiseTexturize": (1, f"c || CASE WHEN {speck} < 0.5 THEN '.' ELSE '~' END"),
+        "ColorShift": (10, f"translate(c, '{dg._ACCENTS}', '{dg._PLAIN}')", dg._ACCENTS),
+        "Brightness": (1, "''"),
+        "Gamma": (5, d_swap("O0l1"), "O0l1"),
+        "Dithering": (1, "CASE WHEN regexp_matches(c, '^[0-9A-Za-z_]$') THEN c || ' ' ELSE c END"),
+        "Jpeg": (2, d_swap("ecao"), "ecao"),
+    }[effect]
+    return d_chars(text, f"least(1.0::DOUBLE, {chance} * {times})", to, *keys, among="".join(among))
+
+
+def d_preset(name: str, seed: int) -> str:
+    """SQL of a preset: a step for each effect, which leaves the text where the effect isn't drawn."""
+    steps, chosen = ["s0 AS (SELECT doc_id, text AS t, 0 AS n FROM documents)"], effects.preset(name)
+    for i, (effect, p, low, high) in enumerate(chosen):
+        keys = (str(seed), "doc_id", str(i), f"'{effect}'")
+        steps.append(f"c{i} AS (SELECT *, {D_FRACTION.format(', '.join([*keys, "'p'"]))} < {p} AS hit, {d_rate(effect, low, high, *keys)} AS rate FROM s{i})")
+        steps.append(f"s{i + 1} AS (SELECT doc_id, CASE WHEN hit THEN {d_rule(effect, 't', 'rate', *keys)} ELSE t END AS t, n + hit::INTEGER AS n FROM c{i})")
+    return f"WITH {', '.join(steps)} SELECT doc_id, n AS n_applied, md5(t) AS degraded_md5, length(t)::INTEGER AS n_chars FROM s{len(chosen)}"
+
+
+@query(d_preset("light", 5))
+def degrade_light(spark, sf_dir):
+    return _degraded(spark, sf_dir, "light")
+
+
+@query(d_preset("heavy", 5))
+def degrade_heavy(spark, sf_dir):
+    return _degraded(spark, sf_dir, "heavy")
 
 
 BRIGHT = "0.1 * abs(1 - (0.8 + 0.3999999999999999 * " + D_FRACTION.format("3, id, 1, 'Brightness', 'Brightness', 'x'") + ")) / 0.4"
