@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draw import draw
+from ..sources.shared import kept
 
 
 def expand_per_template(df: DataFrame, copies: int) -> DataFrame:
@@ -22,15 +23,19 @@ def ranked(df: DataFrame, order: list[Column], name: str = "row_idx", partitions
 
     Rows are dealt by ranges and numbered within each; the counts of the ranges before are added.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # persisted: ranges are sampled, and both uses must see the same ones
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_id")).persist()
-    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = _dealt(df, order, partitions)
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     # one row for each range
-    return dealt.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + at).drop("_part", "_before", "_id")
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")
+
+
+def _dealt(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+    """df dealt by ranges of the order, with the range (_part) and the place in it (_at); written once, since ranges are sampled and all uses must see the same ones."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    id_ = F.monotonically_increasing_id()
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", id_.alias("_id"))
+    return kept(dealt, "ranges").withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
 
 
 def sample_with_replacement(spark: SparkSession, df: DataFrame, rows: int, total: int, seed: int | None) -> DataFrame:
@@ -69,11 +74,22 @@ def compute_once(requests: DataFrame, fn: Callable[[DataFrame], DataFrame], cont
 
 
 def name_outputs(df: DataFrame, mode: str = "per_template") -> DataFrame:
-    """df(stem, out_idx, …) with name: a counter of three digits per stem in output order, or of four digits over all for random_sample."""
+    """df(stem, out_idx, …) with name: a counter of three digits per stem in output order, or of four digits over all for random_sample.
+
+    Two levels, so that a stem which most rows share is numbered by many tasks: ranges of (stem, out_idx) are numbered stem by stem, and what
+    a stem has in the ranges before is added.
+    """
     if mode == "random_sample":
         return df.withColumn("name", F.format_string("%04d", "out_idx"))
-    counter = F.row_number().over(Window.partitionBy("stem").orderBy("out_idx")) - 1
-    return df.withColumn("name", F.format_string("%s_%03d", "stem", counter))
+    dealt = _dealt(df, [F.col("stem"), F.col("out_idx")])
+    pieces = dealt.groupBy("_part", "stem").agg(F.count(F.lit(1)).alias("_n"))
+    # only stems that lie in more than one range have rows before a piece: at most two pieces for each range
+    several = pieces.groupBy("stem").agg(F.sort_array(F.collect_list(F.struct("_part", "_n"))).alias("_pieces")).where(F.size("_pieces") > 1)
+    sums = F.transform("_pieces", lambda x, i: F.struct(x["_part"].alias("_part"), F.aggregate(F.slice("_pieces", F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["_n"]).alias("_before")))
+    before = several.select(F.col("stem").alias("_stem"), F.explode(sums).alias("_b")).select("_stem", F.col("_b._part").alias("_in"), "_b._before")
+    numbered = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_part", "stem").orderBy("_at")) - 1)
+    joined = numbered.join(F.broadcast(before), F.col("stem").eqNullSafe(F.col("_stem")) & (F.col("_part") == F.col("_in")), "left")
+    return joined.select(*df.columns, F.format_string("%s_%03d", "stem", F.col("_k") + F.coalesce("_before", F.lit(0))).alias("name"))
 
 
 def in_input_order(df: DataFrame, by: str = "out_idx") -> DataFrame:
@@ -85,13 +101,59 @@ def preview_rows(df: DataFrame, k: int = 8, by: str = "out_idx") -> DataFrame:
     return df.orderBy(by).limit(k)
 
 
+#: Bits of a draw that one counting pass looks at.
+BITS = 11
+
+
+def threshold(drawn: DataFrame, rank: int, key: str) -> Column:
+    """A condition that holds for exactly the first `rank` rows of drawn(_draw, key, …) in the order of (_draw, key), found by counting, not by sorting.
+
+    Each pass counts the rows by some more leading bits of the draw, with partial aggregation; the driver sees 2**BITS counts. The keys that share
+    the last draw, some rows in four billion, are taken in order. Rows that repeat that draw's last key cannot be told apart by it: those are ranked.
+    """
+    left, prefix, known = rank, 0, 0
+    while known < 32:
+        bits = min(BITS, 32 - known)
+        here = drawn.where(F.shiftright("_draw", 32 - known) == prefix) if known else drawn
+        cells = here.groupBy(F.shiftright("_draw", 32 - known - bits).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(cells):
+            prefix = r["cell"]
+            if left < r["n"]:
+                break
+            left -= r["n"]
+        else:
+            return F.lit(True)  # no more rows than that
+        known += bits
+    below, keys = F.col("_draw") < prefix, drawn.where(F.col("_draw") == prefix).groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(key)
+    for r in keys.toLocalIterator():
+        if left < r["n"]:
+            break
+        left -= r["n"]
+    before = F.lit(False) if r[key] is None else F.col(key).isNull() | (F.col(key) < F.lit(r[key]))
+    if left:
+        raise RepeatedKey(r[key])
+    return below | ((F.col("_draw") == prefix) & before)
+
+
+class RepeatedKey(Exception):
+    """The threshold falls among rows of one key."""
+
+
 def split(df: DataFrame, val_ratio: float, test_ratio: float, seed: int, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, val, test) of exact sizes by a seeded shuffle of the rows: test and val have 1 row at least, as long as there are rows."""
+    """(train, val, test) of exact sizes by a seeded shuffle of the rows: test and val have 1 row at least, as long as there are rows.
+
+    The shuffle is never carried out: thresholds of the draws are found by counting (threshold), and each part is a filter over df. Where a
+    threshold falls among rows that repeat a key, all rows are ranked instead.
+    """
     n = df.count()
     n_test, n_val = max(1, int(n * test_ratio)), max(1, int(n * val_ratio))
-    rows = ranked(df.withColumn("_draw", draw(seed, F.col(key))), [F.col("_draw"), F.col(key)], "_rank").drop("_draw")
-    at = F.col("_rank")
-    return rows.where(at >= n_test + n_val).drop("_rank"), rows.where((at >= n_test) & (at < n_test + n_val)).drop("_rank"), rows.where(at < n_test).drop("_rank")
+    drawn = df.withColumn("_draw", draw(seed, F.col(key)))
+    try:
+        test, both = (F.coalesce(threshold(drawn.select("_draw", key), k, key), F.lit(False)) for k in (n_test, n_test + n_val))
+    except RepeatedKey:
+        rows, at = ranked(drawn, [F.col("_draw"), F.col(key)], "_rank").drop("_draw"), F.col("_rank")
+        return rows.where(at >= n_test + n_val).drop("_rank"), rows.where((at >= n_test) & (at < n_test + n_val)).drop("_rank"), rows.where(at < n_test).drop("_rank")
+    return drawn.where(~both).drop("_draw"), drawn.where(both & ~test).drop("_draw"), drawn.where(test).drop("_draw")
 
 
 def check_split(train: DataFrame, val: DataFrame, test: DataFrame, whole: DataFrame) -> dict[str, int]:

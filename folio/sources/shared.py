@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -19,3 +19,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="folio-"))
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: all uses see the same rows, and a lost executor costs nothing that was written."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
