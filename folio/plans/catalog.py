@@ -818,3 +818,77 @@ def check_split(spark, sf_dir):
 def with_transform(spark, sf_dir):
     """A function of the user's own over the whole table."""
     return user.with_transform(table(spark, sf_dir, "documents"), lambda t: t.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars")))
+
+
+# ---- every provider of field values
+
+D_STREET = "(1 + " + D_DRAW.format("c_custkey, z, 'no'") + " % 999) || ' ' || " + d_pick(providers.STREETS, "c_custkey", "z", "'street'")
+
+
+def d_digits(n: int, name: str) -> str:
+    return " || ".join(f"({D_DRAW.format(f"c_custkey, z, '{name}', 'digit', {i}" if name else f"c_custkey, z, 'digit', {i}")} % 10)" for i in range(n))
+
+
+def d_price(low: int, high: int) -> str:
+    return f"'$' || format('{{:,}}', {low} + {D_DRAW.format("c_custkey, z, 'price'")} % {high - low + 1}) || '.' || lpad(({D_DRAW.format("c_custkey, z, 'cents'")} % 100)::VARCHAR, 2, '0')"
+
+
+def d_date(first: int, last: int, pattern: str, *more: str) -> str:
+    return f"strftime(DATE '2024-01-01' + ({first} + {D_DRAW.format(', '.join(['c_custkey', 'z', *more, "'day'"]))} % {last - first + 1})::INTEGER, '{pattern}')"
+
+
+D_NAME = f"{d_pick(providers.FIRST, 'c_custkey', 'z', "'first'")} || ' ' || {d_pick(providers.LAST, 'c_custkey', 'z', "'last'")}"
+D_CITY = d_pick(providers.CITIES, "c_custkey", "z", "'city'")
+D_WHO = f"{d_pick(providers.FIRST, 'c_custkey', "'default'", "'first'")}", f"{d_pick(providers.LAST, 'c_custkey', "'default'", "'last'")}"
+D_SSN = " || '-' || ".join(f"lpad((1 + {D_DRAW.format(f"c_custkey, 'default', '{k}'")} % {most})::VARCHAR, {n}, '0')" for k, most, n in (("a", 899, 3), ("b", 99, 2), ("c", 9999, 4)))
+D_PROVIDERS = {
+    "price_short": d_price(1, 99), "price_medium": d_price(100, 9_999), "price_large": d_price(10_000, 999_999), "number_short": d_digits(4, ""), "number_medium": d_digits(7, ""), "number_long": d_digits(12, ""),
+    "date_numeric": d_date(-18_000, 0, "%m/%d/%Y"), "date_written": d_date(-18_000, 0, "%B %d, %Y"), "signing_date": d_date(-1_461, 0, "%B %d, %Y"), "effective_date": d_date(-1_461, 0, "%B %d, %Y", "'effective'"), "termination_date": d_date(1, 1_095, "%B %d, %Y"),
+    "address_single_line": f"{D_STREET} || ', ' || {D_CITY} || ' ' || {d_digits(5, 'zip')}", "checkbox_checked": "'☑'", "checkbox_unchecked": "'☐'", "checkbox_x": "'☒'",
+    "first_name": D_WHO[0], "last_name": D_WHO[1], "full_name": f"{D_WHO[0]} || ' ' || {D_WHO[1]}", "signature": f"{D_WHO[0]} || ' ' || {D_WHO[1]}", "initials": f"{D_WHO[0]}[1] || '.' || {D_WHO[1]}[1] || '.'", "ssn": D_SSN, "address": D_STREET.replace("c_custkey, z", "c_custkey, 'default'"),
+    "name": D_NAME, "email": f"lower(replace({D_NAME}, ' ', '.')) || '@example.com'", "phone_number": f"'555-' || {d_digits(3, 'p')} || '-' || {d_digits(4, 'q')}", "company": f"{d_pick(providers.COMPANIES, 'c_custkey', 'z', "'company'")} || ' Ltd'", "city": D_CITY, "postcode": d_digits(5, "zip"),
+    "credit_card_number": f"'4' || {d_digits(15, 'card')}", "date_of_birth": d_date(-36_500, -6_570, "%Y-%m-%d"), "word": d_pick(providers.WORDS, "c_custkey", "z", "'word'"), "unknown": d_pick(providers.WORDS, "c_custkey", "z", "'word'"),
+    "sentence": "upper(@[1]) || @[2:] || ' ' || ".replace("@", d_pick(providers.WORDS, "c_custkey", "z", "'w0'")) + " || ' ' || ".join(d_pick(providers.WORDS, "c_custkey", "z", f"'w{i}'") for i in range(1, 6)) + " || '.'",
+    "numerify:#-?#": f"({D_DRAW.format('c_custkey, z, 0')} % 10) || '-?' || ({D_DRAW.format('c_custkey, z, 3')} % 10)", "bothify:?#": f"substr('abcdefghijklmnopqrstuvwxyz', {D_DRAW.format("c_custkey, z, 0, 'letter'")} % 26 + 1, 1) || ({D_DRAW.format('c_custkey, z, 1')} % 10)",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT c_custkey AS seed, z AS provider, {sql} AS text FROM customer, (SELECT '{name}' AS z)" for name, sql in D_PROVIDERS.items()))
+def provider_values(spark, sf_dir):
+    """A value of every provider for every customer."""
+    seeds = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("seed"), F.explode(F.array(*[F.lit(n) for n in D_PROVIDERS])).alias("provider"))
+    value = providers.zone_text(F.col("provider"), F.array().cast("array<string>"), providers.identity(F.col("seed"), F.lit("default")), F.col("seed"), F.col("provider"))
+    return seeds.select("seed", "provider", value.alias("text"))
+
+
+# ---- folders of files
+
+
+@query("SELECT doc_id, 'doc_' || doc_id AS stem, ['.png', '.JPG', '.tiff', '.pdf'][doc_id % 5 + 1] AS ext, strlen(text) AS length FROM documents WHERE doc_id % 5 < 4 AND doc_id % 11 <> 0 AND strlen(text) > 0")
+def scan_files(spark, sf_dir):
+    """Files of a folder by suffix, in any case; other suffixes and the files of folders below it don't count."""
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".png", ".JPG", ".tiff", ".pdf", ".txt")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    name = F.concat(F.when(F.col("doc_id") % 11 == 0, "below/").otherwise(""), F.lit("doc_"), F.col("doc_id").cast("string"), ext)
+    path = shared_path(spark, "folder")
+    pictures.write_files(spread(table(spark, sf_dir, "documents"), "doc_id").select(name.alias("name"), F.encode("text", "utf-8").alias("content")), path)
+    return annotations.scan_files(spark, path).select(F.substring("stem", 5, 30).cast("long").alias("doc_id"), "stem", "ext", "length")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN k < 4 THEN 'doc_' || doc_id || '.png' END AS image_path, CASE WHEN k < 2 THEN md5(text) WHEN k < 4 THEN md5(lang || chr(10) || source) END AS text_md5, CASE WHEN k < 2 THEN len(string_split(text, chr(10))) WHEN k < 4 THEN 2 ELSE 0 END::INTEGER AS n_regions,
+    CASE WHEN k IN (4, 5) THEN 'unreadable' WHEN k = 6 THEN 'text missing' WHEN k = 7 THEN 'not an annotation' END AS reason FROM (SELECT *, doc_id % 8 AS k FROM documents)"""
+)
+def read_ground_truth(spark, sf_dir):
+    """A folder of JSON and XML annotations with suffixes in either case, broken ones and others among them, judged in one pass."""
+    kind, name = F.col("doc_id") % 8, F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    image = F.concat(name, F.lit(".png"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.array(*[F.array(F.lit(0.0), F.lit(0.0))] * 4).alias("box"), x.alias("text")))
+    json = F.to_json(F.struct(image.alias("image_path"), F.col("text"), lines.alias("regions")))
+    region = lambda text: F.concat(F.lit('<text_region><coords x1="1"/><text>'), text, F.lit("</text></text_region>"))
+    xml = F.concat(F.lit('<?xml version="1.0"?><document image="'), image, F.lit('">'), region(F.col("lang")), region(F.col("source")), F.lit("</document>"))
+    content = F.when(kind < 2, json).when(kind < 4, xml).when(kind == 4, F.concat(F.lit("{ "), name)).when(kind == 5, F.concat(F.lit("<document>"), name)).when(kind == 6, F.to_json(F.struct(image.alias("image_path")))).otherwise(F.col("text"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".json", ".JSON", ".xml", ".XML", ".Json", ".Xml", ".json", ".txt")]), (kind + 1).cast("int"))
+    path = shared_path(spark, "mixed")
+    pictures.write_files(spread(table(spark, sf_dir, "documents"), "doc_id").select(F.concat(name, suffix).alias("name"), F.encode(content, "utf-8").alias("content")), path)
+    doc_id = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long")
+    return annotations.judged_ground_truth(spark, path).select(doc_id.alias("doc_id"), "image_path", F.md5("text").alias("text_md5"), F.coalesce(F.size("regions"), F.lit(0)).alias("n_regions"), "reason")

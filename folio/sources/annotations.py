@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,56 +31,72 @@ def with_defaults(region: Column) -> Column:
     return F.struct(*[(F.coalesce(region[n], F.lit(REGION_DEFAULTS[n])) if n in REGION_DEFAULTS else region[n]).alias(n) for n in fields])
 
 
+def json_columns(of: Callable[[str], Column]) -> dict[str, Column]:
+    """What a JSON file gives, from its fields: a reason where it isn't an annotation, and what is missing at its default."""
+    reason = F.when(of("_corrupt_record").isNotNull(), "unreadable").when(of("image_path").isNull(), "image_path missing").when(of("text").isNull(), "text missing")
+    regions = F.coalesce(F.transform(of("regions"), with_defaults), F.array().cast(GROUND_TRUTH["regions"].dataType))
+    return {"reason": reason, "image_path": of("image_path"), "text": of("text"), "regions": regions, "synthetic": F.coalesce(of("synthetic"), F.lit(True)), "seed": of("seed"), "generation_timestamp": of("generation_timestamp")}
+
+
+def judged(raw: DataFrame, columns: Callable[[Callable[[str], Column]], dict[str, Column]]) -> DataFrame:
+    return raw.select("path", *[c.alias(n) for n, c in columns(F.col).items()])
+
+
+def halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("path", "reason")
+
+
 def read_gt_json(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(annotations, rejects): one JSON object a file (or a line); what is missing takes its default, except image_path and text, whose lack rejects the file."""
     schema = T.StructType([*GROUND_TRUTH.fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = spark.read.schema(schema).option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("path", F.col("_metadata.file_path"))
-    reason = F.when(F.col("_corrupt_record").isNotNull(), "unreadable").when(F.col("image_path").isNull(), "image_path missing").when(F.col("text").isNull(), "text missing")
-    judged = raw.withColumn("reason", reason)
-    regions = F.coalesce(F.transform("regions", with_defaults), F.array().cast(GROUND_TRUTH["regions"].dataType))
-    good = judged.where("reason is null").select("path", "image_path", "text", regions.alias("regions"), F.coalesce("synthetic", F.lit(True)).alias("synthetic"), "seed", "generation_timestamp")
-    return good, judged.where("reason is not null").select("path", "reason")
+    raw = spark.read.schema(schema).option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return halves(judged(raw.withColumn("path", F.col("_metadata.file_path")), json_columns))
 
 
 XML_DOCUMENT = """_image string, text_region array<struct<_confidence:double,text:string,coords:struct<_x1:double,_y1:double,_x2:double,_y2:double,_x3:double,_y3:double,_x4:double,_y4:double>>>, _corrupt_record string"""
 
 
-def read_gt_xml(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(annotations, rejects) of <document image> files (or of large files with many, which are then split): regions lacking coords or text are left out, a coordinate defaults to 0,
-    confidence to 1; the document's text is that of its regions, a line each."""
-    raw = spark.read.format("xml").option("rowTag", "document").option("multiLine", multi_line).schema(XML_DOCUMENT).load(path).withColumn("path", F.col("_metadata.file_path"))
-    kept = F.filter(F.coalesce("text_region", F.array().cast("array<struct<_confidence:double,text:string,coords:struct<_x1:double,_y1:double,_x2:double,_y2:double,_x3:double,_y3:double,_x4:double,_y4:double>>>")), lambda r: r["coords"].isNotNull() & r["text"].isNotNull())
+def xml_columns(of: Callable[[str], Column]) -> dict[str, Column]:
+    """What an XML file gives, from the fields of XML_DOCUMENT, with a reason where it cannot be read."""
+    none = F.array().cast("array<struct<_confidence:double,text:string,coords:struct<_x1:double,_y1:double,_x2:double,_y2:double,_x3:double,_y3:double,_x4:double,_y4:double>>>")
+    kept = F.filter(F.coalesce(of("text_region"), none), lambda r: r["coords"].isNotNull() & r["text"].isNotNull())
 
     def region(r: Column) -> Column:
         box = F.array(*[F.array(*[F.coalesce(r["coords"][f"_{axis}{i}"], F.lit(0.0)) for axis in "xy"]) for i in range(1, 5)])
         rest = [F.lit(v).alias(n) for n, v in REGION_DEFAULTS.items() if n != "confidence"]
         return F.struct(box.alias("box"), r["text"].alias("text"), F.coalesce(r["_confidence"], F.lit(1.0)).alias("confidence"), *rest)
 
-    regions = F.transform(kept, region)
-    good = raw.where("_corrupt_record is null").select("path", F.coalesce("_image", F.lit("")).alias("image_path"), F.array_join(F.transform(kept, lambda r: r["text"]), "\n").alias("text"), regions.alias("regions"), F.lit(True).alias("synthetic"), F.lit(None).cast("long").alias("seed"), F.lit(None).cast("string").alias("generation_timestamp"))
     # the reader wants another column beside that of corrupt records
-    broken = F.col("_corrupt_record").isNotNull() | (F.size("text_region") < -1)
-    return good, raw.where(broken).select("path", F.lit("unreadable").alias("reason"))
+    broken = of("_corrupt_record").isNotNull() | (F.size(of("text_region")) < -1)
+    text = F.array_join(F.transform(kept, lambda r: r["text"]), "\n")
+    regions = F.transform(kept, region).cast(GROUND_TRUTH["regions"].dataType)
+    return {"reason": F.when(broken, "unreadable"), "image_path": F.coalesce(of("_image"), F.lit("")), "text": text, "regions": regions, "synthetic": F.lit(True), "seed": F.lit(None).cast("long"), "generation_timestamp": F.lit(None).cast("string")}
+
+
+def read_gt_xml(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(annotations, rejects) of <document image> files (or of large files with many, which are then split): regions lacking coords or text are left out, a coordinate defaults to 0,
+    confidence to 1; the document's text is that of its regions, a line each."""
+    raw = spark.read.format("xml").option("rowTag", "document").option("multiLine", multi_line).schema(XML_DOCUMENT).load(path)
+    return halves(judged(raw.withColumn("path", F.col("_metadata.file_path")), xml_columns))
+
+
+def judged_ground_truth(spark: SparkSession, folder: str) -> DataFrame:
+    """All files of a folder in one pass, each read whole and parsed by its suffix (.json or .xml, any case): path, reason, and the annotation where reason is null. Files of other kinds are rejects; Spark passes over empty files."""
+    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    schema = T.StructType([*GROUND_TRUTH.fields, T.StructField("_corrupt_record", T.StringType())])
+    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
+    kind = F.lower(name_parts(F.col("path"))["ext"])
+    parsed = files.select("path", kind.alias("kind"), F.when(kind == ".json", F.from_json("value", schema, options)).alias("j"), F.when(kind == ".xml", F.from_xml("value", XML_DOCUMENT, options)).alias("x"))
+    json, xml = json_columns(lambda n: F.col("j")[n]), xml_columns(lambda n: F.col("x")[n])
+    either = {n: F.when(F.col("kind") == ".json", json[n]).when(F.col("kind") == ".xml", xml[n]) for n in json}
+    reason = F.when(F.col("kind").isin(".json", ".xml"), either.pop("reason")).otherwise("not an annotation")
+    rows = parsed.select("path", reason.alias("reason"), *[c.alias(n) for n, c in either.items()])
+    return rows.select("path", "reason", *[F.when(F.col("reason").isNull(), F.col(n)).alias(n) for n in either])
 
 
 def read_ground_truth(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(annotations, rejects) of a folder's .json and .xml files (any case); files of other kinds are rejects."""
-    files = scan_all(spark, folder)
-    kinds = {r["e"] for r in files.select(F.lower("ext").alias("e")).distinct().collect()}
-    good, bad = [], [files.where(~F.lower(F.col("ext")).isin(".json", ".xml")).select("path", F.lit("not an annotation").alias("reason"))]
-    for kind, read in ((".json", read_gt_json), (".xml", read_gt_xml)):
-        if kind in kinds:
-            a, b = read(spark, f"{folder}/*.[{kind[1]}{kind[1].upper()}]" + "".join(f"[{c}{c.upper()}]" for c in kind[2:]))
-            good.append(a)
-            bad.append(b)
-    none = spark.createDataFrame([], T.StructType([T.StructField("path", T.StringType()), *GROUND_TRUTH.fields]))
-    out = none
-    for g in good:
-        out = out.unionByName(g.select(*[F.col(f.name).cast(f.dataType) for f in none.schema.fields]))
-    rejects = bad[0]
-    for b in bad[1:]:
-        rejects = rejects.unionByName(b)
-    return out, rejects
+    """(annotations, rejects) of judged_ground_truth."""
+    return halves(judged_ground_truth(spark, folder))
 
 
 def scan_all(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import os
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,13 +127,39 @@ def test_images():
     assert images.apply_effect(x, "Brightness", 2.0, 0).max() == 255
 
 
-def test_recognize_keeps_going(spark):
+def engines(folder, batched):
+    """A factory that leaves a file for each engine it makes."""
+
     class Engine:
+        def __init__(self):
+            (folder / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+
         def recognize(self, v):
             if v == "bad":
                 raise ValueError("no")
-            return {"text": v, "scores": [1.0]}
+            return {"text": v.upper(), "scores": [1.0]}
+
+    class Batched(Engine):
+        def recognize_batch(self, values):
+            if "bad" in values:
+                raise RuntimeError("all of them")
+            return [{"text": f"{v.upper()}{len(values)}", "scores": [0.5]} for v in values]
+
+    return Batched if batched else Engine
+
+
+@pytest.mark.parametrize("batched", [False, True])
+def test_recognize_keeps_going(spark, tmp_path, batched):
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "d"), (5, "e"), (6, "f")], "id long, data string").coalesce(1)
+    out = {r["id"]: r for r in user.recognize(df, engines(tmp_path, batched), together=2).collect()}
+    assert out[1]["text"] == "A" and out[2]["text"] is None and out[2]["error"] == "ValueError: no" and out[3]["error"] == "ValueError: no data"
+    assert out[5]["text"] == ("E2" if batched else "E") and out[5]["scores"] == [0.5 if batched else 1.0]
+
 
-    df = spark.createDataFrame([(1, "a"), (2, "bad")], "id long, data string")
-    out = {r["id"]: r for r in user.recognize(df, Engine).collect()}
-    assert out[1]["text"] == "a" and out[2]["text"] is None and out[2]["error"] == "ValueError: no"
+def test_one_engine_for_each_worker(spark, tmp_path):
+    """Forty tasks in two jobs make one engine in each worker process, and another for another language."""
+    factory, df = engines(tmp_path, False), spark.range(400).repartition(20).select("id", F.lit("x").alias("data"))
+    for language, made in (("en", 1), ("en", 1), ("de", 2)):
+        assert user.recognize(df, factory, language=language).where("text = 'X'").count() == 400
+        pids = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+        assert max(pids.count(p) for p in pids) <= made and len(set(pids)) < 20
