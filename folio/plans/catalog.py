@@ -631,6 +631,20 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return raw.parquet(path.replace("events.parquet", "events*.parquet")).select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.col("value").alias("progress"), "value", "event_type")
 
 
+EXPIRY = 7200
+
+
+@query(
+    f"""WITH u AS (SELECT user_id, max({{'ts': ts, 'id': event_id, 'status': event_type}}) AS l, max(value) AS progress FROM events GROUP BY user_id)
+    SELECT user_id, l.status AS status, l.id AS seq, progress, l.ts + INTERVAL '{EXPIRY} seconds' < (SELECT max(ts) - INTERVAL '10 minutes' FROM events) AS expired FROM u"""
+)
+def stream_job_states(spark, sf_dir):
+    """The last state of each job from keyed state with timers; jobs that were silent for two hours before the watermark have expired."""
+    stream = jobs.job_states(_event_stream(spark, sf_dir), "10 minutes", EXPIRY, "user_id")
+    out = jobs.run_to_end(stream, shared_path(spark, "states"), "update")
+    return out.groupBy("user_id").agg(F.max(F.struct("epoch", "status", "seq", "progress", "expired")).alias("l")).select("user_id", "l.status", "l.seq", "l.progress", "l.expired")
+
+
 QUALITY = "SELECT time_bucket(INTERVAL '6 hours', ts::TIMESTAMP, TIMESTAMP '1970-01-01')::VARCHAR AS window_start, event_type, round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY 1, 2"
 
 
@@ -756,17 +770,21 @@ def read_xml_annotations(spark, sf_dir):
     return good.select("image_path", "text", F.size("regions").cast("long").alias("n_regions"), F.array_min(F.transform("regions", lambda r: r["confidence"])).alias("least_confidence"), box[0][0].alias("x1"), box[2][1].alias("y3"))
 
 
-@query("SELECT 'doc_' || doc_id || '.png' AS image_path, md5(text) AS text_md5, md5(text) AS full_text_md5, len(string_split(text, chr(10))) AS n_regions, CASE WHEN doc_id % 4 = 0 THEN len(string_split(text, chr(10))) ELSE 0 END AS n_faults FROM documents")
+@query(
+    """SELECT CASE WHEN k <> 6 THEN 'doc_' || doc_id || '.png' END AS image_path, CASE WHEN k <> 6 THEN md5(text) END AS text_md5, CASE WHEN k <> 6 THEN md5(text) END AS full_text_md5, CASE WHEN k <> 6 THEN len(string_split(text, chr(10))) ELSE 0 END AS n_regions,
+    CASE WHEN k % 4 = 0 THEN len(string_split(text, chr(10))) ELSE 0 END AS n_faults, CASE WHEN k = 6 THEN 'unreadable' END AS reason, CASE WHEN k = 6 THEN md5('{"image_path": doc_' || doc_id) END AS raw_md5 FROM (SELECT *, doc_id % 8 AS k FROM documents)"""
+)
 def stream_annotations(spark, sf_dir):
-    """All documents as annotation files that a stream reads as they arrive; every fourth has confidences that are none."""
+    """All documents as lines of annotation files that a stream reads as they arrive; every fourth has confidences that are none, every eighth line is broken."""
     box = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in ((0, 0), (100, 0), (100, 20), (0, 20))])
-    confidence = F.when(F.col("doc_id") % 4 == 0, 1.5).otherwise(0.5)
+    confidence, name = F.when(F.col("doc_id") % 4 == 0, 1.5).otherwise(0.5), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(box.alias("box"), x.alias("text"), confidence.alias("confidence")))
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image_path"), "text", lines.alias("regions"))
+    json = F.to_json(F.struct(F.concat(name, F.lit(".png")).alias("image_path"), F.col("text"), lines.alias("regions")))
     path = shared_path(spark, "arriving")
-    annotations.write_annotations(docs, path)
-    out = jobs.run_to_end(jobs.stream_annotations(spark, f"{path}/documents"), shared_path(spark, "arrived"))
-    return out.select("image_path", F.md5("text").alias("text_md5"), F.md5("full_text").alias("full_text_md5"), F.col("n_regions").cast("long").alias("n_regions"), F.col("n_faults").cast("long").alias("n_faults"))
+    table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 8 == 6, F.concat(F.lit('{"image_path": '), name)).otherwise(json).alias("value")).write.text(path)
+    good, bad = jobs.halves_to_end(jobs.stream_annotations(spark, path), shared_path(spark, "arrived"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return good.unionByName(bad).select("image_path", F.md5("text").alias("text_md5"), F.md5("full_text").alias("full_text_md5"), count("n_regions"), count("n_faults"), "reason", F.md5("raw").alias("raw_md5"))
 
 
 @query("SELECT event_id, 'preset p' || (user_id % 3) || ', ' || event_type || ': e' || (event_id % 10) || ' has p = ' || ((event_id % 7 - 1) * 0.25)::DOUBLE AS reason FROM events WHERE event_id % 7 IN (0, 6)")
@@ -880,6 +898,22 @@ def scan_files(spark, sf_dir):
 )
 def read_ground_truth(spark, sf_dir):
     """A folder of JSON and XML annotations with suffixes in either case, broken ones and others among them, judged in one pass."""
+    return _judged(annotations.judged_ground_truth(spark, _mixed_folder(spark, sf_dir)))
+
+
+@query(SQL["read_ground_truth"])
+def stream_ground_truth(spark, sf_dir):
+    """The same files from a stream, in its two outputs."""
+    good, bad = jobs.halves_to_end(jobs.stream_ground_truth(spark, _mixed_folder(spark, sf_dir)), shared_path(spark, "judged"))
+    return _judged(good.unionByName(bad))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    doc_id = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long")
+    return rows.select(doc_id.alias("doc_id"), "image_path", F.md5("text").alias("text_md5"), F.coalesce(F.size("regions"), F.lit(0)).alias("n_regions"), "reason")
+
+
+def _mixed_folder(spark, sf_dir) -> str:
     kind, name = F.col("doc_id") % 8, F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
     image = F.concat(name, F.lit(".png"))
     lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.array(*[F.array(F.lit(0.0), F.lit(0.0))] * 4).alias("box"), x.alias("text")))
@@ -890,5 +924,4 @@ def read_ground_truth(spark, sf_dir):
     suffix = F.element_at(F.array(*[F.lit(x) for x in (".json", ".JSON", ".xml", ".XML", ".Json", ".Xml", ".json", ".txt")]), (kind + 1).cast("int"))
     path = shared_path(spark, "mixed")
     pictures.write_files(spread(table(spark, sf_dir, "documents"), "doc_id").select(F.concat(name, suffix).alias("name"), F.encode(content, "utf-8").alias("content")), path)
-    doc_id = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long")
-    return annotations.judged_ground_truth(spark, path).select(doc_id.alias("doc_id"), "image_path", F.md5("text").alias("text_md5"), F.coalesce(F.size("regions"), F.lit(0)).alias("n_regions"), "reason")
+    return path

@@ -82,7 +82,11 @@ def read_gt_xml(spark: SparkSession, path: str, multi_line: bool = True) -> tupl
 
 def judged_ground_truth(spark: SparkSession, folder: str) -> DataFrame:
     """All files of a folder in one pass, each read whole and parsed by its suffix (.json or .xml, any case): path, reason, and the annotation where reason is null. Files of other kinds are rejects; Spark passes over empty files."""
-    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return judged_files(spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def judged_files(files: DataFrame) -> DataFrame:
+    """judged_ground_truth of whole files (path, value), from a table or a stream."""
     schema = T.StructType([*GROUND_TRUTH.fields, T.StructField("_corrupt_record", T.StringType())])
     options = {"columnNameOfCorruptRecord": "_corrupt_record"}
     kind = F.lower(name_parts(F.col("path"))["ext"])

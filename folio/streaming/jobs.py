@@ -2,23 +2,87 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..operators.regions import full_text
 from ..operators.validate import region_fault
 from ..schema import GROUND_TRUTH
-from ..sources.annotations import with_defaults
+from ..sources.annotations import json_columns, judged_files
 
 
 def stream_annotations(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of (image_path, text, full_text, n_regions, n_faults) from JSON-lines files that arrive in folder."""
-    raw = spark.readStream.schema(GROUND_TRUTH).option("maxFilesPerTrigger", files_per_batch).json(folder)
-    regions = F.transform("regions", with_defaults)
-    known = raw.where("text is not null").withColumn("regions", F.coalesce(regions, F.array().cast(GROUND_TRUTH["regions"].dataType)))
+    """A stream of (reason, raw, image_path, text, full_text, n_regions, n_faults) from JSON-lines files that arrive in folder; a line that is no annotation has a reason, and itself as raw."""
+    schema = StructType([*GROUND_TRUTH.fields, StructField("_corrupt_record", StringType())])
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    one = json_columns(lambda n: F.col("j")[n])
+    known = lines.where(F.trim("value") != "").select("value", parsed.alias("j")).select("value", *[c.alias(n) for n, c in one.items()])
     faults = F.size(F.filter("regions", lambda r: region_fault(r["box"], r["confidence"]).isNotNull()))
-    return known.select("image_path", "text", full_text(F.col("regions"), F.col("text")).alias("full_text"), F.size("regions").alias("n_regions"), faults.alias("n_faults"))
+    values = {"image_path": F.col("image_path"), "text": F.col("text"), "full_text": full_text(F.col("regions"), F.col("text")), "n_regions": F.size("regions"), "n_faults": faults}
+    good = F.col("reason").isNull()
+    return known.select("reason", F.when(~good, F.col("value")).alias("raw"), *[F.when(good, c).alias(n) for n, c in values.items()])
+
+
+def stream_ground_truth(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of judged_ground_truth: whole files of either kind, and others, as they arrive in folder."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
+    return judged_files(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def halves_to_end(stream: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Runs a stream with a column reason over what is there now; returns (good rows, rejects) of all runs so far, from Parquet under path.
+
+    Each micro-batch is judged once and written once, parted into its two outputs, in a folder of its number: one that is
+    repeated after a failure replaces what it had written. A further call goes on from the checkpoint.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("rejected", F.col("reason").isNotNull()).write.mode("overwrite").partitionBy("rejected").parquet(f"{path}/out/epoch={epoch}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("epoch", IntegerType()), StructField("rejected", BooleanType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{path}/out")
+    return rows.where("not rejected").select(*stream.columns), rows.where("rejected").select(*stream.columns)
+
+
+JOB = "ts timestamp, seq long, status string, progress double"
+
+
+def job_states(events: DataFrame, delay: str, expiry_seconds: int, job: str = "job_id") -> DataFrame:
+    """A stream of (job, ts, seq, status, progress, expired) of events(job, ts, seq, status, progress), for update mode: a row whenever a job's state changes.
+
+    A job's state is its last event in the order of (ts, seq), whatever order events arrive in, and the largest progress. A job without
+    an event for expiry_seconds, by the watermark (delay behind the latest event), gives a last row with expired and is forgotten, so
+    state holds no more than the jobs of that time. Events behind the watermark are dropped.
+    """
+    kind = dict(events.dtypes)[job]
+    watched = events.withWatermark("ts", delay).select(job, "ts", "seq", "status", F.col("progress").cast("double").alias("progress"))
+
+    def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = [job, "ts", "seq", "status", "progress", "expired"]
+        if state.hasTimedOut:
+            last = state.get
+            state.remove()
+            yield pd.DataFrame([(*key, *last, True)], columns=columns)
+            return
+        last = before = state.get if state.exists else None
+        for b in batches:
+            for ts, seq, status, progress in b[["ts", "seq", "status", "progress"]].itertuples(index=False):
+                most = progress if last is None or pd.isna(last[3]) or progress > last[3] else last[3]
+                last = (ts.to_pydatetime(), int(seq), status, most) if last is None or (ts, seq) > (pd.Timestamp(last[0]), last[1]) else (*last[:3], most)
+        state.update(last)
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(last[0]).tz_localize(zone).timestamp() * 1000) + expiry_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        if last != before:
+            yield pd.DataFrame([(*key, *last, False)], columns=columns)
+
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    return watched.groupBy(job).applyInPandasWithState(follow, f"`{job}` {kind}, {JOB}, expired boolean", JOB, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_status(events: DataFrame, job: str = "job_id") -> DataFrame:
