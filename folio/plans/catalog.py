@@ -11,7 +11,7 @@ from ..functions.draw import draw
 from ..functions.geometry import box_geometry, confidence_color, preview_size, to_page_points
 from ..functions.metrics import car, cer, reward, text_similarity, wer
 from ..functions import providers
-from ..functions.params import action_to_params, as_range, is_image_name, merge_params, output_stem, parse_params
+from ..functions.params import ACTION, action_to_params, as_range, is_image_name, merge_params, output_stem, parse_params
 from ..operators import degrade as dg
 from ..operators import evaluate as ev
 from ..operators import expand as ex
@@ -585,13 +585,52 @@ def degrade_custom(spark, sf_dir):
     return out.select("doc_id", F.array_join("applied", ",").alias("applied"), F.md5("degraded").alias("degraded_md5"))
 
 
-@query()
+GRID = [(i, [a if j % 2 else b for j in range(12)]) for i, (a, b) in enumerate((a, b) for a in (0.0, 0.5, 1.0) for b in (0.0, 0.5, 1.0))]
+
+
+def d_sweep(docs: str) -> str:
+    """SQL of all rewards of docs(doc_id, text) under the grid; distances in code points, since each pair's characters are numbered."""
+    names = ACTION
+    rows = []
+    for i, action in GRID:
+        of = dict(zip(names, action, strict=True))
+        chances = [max(0.01, of["ink_bleed_intensity_max"]) * 0.1, 0.02, 0.02, max(2, int(of["noise_sigma_max"] * 20.0)) * 0.005, 0.02, (min(1.5, 1.0 + of["brightness_spread"] * 0.4) - 1) * 0.25, 0.02, 0.05]
+        rows.append(f"({i}::BIGINT, " + ", ".join(f"{of[p]}::DOUBLE, {c!r}::DOUBLE" for (_, p, _), c in zip(sweep.STEPS, chances, strict=True)) + ")")
+    columns = ", ".join(f"p{k}, r{k}" for k in range(len(sweep.STEPS)))
+    steps = [f"g(action_id, {columns}) AS (VALUES {', '.join(rows)})", f"d AS ({docs})", "t0 AS (SELECT *, text AS t FROM d, g)"]
+    for k, (effect, _, _) in enumerate(sweep.STEPS):
+        keys = ("0", "doc_id", "action_id", f"'{effect}'")
+        steps.append(f"t{k + 1} AS (SELECT * EXCLUDE (t), CASE WHEN {D_FRACTION.format(', '.join([*keys, "'p'"]))} < p{k} THEN {d_rule(effect, 't', f'r{k}', *keys)} ELSE t END AS t FROM t{k})")
+    codes = "list_aggregate(list_transform(regexp_extract_all({}, '(?s).'), lambda c: chr(list_position(v, c)::INTEGER)), 'string_agg', '')"
+    steps += [
+        f"u AS (SELECT doc_id, action_id, text, t, list_distinct(regexp_extract_all(text || t, '(?s).')) AS v FROM t{len(sweep.STEPS)})",
+        f"e AS (SELECT doc_id, action_id, length(t) AS n, length(text) AS m, CASE WHEN length(text) = 0 AND length(t) = 0 THEN 0.0::DOUBLE WHEN length(text) = 0 THEN 1.0 WHEN length(t) = 0 THEN 1.0 ELSE levenshtein({codes.format('t')}, {codes.format('text')})::DOUBLE / length(text) END AS cer FROM u)",
+        "w AS (SELECT doc_id, action_id, 0.5::DOUBLE * (1 - least(cer, 1.0)) + 0.3::DOUBLE * least(1.0::DOUBLE, n::DOUBLE / greatest(1, m)) + 0.2::DOUBLE * (1 - (1 - least(1.0::DOUBLE, CASE WHEN m = 0 THEN n::DOUBLE ELSE cer END))) AS reward FROM e)",
+    ]
+    return f"WITH {', '.join(steps)} "
+
+
+D_TURN_TEXTS = "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations"
+
+
+@query(d_sweep(D_TURN_TEXTS) + "SELECT doc_id, arg_max(action_id, {'reward': reward, 'first': -action_id}) AS action_id, round(max(reward), 9) AS reward FROM w GROUP BY doc_id")
 def sweep_best_params(spark, sf_dir):
     """The best of a stated grid of parameter vectors for each turn of a conversation."""
-    docs = spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"), "doc_id")
-    grid = [(i, [a if j % 2 else b for j in range(12)]) for i, (a, b) in enumerate((a, b) for a in (0.0, 0.5, 1.0) for b in (0.0, 0.5, 1.0))]
-    actions = spark.createDataFrame(grid, "action_id long, action array<double>")
-    return ev.best_params(sweep.sweep(docs, actions), "doc_id").withColumn("reward", F.round("reward", 9))
+    return ev.best_params(sweep.sweep(_turn_texts(spark, sf_dir), _grid(spark)), "doc_id").withColumn("reward", F.round("reward", 9))
+
+
+@query(d_sweep(D_TURN_TEXTS) + "SELECT action_id, round(avg(reward), 9) AS mean FROM w GROUP BY action_id ORDER BY avg(reward) DESC, action_id LIMIT 1")
+def race_best_params(spark, sf_dir):
+    """The vector of the grid with the highest mean reward over all turns, by a race that drops candidates on the way; the SQL scores everything."""
+    return sweep.winner(sweep.race(_turn_texts(spark, sf_dir), _grid(spark))).withColumn("mean", F.round("mean", 9))
+
+
+def _turn_texts(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"), "doc_id")
+
+
+def _grid(spark) -> DataFrame:
+    return spark.createDataFrame(GRID, "action_id long, action array<double>")
 
 
 # ---- logs and streams
