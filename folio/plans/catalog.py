@@ -206,11 +206,14 @@ def region_table(spark, sf_dir):
     return regions.region_table(pred, "doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE replace(text, chr(10), chr(10)) END AS full_text FROM documents")
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN array_to_string(list_reverse(string_split(text, chr(10))), chr(10)) WHEN 2 THEN array_to_string(list_transform(string_split(text, chr(10)), lambda x: upper(x[1]) || '|'), chr(10)) ELSE source END AS full_text FROM documents"""
+)
 def full_text(spark, sf_dir):
-    """Texts of the regions by line, or the document's own where it has none."""
-    lines = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<struct<text:string>>")).otherwise(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"))))
-    return table(spark, sf_dir, "documents").select("doc_id", regions.full_text(lines, F.col("text")).alias("full_text"))
+    """Texts of the regions by line: the lines backwards, their first letters with a mark, one region, or the document's own text where it has no regions."""
+    lines, kind = F.split("text", "\n"), F.col("doc_id") % 4
+    texts = F.when(kind == 1, F.reverse(lines)).when(kind == 2, F.transform(lines, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lit("|")))).when(kind == 3, F.array("source")).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "documents").select("doc_id", regions.full_text(F.transform(texts, lambda x: F.struct(x.alias("text"))), F.col("text")).alias("full_text"))
 
 
 @query(
@@ -361,6 +364,18 @@ def effects_of_events(spark, sf_dir):
     return events.join(F.broadcast(keyed), "k").select("event_id", "effect", "phase")
 
 
+@query(
+    """WITH e(effect, name, params) AS (VALUES ('InkBleed', 'Ink Bleed', 2), ('LowLightNoise', 'Low Light / Fading', 1), ('BadPhotoCopy', 'Bad Photocopy', 1), ('WaterMark', 'Watermark', 1), ('Jpeg', 'JPEG Compression', 2), ('Geometric', 'Geometric Distortion', 1), ('Moire', 'Moire Pattern', 1), ('LCDScreenPattern', 'LCD Screen Pattern', 1), ('NoiseTexturize', 'Noise Texturize', 3), ('DotMatrix', 'Dot Matrix', 1))
+    SELECT event_id, effect, name, params FROM (SELECT event_id, user_id % 10 AS k FROM events) JOIN (SELECT *, row_number() OVER (ORDER BY effect) - 1 AS k FROM e) USING (k)"""
+)
+def effect_names(spark, sf_dir):
+    """Each event with one of ten effects, by its name in the catalogue and how many parameters it starts from."""
+    names = ["BadPhotoCopy", "DotMatrix", "Geometric", "InkBleed", "Jpeg", "LCDScreenPattern", "LowLightNoise", "Moire", "NoiseTexturize", "WaterMark"]
+    keyed = effects.effects_table(spark).withColumn("k", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("effect")) - 1)
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("k"))
+    return events.join(F.broadcast(keyed.where("k >= 0")), "k").select("event_id", "effect", F.col("display_name").alias("name"), F.size("default_params").alias("params"))
+
+
 # ---- synthetic forms
 
 FORM = """{"respondents": [{"respondent_id": "default", "display_name": "A", "field_types": [{"id": "standard", "name": "s", "font_family": "Sans", "font_size_range": [10, 14], "font_color": "#000000", "fill_style": "typed", "jitter_x": 0.0, "jitter_y": 0.0}, {"id": "stamp", "name": "t", "font_family": "Sans", "font_size_range": [16, 20], "font_color": "#00008B", "fill_style": "stamp", "jitter_x": 0.05, "jitter_y": 0.05}]}],
@@ -415,6 +430,17 @@ def synth_documents(spark, sf_dir):
     return docs.select("seed", "text", F.size("regions").alias("n_regions"), "synthetic")
 
 
+@query(
+    f"""WITH z AS (SELECT *, CASE WHEN zone_id IN ('z1', 'z4') THEN 0 ELSE 1 END AS page FROM ({ZONES}) WHERE zone_id IN ('z1', 'z2', 'z4', 'z5'))
+    SELECT seed, string_agg(text, chr(10) ORDER BY page, zone_id) AS text, string_agg(page || zone_id, ' ' ORDER BY page, zone_id) AS places FROM z GROUP BY seed"""
+)
+def synth_pages(spark, sf_dir):
+    """Forms of three pages, of which two exist: annotations page by page."""
+    zones = _filled(spark, sf_dir).withColumn("page", F.col("zone_ord") % 3)
+    docs = synth.build_annotations(zones, spark.createDataFrame([(0,), (1,), (7,)], "page int"))
+    return docs.select("seed", "text", F.array_join(F.transform("regions", lambda r: F.concat(r["page"].cast("string"), r["label"])), " ").alias("places"))
+
+
 def d_inside(mean: float, sd: float, low: float, high: float, fallback: float, axis: str) -> str:
     """SQL of the first of twenty normal draws (Box-Muller) that lies in a stamp's box."""
     keys = f"seed, zone_id, '{axis}', i"
@@ -863,12 +889,15 @@ def documents_by_zones(spark, sf_dir):
     return ex.documents_by_zones(spark, table(spark, sf_dir, "pages").count(), 77, zones.select("zone_id"))
 
 
-@query("SELECT name, n::BIGINT AS n FROM (VALUES ('train_val', 0), ('train_test', 0), ('val_test', 0), ('missing', 0), ('extra', 0)) AS t(name, n), (SELECT count(*) AS c FROM documents) WHERE c > 2")
+@query(
+    """WITH p AS (SELECT doc_id % 10 IN (0, 1, 2, 3, 4, 5) AS train, doc_id % 10 IN (5, 6, 7) AS val, doc_id % 10 IN (7, 8) AS test FROM documents)
+    SELECT name, n FROM (SELECT count(*) FILTER (WHERE train AND val) AS train_val, count(*) FILTER (WHERE train AND test) AS train_test, count(*) FILTER (WHERE val AND test) AS val_test, count(*) FILTER (WHERE NOT (train OR val OR test)) AS missing, count(*) FILTER (WHERE train AND val) + count(*) FILTER (WHERE val AND test) AS extra FROM p) UNPIVOT (n FOR name IN (train_val, train_test, val_test, missing, extra))"""
+)
 def check_split(spark, sf_dir):
-    """The parts of a split share nothing and lack nothing."""
+    """Parts that overlap and leave rows out: what they share, lack and have too many."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    found = ex.check_split(*ex.split(docs, 0.2, 0.1, 3, "doc_id"), docs)
-    return spark.createDataFrame(list(found.items()), "name string, n long")
+    parts = [docs.where((F.col("doc_id") % 10).isin(k)) for k in ([0, 1, 2, 3, 4, 5], [5, 6, 7], [7, 8])]
+    return spark.createDataFrame(list(ex.check_split(*parts, docs).items()), "name string, n long")
 
 
 @query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang")

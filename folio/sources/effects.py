@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 # The effects by phase.
@@ -10,8 +12,19 @@ PAPER = ["NoiseTexturize", "ColorShift", "DirtyDrum", "DirtyRollers", "SubtleNoi
 POST = ["Jpeg", "Brightness", "Gamma", "Dithering", "GlitchEffect", "Geometric", "Folding", "BookBinding", "DepthSimulatedBlur", "DoubleExposure", "Faxify", "LCDScreenPattern", "LensFlare", "LightingGradient", "Moire", "ReflectedLight", "DotMatrix", "Rescale", "SectionShift", "Squish"]
 SLOW = ["Scribbles", "BindingsAndFasteners", "DelaunayTessellation", "VoronoiTessellation", "PageBorder", "LensFlare"]
 DISABLED = ["LensFlare"]
-#: Ranges that effects start from; every effect has p = 0.9 beside them.
-RANGES = {"InkBleed": ("intensity_range", 0.1, 0.3), "Jpeg": ("quality_range", 40, 80), "Brightness": ("brightness_range", 0.7, 1.3), "Gamma": ("gamma_range", 0.5, 2.0)}
+# Names that are not the identifier's own words.
+NAMES = {"LowLightNoise": "Low Light / Fading", "BadPhotoCopy": "Bad Photocopy", "BindingsAndFasteners": "Bindings and Fasteners", "WaterMark": "Watermark", "Jpeg": "JPEG Compression", "Geometric": "Geometric Distortion", "LCDScreenPattern": "LCD Screen Pattern", "Moire": "Moire Pattern"}
+
+# What the effects that this library applies start from; every effect has p = 0.9 beside them.
+RANGES = {
+    "InkBleed": {"intensity_range": [0.1, 0.3]},
+    "Markup": {"num_lines_range": [2, 4], "markup_type": "strikethrough"},
+    "NoiseTexturize": {"sigma_range": [3, 10], "turbulence_range": [2, 5]},
+    "ColorShift": {"color_shift_offset_x_range": [5, 15], "color_shift_offset_y_range": [5, 15], "color_shift_iterations": [2, 3]},
+    "Jpeg": {"quality_range": [40, 80]},
+    "Brightness": {"brightness_range": [0.7, 1.3]},
+    "Gamma": {"gamma_range": [0.5, 2.0]},
+}
 
 # Presets as (effect, p, low, high) in the order of application; no range: None.
 PRESETS = {
@@ -28,7 +41,8 @@ def phase_of(effect: str) -> str:
 
 
 def display_name(effect: str) -> str:
-    return "".join(" " + c if c.isupper() and i and not effect[i - 1].isupper() else c for i, c in enumerate(effect))
+    """An effect's name for people: its own, or the words of its identifier."""
+    return NAMES.get(effect) or "".join(" " + c if c.isupper() and i and not effect[i - 1].isupper() else c for i, c in enumerate(effect))
 
 
 def effects_table(spark: SparkSession) -> DataFrame:
@@ -36,7 +50,7 @@ def effects_table(spark: SparkSession) -> DataFrame:
     rows = []
     for phase, names in (("ink", INK), ("paper", PAPER), ("post", POST)):
         for i, n in enumerate(names):
-            params = {"p": "0.9"} | ({RANGES[n][0]: f"[{RANGES[n][1]},{RANGES[n][2]}]"} if n in RANGES else {})
+            params = {"p": "0.9"} | {k: json.dumps(v, separators=(",", ":")) for k, v in RANGES.get(n, {}).items()}
             rows.append((n, display_name(n), phase, i, n in SLOW, n in DISABLED, params))
     return spark.createDataFrame(rows, "effect string, display_name string, phase string, ord int, slow boolean, disabled boolean, default_params map<string,string>")
 
