@@ -17,6 +17,37 @@ MOST_LABELLED = 4000
 DIMENSIONS, SHORTEST, LONGEST = 1 << 16, 3, 5
 
 
+#: A small labelled table, made up for this library: hosts and paths of kinds that a corpus does without, and ordinary ones. The rules play no part in it.
+BLOCKED = """
+casino-royal-bonus.test/free-spins/now | luckyslots247.test/jackpot | best-poker-odds.test/signup?aff | bet-big-win.test/live/odds | spinpalace-casino.test/en/promo
+cheap-pills-online.test/buy/now | no-prescription-meds.test/order | miracle-diet-pills.test/offer | weight-loss-secret.test/buy | discount-pharma.test/cart/checkout
+xxx-cams-live.test/girls | hot-adult-videos.test/watch/free | adult-dating-tonight.test/join | sexy-singles.test/chat | free-porn-tube.test/hd
+spam-links-farm.test/out/click | link-farm-seo.test/backlinks/buy | seo-spam-network.test/page/1 | buy-backlinks-cheap.test/order | doorway-farm.test/keywords/list
+click-ads-cash.test/earn/fast | earn-money-fast.test/no-risk | get-rich-crypto.test/double | crypto-giveaway.test/claim/now | free-gift-cards.test/claim
+warez-crack-download.test/keygen | torrent-movies-free.test/download | cracked-apps.test/apk/mod | keygen-serials.test/list | pirate-streams.test/watch
+phish-login-verify.test/account/confirm | secure-bank-update.test/login.php | prize-winner-claim.test/you-won | tracking-popunder.test/ad/serve | popup-ads-server.test/banner
+""".replace("\n", " | ")
+ORDINARY = """
+library.test/catalogue/history | blog.gardener.test/2021/05/tomatoes | news.harbour.test/world/article-12 | wiki.mountains.test/wiki/Granite | museum.test/collection/7
+university.test/physics/lectures | docs.compiler.test/manual/install | recipes.kitchen.test/soup/leek | forum.cyclists.test/thread/88 | school.test/en/timetable
+city-council.test/minutes/2019 | hospital.test/wards/visiting | journal.chemistry.test/vol3/paper | m.weather.test/en/forecast | shop.books.test/fiction/new
+travel.islands.test/ferries | blog.astronomy.test/comets | choir.test/concerts/spring | trains.test/en/stations | archive.letters.test/1843/june
+law.test/statutes/section-4 | music.test/scores/bach | www.farm-museum.test/visit | linkedlists.test/data/structures | club.chess.test/openings
+help.printer.test/faq | parks.test/trails/map | theatre.test/season/plays | bakery.test/bread/rye | radio.test/schedule
+language.test/de/grammar | statistics.test/es/census | poems.test/fr/sonnets | history.test/en/romans | energy.test/reports/wind
+""".replace("\n", " | ")
+
+
+def labelled_urls() -> list[tuple[str, str, str]]:
+    """(host, path, verdict) of the labelled table."""
+    rows = []
+    for verdict, urls in (("block", BLOCKED), ("allow", ORDINARY)):
+        for url in filter(None, (u.strip() for u in urls.split("|"))):
+            host, _, path = url.partition("/")
+            rows.append((host, "/" + path.partition("?")[0], verdict))
+    return rows
+
+
 def host_of(url: Column) -> Column:
     r"""After the first :// up to /, ?, # or end, A-Z lower-cased; "" for null or where there is no ://."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
@@ -100,7 +131,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled
 
     The longest fitting rule decides; else the model does (block where its score, the probability of block, is 0.5 or
     more). labelled(host, path, verdict) is a small table; its first MOST_LABELLED rows by hash are learnt from. Without
-    it the distinct host and path pairs that rules decide are the labelled table. No labelled rows: all are allowed; one verdict
+    it labelled_urls() is. No labelled rows: all are allowed; one verdict
     only: that verdict. Null urls and such without :// have empty host and path and are scored as such. Empty
     table: no rows. Columns beside page_id and url play no part.
     """
@@ -108,7 +139,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = parsed.withColumn("_r", rule_for(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        labelled = judged.where(F.col("_r").isNotNull()).select("host", "path", F.col("_r.verdict").alias("verdict")).distinct()
+        labelled = spark.createDataFrame(labelled_urls(), "host string, path string, verdict string")
     few = labelled.select("host", "path", "verdict").orderBy(F.xxhash64("host", "path", "verdict"), "host", "path", "verdict").limit(MOST_LABELLED).toPandas()
     urls = joined([x.encode() for x in few["host"].fillna("")], [x.encode() for x in few["path"].fillna("")])
     model = spark.sparkContext.broadcast(fit(urls, (few["verdict"] == "block").to_numpy(float)))
