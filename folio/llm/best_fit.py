@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,10 @@ _END = b"\xff"
 _PLAIN = "ɐ"
 
 
+#: Little-endian packing of few ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -84,17 +89,20 @@ class Tokens(dict):
     def __init__(self, path: str):
         super().__init__()
         self.piece, self.of_rank, self.whole, self.added = encoding(path)
-        self.split = regex.compile(PATTERN)
+        self.split, self.mark = regex.compile(PATTERN), commonprefix(self.added) if self.added else "\uffff"
 
     def __missing__(self, stretch: str) -> bytes:
         if len(self) >= self.MOST:
             self.clear()
-        if max(stretch, default="") < _PLAIN and not any(t in stretch for t in self.added):
-            low = stretch.lower()
-            ids = [self.of_rank[r] for p in ([low] if low.isalpha() else self.split.findall(low)) for r in self.piece(p.encode() + _END)]
+        if (stretch.isascii() or max(stretch, default="") < _PLAIN) and self.mark not in stretch:  # no added token, as its start is missing
+            low, of = stretch.lower(), self.of_rank
+            if low.isalpha():
+                ids = [of[r] for r in self.piece(low.encode() + _END)]
+            else:
+                ids = [of[r] for p in self.split.findall(low) for r in self.piece(p.encode() + _END)]
         else:
             ids = self.whole.encode(stretch, add_special_tokens=False).ids
-        out = self[stretch] = struct.pack(f"<{len(ids)}I", *ids)
+        out = self[stretch] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def ids(self, text: str) -> bytes:
