@@ -1,4 +1,4 @@
-"""Files with given contents, PNG images among them, written by tasks and decoded again by Spark's image source."""
+"""Files with given contents, PNG images among them, written by tasks and decoded again: plain PNG files by tasks, others by Spark's image source."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of images that a batch holds on its way out of a task.
-FLUSH = 16 << 20
+from .files import FLUSH, by_tasks, listed, mapped
+
 IMAGE = "name string, height int, width int, n_channels int, data binary"
 
 
@@ -40,10 +40,20 @@ def as_png(images: DataFrame) -> DataFrame:
     """(name, content) of images(name, height, width, n_channels, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(files, pa.binary())], names=["name", "content"])
+
+        names, files, size = [], [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                yield pa.RecordBatch.from_arrays([pa.array([row["name"]], pa.string()), pa.array([png(pixels(row))], pa.binary())], names=["name", "content"])
+            for name, *shape, data in zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4), strict=True):
+                names.append(name)
+                files.append(png(np.frombuffer(data.as_buffer(), np.uint8).reshape(shape)))
+                size += len(files[-1])
+                if size > FLUSH:
+                    yield out()
+                    names, files, size = [], [], 0
+        if names:
+            yield out()
 
     return images.select("name", "height", "width", "n_channels", "data").mapInArrow(run, "name string, content binary")
 
@@ -73,13 +83,114 @@ def write_files(files: DataFrame, folder: str) -> int:
     return files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images, rejects) of a folder: images are (name, height, width, n_channels, data), decoded by Spark's image source, data by rows, blue first; what it cannot decode is a reject (path, reason). Spark passes over empty files; a missing path raises."""
+# ---- reading
+
+#: Bytes at a file's start that tell how it is read.
+HEAD = 512
+_PLAIN_CHUNKS = (b"IHDR", b"sRGB", b"gAMA", b"cHRM", b"pHYs", b"tEXt", b"tIME")
+_OTHERS = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF8", b"BM", b"II*\0", b"MM\0*", b"\0\0")
+
+
+def kind_of(head: bytes) -> str:
+    """"plain": a PNG file of 8 bits a value, grey or in colour, without tables or interlacing, which tasks decode; "other": what may be an image, which is left to Spark's image source; "none": no image."""
+    if head[:16] == b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" and len(head) >= 33 and head[24] == 8 and head[25] in (0, 2, 6) and head[26:29] == b"\0\0\0":
+        at = 33
+        while at + 8 <= len(head):
+            size, chunk = struct.unpack(">I4s", head[at : at + 8])
+            if chunk == b"IDAT":
+                return "plain"
+            if chunk not in _PLAIN_CHUNKS:
+                return "other"
+            at += 12 + size
+        return "other" if len(head) >= HEAD else "none"
+    return "other" if head.startswith(_OTHERS) and not (head.startswith(_OTHERS[0]) and len(head) < 33) else "none"
+
+
+def decoded(data: bytes) -> np.ndarray | None:
+    """The height x width x channels array of a plain PNG file (blue first); None where it is cut or broken."""
+    width, height, _, color = struct.unpack(">IIBB", data[16:26])
+    channels = {0: 1, 2: 3, 6: 4}[color]
+    at, body, size = 33, [], height * (1 + width * channels)
+    while at + 12 <= len(data):
+        n, chunk = struct.unpack(">I4s", data[at : at + 8])
+        if chunk == b"IDAT":
+            body.append(data[at + 8 : at + 8 + n])
+        if chunk == b"IEND":
+            break
+        at += 12 + n
+    try:
+        raw = zlib.decompressobj().decompress(b"".join(body), size)
+    except zlib.error:
+        return None
+    if not size or len(raw) < size:
+        return None
+    rows = np.frombuffer(raw, np.uint8).reshape(height, 1 + width * channels)
+    filters, x = rows[:, 0], rows[:, 1:].reshape(height, width, channels)
+    if filters.max() > 4:
+        return None
+    x = _unfiltered(filters, x) if filters.any() else x
+    return x if channels == 1 else np.ascontiguousarray(x[:, :, [2, 1, 0, 3][:channels]])
+
+
+def _unfiltered(filters: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values of filtered rows; what a point is predicted from lies on the two diagonals before its own, so a diagonal is worked at once."""
+    height, width, channels = x.shape
+    out = np.zeros((height + 1, width + 1, channels), np.int16)
+    for d in range(height + width - 1):
+        r = np.arange(max(0, d - width + 1), min(height, d + 1))
+        c, f = d - r, filters[r][:, None]
+        left, up, corner = out[r + 1, c], out[r, c + 1], out[r, c]
+        a, b, e = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        paeth = np.where((a <= b) & (a <= e), left, np.where(b <= e, up, corner))
+        guess = np.select([f == 0, f == 1, f == 2, f == 3], [0, left, up, (left + up) // 2], paeth)
+        out[r + 1, c + 1] = (x[r, c] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
+def judged_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, height, width, n_channels, data, reason) of a folder's files in one pass, data by rows, blue first; what isn't an image or is broken has a reason instead.
+
+    Tasks list the folder, read its files and decode plain PNG files; files that may be images of other kinds, if there are any, are decoded by Spark's image source.
+    Empty files are passed over, as by Spark; a missing path raises.
+    """
+    names = [f.split()[0] for f in JUDGED.split(", ")]
+    if not by_tasks(path):
+        return _by_source(spark, path)
+    files = listed(spark, path)
+
+    def other(place: str, stream) -> tuple | None:
+        return (place,) if kind_of(stream.read(HEAD)) == "other" else None
+
+    def image(place: str, stream) -> tuple | None:
+        data = stream.read()
+        kind = kind_of(data[:HEAD])
+        if kind == "other":
+            return None
+        x = decoded(data) if kind == "plain" else None
+        name = place.rpartition("/")[2]
+        return (place, name, None, None, None, None, "undecodable") if x is None else (place, name, *x.shape, x.tobytes(), None)
+
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+    plain = mapped(files, image, JUDGED, names, kinds)
+    others = [r["path"] for r in mapped(files, other, "path string", ["path"], [pa.string()]).collect()]
+    return plain.unionByName(_by_source(spark, others)) if others else plain
+
+
+JUDGED = "path string, name string, height int, width int, n_channels int, data binary, reason string"
+
+
+def _by_source(spark: SparkSession, path: str | list[str]) -> DataFrame:
     raw = spark.read.format("image").option("dropInvalid", False).load(path)
-    bad = F.col("image.height") <= 0
+    good = F.col("image.height") > 0
+    values = {"height": "height", "width": "width", "n_channels": "nChannels", "data": "data"}
     name = F.regexp_extract("image.origin", r"([^/]*)$", 1)
-    good = raw.where(~bad).select(name.alias("name"), "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.data")
-    return good, raw.where(bad).select(F.col("image.origin").alias("path"), F.lit("undecodable").alias("reason"))
+    return raw.select(F.col("image.origin").alias("path"), name.alias("name"), *[F.when(good, F.col(f"image.{v}")).alias(n) for n, v in values.items()], F.when(~good, F.lit("undecodable")).alias("reason"))
+
+
+def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(images, rejects) of judged_images: images are (name, height, width, n_channels, data), rejects (path, reason)."""
+    rows = judged_images(spark, path)
+    return rows.where("reason is null").select("name", "height", "width", "n_channels", "data"), rows.where("reason is not null").select("path", "reason")
 
 
 # ---- pictures of texts
