@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import CONFIG, GROUND_TRUTH, REGION_DEFAULTS
+from .files import contents, listed
 
 #: Suffixes of a dataset scan.
 DATASET_SUFFIXES = ["jpg", "jpeg", "png", "bmp", "tiff", "pdf"]
@@ -20,8 +21,9 @@ def name_parts(path: Column) -> dict[str, Column]:
 
 
 def scan_files(spark: SparkSession, folder: str, suffixes: list[str] = DATASET_SUFFIXES) -> DataFrame:
-    """(path, dir, stem, ext, length, modificationTime) of the folder's own files with a suffix (any case), by path; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "length", "modificationTime")
+    """(path, dir, stem, ext, length, modificationTime) of the folder's own files (and of its parts, key=value) with a suffix (any case), by path; contents are not read."""
+    # local paths as Spark's binaryFile source has them
+    files = listed(spark, folder).withColumn("path", F.regexp_replace("path", "^(file://)?/(?!/)", "file:/"))
     named = files.select("path", *[c.alias(n) for n, c in name_parts(F.col("path")).items()], "length", "modificationTime")
     return named.where(F.lower(F.substring("ext", 2, 99)).isin(suffixes)).orderBy("path")
 
@@ -81,8 +83,8 @@ def read_gt_xml(spark: SparkSession, path: str, multi_line: bool = True) -> tupl
 
 
 def judged_ground_truth(spark: SparkSession, folder: str) -> DataFrame:
-    """All files of a folder in one pass, each read whole and parsed by its suffix (.json or .xml, any case): path, reason, and the annotation where reason is null. Files of other kinds are rejects; Spark passes over empty files."""
-    return judged_files(spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+    """All files of a folder in one pass, each read whole and parsed by its suffix (.json or .xml, any case): path, reason, and the annotation where reason is null. Files of other kinds are rejects; empty files are passed over."""
+    return judged_files(contents(spark, folder).select("path", F.col("content").cast("string").alias("value")))
 
 
 def judged_files(files: DataFrame) -> DataFrame:

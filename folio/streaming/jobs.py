@@ -14,6 +14,7 @@ from ..operators.regions import full_text
 from ..operators.validate import region_fault
 from ..schema import GROUND_TRUTH
 from ..sources.annotations import json_columns, judged_files
+from ..sources.files import tasks
 
 
 def stream_annotations(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -29,8 +30,12 @@ def stream_annotations(spark: SparkSession, folder: str, files_per_batch: int =
     return known.select("reason", F.when(~good, F.col("value")).alias("raw"), *[F.when(good, c).alias(n) for n, c in values.items()])
 
 
-def stream_ground_truth(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of judged_ground_truth: whole files of either kind, and others, as they arrive in folder."""
+#: Whole files of a micro-batch: each has a fixed cost of a second or two, and Spark's log of files is rewritten every ten of them.
+FILES = 50_000
+
+
+def stream_ground_truth(spark: SparkSession, folder: str, files_per_batch: int = FILES) -> DataFrame:
+    """A stream of judged_ground_truth: whole files of either kind, and others, as they arrive in folder (or in its parts, key=value)."""
     files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
     return judged_files(files.select(F.col("_metadata.file_path").alias("path"), "value"))
 
@@ -39,11 +44,12 @@ def halves_to_end(stream: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Runs a stream with a column reason over what is there now; returns (good rows, rejects) of all runs so far, from Parquet under path.
 
     Each micro-batch is judged once and written once, parted into its two outputs, in a folder of its number: one that is
-    repeated after a failure replaces what it had written. A further call goes on from the checkpoint.
+    repeated after a failure replaces what it had written. A further call goes on from the checkpoint. Spark makes a split of every
+    32 small files: a task takes many splits, so that neither tasks nor written files grow with them.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("rejected", F.col("reason").isNotNull()).write.mode("overwrite").partitionBy("rejected").parquet(f"{path}/out/epoch={epoch}")
+        batch.coalesce(tasks(batch.sparkSession)).withColumn("rejected", F.col("reason").isNotNull()).write.mode("overwrite").partitionBy("rejected").parquet(f"{path}/out/epoch={epoch}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     schema = StructType([*stream.schema.fields, StructField("epoch", IntegerType()), StructField("rejected", BooleanType())])

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from folio.operators import images
 from folio.plans import catalog
-from folio.sources import files, pictures
+from folio.sources import annotations, files, pictures
+from folio.streaming import jobs
 
 RNG = np.random.default_rng(3)
 
@@ -74,3 +75,33 @@ def test_contents_are_read_by_few_tasks(spark, tmp_path):
         (tmp_path / "part=0" / f"{i}.txt").write_text(str(i))
     read = files.contents(spark, str(tmp_path))
     assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and {int(r["content"]) for r in read.collect()} == set(range(300))
+
+
+def test_files_of_parts_are_listed_by_few_tasks(spark, tmp_path):
+    for name in ("part=0/a.png", "part=1/b.JPG", "part=1/below/c.png", "below/d.png", "e.pdf", "part=0/f.txt", "part=0/_g.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text("12")
+    found = annotations.scan_files(spark, f"file://{tmp_path}")
+    assert sorted((r["stem"], r["ext"], r["length"]) for r in found.collect()) == [("a", ".png", 2), ("b", ".JPG", 2), ("e", ".pdf", 2)]
+    assert found.where("modificationTime > current_timestamp() - interval 1 hour").count() == 3
+    assert "Scan binaryFile" not in found._jdf.queryExecution().toString()
+    truth = annotations.judged_ground_truth(spark, str(tmp_path))
+    assert sorted(r["path"].rpartition("/")[2] for r in truth.collect()) == ["a.png", "b.JPG", "e.pdf", "f.txt"]
+    assert "Scan text" not in truth._jdf.queryExecution().toString()
+
+
+def test_few_micro_batches(spark, tmp_path):
+    (tmp_path / "in" / "part=0").mkdir(parents=True)
+    for i in range(1100):
+        (tmp_path / "in" / "part=0" / f"{i}.json").write_text(f'{{"image_path": "{i}.png", "text": "t"}}' if i % 2 else "{")
+    good, bad = jobs.halves_to_end(jobs.stream_ground_truth(spark, str(tmp_path / "in")), f"file://{tmp_path}/out")
+    assert (good.count(), bad.count()) == (550, 550)
+    assert len(list((tmp_path / "out" / "out").glob("epoch=*"))) == 1
+    assert len(list((tmp_path / "out" / "out").glob("epoch=0/*/part-*"))) <= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_customers_are_dealt_out(spark, tmp_path):
+    pq.write_table(pa.table({"c_custkey": range(3000)}), f"{tmp_path}/customer.parquet")
+    for name in ("placement", "provider_values"):
+        rows = catalog.queries()[name](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("at")).count().collect()
+        assert len(rows) > spark.sparkContext.defaultParallelism
