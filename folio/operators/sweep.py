@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.draw import fraction
 from ..functions.metrics import car, cer, reward
 from ..functions.params import action_to_params
-from .degrade import rule
+from .degrade import in_turn
 
 
 #: Effects in their order, with the parameter that is their probability, and their chance per character.
@@ -44,11 +44,12 @@ def sweep(docs: DataFrame, actions: DataFrame, seed: int = 0, together: int = TO
 
 
 def _scored(pairs: DataFrame, seed: int) -> DataFrame:
-    out = pairs.withColumn("degraded", F.col("text"))
+    named = lambda n: F.col(f"params.{n}")
+    steps = []
     for effect, p, chance in STEPS:
         keys = (seed, F.col("doc_id"), F.col("action_id"), effect)
-        changed = rule(effect, F.col("degraded"), chance(lambda n: F.col(f"params.{n}")), *keys)
-        out = out.withColumn("degraded", F.when(fraction(*keys, "p") < F.col(f"params.{p}"), changed).otherwise(F.col("degraded")))
+        steps.append((effect, fraction(*keys, "p") < named(p), chance(named), keys))
+    out = in_turn(pairs.withColumn("degraded", F.col("text")), steps)
     kept = F.least(F.lit(1.0), F.length("degraded") / F.greatest(F.lit(1), F.length("text")))
     out = out.withColumn("_cer", cer(F.col("degraded"), F.col("text")))
     # the distance over the text's length is the error rate, so similarity needs no second distance
