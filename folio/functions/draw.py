@@ -43,7 +43,7 @@ def pick(values: list[str], *keys) -> Column:
 # ---- the same draws in Arrow batches
 
 #: Messages of md5 that are worked together, and the bytes of a block that a message may fill.
-_TOGETHER, _ROOM = 8192, 55
+_TOGETHER, _ROOM = 16_384, 55
 _SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
 _SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
 _START = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]

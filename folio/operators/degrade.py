@@ -138,9 +138,10 @@ def _characters(text: Column, steps: list[tuple[str, Column, tuple]]) -> Column:
     def batch(texts: pd.Series, *given: pd.Series) -> pd.Series:
         out, rows, size = [None] * len(texts), [], 0
         chances = [c.to_numpy(np.float64, na_value=0.0) for c in given[::2]]
+        texts, prefixes = texts.tolist(), [p.tolist() for p in given[1::2]]
 
         def work() -> None:
-            done = _after(effects, [texts.iat[i] for i in rows], [c[rows] for c in chances], [[p.iat[i] for i in rows] for p in given[1::2]])
+            done = _after(effects, [texts[i] for i in rows], [c[rows] for c in chances], [[p[i] for i in rows] for p in prefixes])
             for i, t in zip(rows, done, strict=True):
                 out[i] = t
 
