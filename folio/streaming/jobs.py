@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -57,38 +58,62 @@ def halves_to_end(stream: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("not rejected").select(*stream.columns), rows.where("rejected").select(*stream.columns)
 
 
-JOB = "ts timestamp, seq long, status string, progress double"
+#: Groups that jobs are dealt to: a call of Python has a fixed cost of some milliseconds, which a group pays once for all of its jobs.
+GROUPS = 512
+JOB = "job string, us long, seq long, status string, progress double"
+_HELD = pa.schema([("job", pa.string()), ("us", pa.int64()), ("seq", pa.int64()), ("status", pa.string()), ("progress", pa.float64()), ("deadline", pa.int64())])
 
 
-def job_states(events: DataFrame, delay: str, expiry_seconds: int, job: str = "job_id") -> DataFrame:
+def _latest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of each job its last row in the order of (us, seq), of equal ones the first, with the largest progress of all."""
+    most = rows.groupby("job", dropna=False, sort=False)["progress"].transform("max")
+    return rows.assign(progress=most).sort_values(["us", "seq"], ascending=False, kind="stable").drop_duplicates("job")
+
+
+def job_states(events: DataFrame, delay: str, expiry_seconds: int, job: str = "job_id", groups: int = GROUPS) -> DataFrame:
     """A stream of (job, ts, seq, status, progress, expired) of events(job, ts, seq, status, progress), for update mode: a row whenever a job's state changes.
 
     A job's state is its last event in the order of (ts, seq), whatever order events arrive in, and the largest progress. A job without
     an event for expiry_seconds, by the watermark (delay behind the latest event), gives a last row with expired and is forgotten, so
-    state holds no more than the jobs of that time. Events behind the watermark are dropped.
+    state holds no more than the jobs of that time. Events behind the watermark are dropped. The states of a group of jobs, dealt by a hash
+    of the job, are one table in Arrow's format, written anew when any of them changes; its timer is the first of theirs. A stream that
+    goes on from a checkpoint needs the same number of groups.
     """
     kind = dict(events.dtypes)[job]
-    watched = events.withWatermark("ts", delay).select(job, "ts", "seq", "status", F.col("progress").cast("double").alias("progress"))
+    name = F.col(job).cast("string")
+    watched = events.withWatermark("ts", delay).select(F.pmod(F.xxhash64(name), F.lit(groups)).alias("part"), name.alias("job"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("seq").cast("long").alias("seq"), "status", F.col("progress").cast("double").alias("progress"))
 
     def follow(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = [job, "ts", "seq", "status", "progress", "expired"]
-        if state.hasTimedOut:
-            last = state.get
+        mark, fields = state.getCurrentWatermarkMs(), _HELD.names[:-1]
+        held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else _HELD.empty_table().to_pandas()
+        rows = None
+        for b in () if state.hasTimedOut else batches:
+            if len(b):
+                rows = _latest(b[fields] if rows is None else pd.concat([rows, b[fields]]))
+        left, out = held, []
+        if rows is not None:
+            seen = held["job"].isin(rows["job"])
+            left = held[~seen]
+            both = pd.concat([held.loc[seen, fields].assign(new=False), rows.assign(new=True)]) if seen.any() else rows.assign(new=True)
+            both = _latest(both.assign(own=both["progress"]))
+            same = (both["own"] == both["progress"]) | (both["own"].isna() & both["progress"].isna())
+            both["deadline"] = (both["us"] // 1000 + expiry_seconds * 1000).clip(lower=mark + 1)
+            out.append(both.loc[both["new"] | ~same, fields].assign(expired=False))
+        late = left["deadline"] < mark
+        out.append(left.loc[late, fields].assign(expired=True))
+        left = left[~late] if rows is None else both[_HELD.names] if late.all() else pd.concat([left[~late], both[_HELD.names]])
+        if len(left):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _HELD) as writer:
+                writer.write_table(pa.Table.from_pandas(left, _HELD, preserve_index=False))
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(max(int(left["deadline"].min()), mark))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(*key, *last, True)], columns=columns)
-            return
-        last = before = state.get if state.exists else None
-        for b in batches:
-            for ts, seq, status, progress in b[["ts", "seq", "status", "progress"]].itertuples(index=False):
-                most = progress if last is None or pd.isna(last[3]) or progress > last[3] else last[3]
-                last = (ts.to_pydatetime(), int(seq), status, most) if last is None or (ts, seq) > (pd.Timestamp(last[0]), last[1]) else (*last[:3], most)
-        state.update(last)
-        state.setTimeoutTimestamp(max(int(pd.Timestamp(last[0]).tz_localize(zone).timestamp() * 1000) + expiry_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        if last != before:
-            yield pd.DataFrame([(*key, *last, False)], columns=columns)
-
-    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
-    return watched.groupBy(job).applyInPandasWithState(follow, f"`{job}` {kind}, {JOB}, expired boolean", JOB, "update", GroupStateTimeout.EventTimeTimeout)
+        yield from (o for o in out if len(o))
+
+    states = watched.groupBy("part").applyInPandasWithState(follow, f"{JOB}, expired boolean", "held binary", "update", GroupStateTimeout.EventTimeTimeout)
+    return states.select(F.col("job").cast(kind).alias(job), F.timestamp_micros("us").alias("ts"), "seq", "status", "progress", "expired")
 
 
 def latest_status(events: DataFrame, job: str = "job_id") -> DataFrame:

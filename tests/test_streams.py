@@ -59,3 +59,28 @@ def test_job_states_across_a_restart(spark, tmp_path):
     assert run() == {"a": ("paused", 0.9, False), "b": ("done", 1.0, False)}
     arrive("3", [("c", 50, 6, "running", 0.0)])
     assert run() == {"a": ("paused", 0.9, True), "b": ("done", 1.0, False), "c": ("running", 0.0, False)}
+
+
+def test_jobs_of_one_group(spark, tmp_path):
+    """Thousands of jobs cost a few calls of Python, not one each; in a group some change, some expire beside them, some are taken up again."""
+
+    def arrive(name, rows):
+        at = [(j, START + timedelta(minutes=m), seq, status, p) for j, m, seq, status, p in rows]
+        spark.createDataFrame(at, "job_id long, ts timestamp, seq long, status string, progress double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{name}")
+
+    def run(groups):
+        stream = spark.readStream.schema("job_id long, ts timestamp, seq long, status string, progress double").parquet(f"{tmp_path}/in/*")
+        out = jobs.run_to_end(jobs.job_states(stream, "10 minutes", 1800, groups=groups), f"file://{tmp_path}/out{groups}", "update")
+        return {r["job_id"]: tuple(r["l"])[1:] for r in out.groupBy("job_id").agg(F.max(F.struct("epoch", "status", "seq", "progress", "expired", "ts")).alias("l")).collect()}
+
+    big = 2**62 + 1
+    arrive("1", [(None, 0, 1, "queued", None), (big, 0, big, "queued", 0.2), (big + 1, 1, 2, None, 0.1), (3, 2, 3, "a", None), (3, 2, 3, "b", 0.3)] + [(n, 1, n, "run", 0.5) for n in range(10, 3000)])
+    first = {g: run(g) for g in (1, 7)}
+    assert first[1] == first[7] and len(first[1]) == 2994
+    assert first[1][None] == ("queued", 1, None, False, START) and first[1][big][:4] == ("queued", big, 0.2, False) and first[1][3][:4] == ("a", 3, 0.3, False)
+    arrive("2", [(big, 35, 1, "done", 0.1), (3, 45, 1, "late", 0.0), (10, 45, 0, "late", 0.9)])
+    arrive("3", [(4, 46, 1, "new", 0.0)])
+    for g in (1, 7):
+        last = run(g)
+        assert last[big][:4] == ("done", 1, 0.2, False) and last[3][:4] == ("late", 1, 0.3, False) and last[10][:4] == ("late", 0, 0.9, False) and last[4][3] is False
+        assert all(last[j] == (*first[1][j][:3], True, first[1][j][4]) for j in (None, big + 1, 11, 2999))
