@@ -56,6 +56,8 @@ def read_gt_json(spark: SparkSession, path: str, multi_line: bool = True) -> tup
 
 
 XML_DOCUMENT = """_image string, text_region array<struct<_confidence:double,text:string,coords:struct<_x1:double,_y1:double,_x2:double,_y2:double,_x3:double,_y3:double,_x4:double,_y4:double>>>, _corrupt_record string"""
+#: Texts and names are kept with the spaces around them.
+XML_OPTIONS = {"ignoreSurroundingSpaces": "false"}
 
 
 def xml_columns(of: Callable[[str], Column]) -> dict[str, Column]:
@@ -78,12 +80,12 @@ def xml_columns(of: Callable[[str], Column]) -> dict[str, Column]:
 def read_gt_xml(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(annotations, rejects) of <document image> files (or of large files with many, which are then split): regions lacking coords or text are left out, a coordinate defaults to 0,
     confidence to 1; the document's text is that of its regions, a line each."""
-    raw = spark.read.format("xml").option("rowTag", "document").option("multiLine", multi_line).schema(XML_DOCUMENT).load(path)
+    raw = spark.read.format("xml").options(**XML_OPTIONS).option("rowTag", "document").option("multiLine", multi_line).schema(XML_DOCUMENT).load(path)
     return halves(judged(raw.withColumn("path", F.col("_metadata.file_path")), xml_columns))
 
 
 def judged_ground_truth(spark: SparkSession, folder: str) -> DataFrame:
-    """All files of a folder in one pass, each read whole and parsed by its suffix (.json or .xml, any case): path, reason, and the annotation where reason is null. Files of other kinds are rejects; empty files are passed over."""
+    """All files of a folder in one pass, each read whole and parsed by its suffix (.json or .xml, any case): path, reason, and the annotation where reason is null. Files of other kinds are rejects, and so are empty ones."""
     return judged_files(contents(spark, folder).select("path", F.col("content").cast("string").alias("value")))
 
 
@@ -92,8 +94,10 @@ def judged_files(files: DataFrame) -> DataFrame:
     schema = T.StructType([*GROUND_TRUTH.fields, T.StructField("_corrupt_record", T.StringType())])
     options = {"columnNameOfCorruptRecord": "_corrupt_record"}
     kind = F.lower(name_parts(F.col("path"))["ext"])
-    parsed = files.select("path", kind.alias("kind"), F.when(kind == ".json", F.from_json("value", schema, options)).alias("j"), F.when(kind == ".xml", F.from_xml("value", XML_DOCUMENT, options)).alias("x"))
+    parsed = files.select("path", kind.alias("kind"), F.when(kind == ".json", F.from_json("value", schema, options)).alias("j"), F.when(kind == ".xml", F.from_xml("value", XML_DOCUMENT, options | XML_OPTIONS)).alias("x"))
     json, xml = json_columns(lambda n: F.col("j")[n]), xml_columns(lambda n: F.col("x")[n])
+    # nothing comes of a blank file, not even a corrupt record
+    json["reason"], xml["reason"] = (F.when(F.col(n).isNull(), "unreadable").otherwise(c["reason"]) for n, c in (("j", json), ("x", xml)))
     either = {n: F.when(F.col("kind") == ".json", json[n]).when(F.col("kind") == ".xml", xml[n]) for n in json}
     reason = F.when(F.col("kind").isin(".json", ".xml"), either.pop("reason")).otherwise("not an annotation")
     rows = parsed.select("path", reason.alias("reason"), *[c.alias(n) for n, c in either.items()])

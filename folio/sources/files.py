@@ -62,7 +62,7 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mapped(files: DataFrame, read, schema: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
-    """Rows that read(path, stream of its bytes) gives, as tuples or none, for each of files(path, length) that isn't empty; batches are cut by the sizes of their files."""
+    """Rows that read(path, stream of its bytes) gives, as tuples or none, for each of files(path, length); batches are cut by the sizes of their files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -87,17 +87,19 @@ def mapped(files: DataFrame, read, schema: str, names: list[str], kinds: list[pa
         if rows:
             yield out()
 
-    spread = files.where("length > 0").select("path", "length").repartition(tasks(files.sparkSession), "path")
+    spread = files.select("path", "length").repartition(tasks(files.sparkSession), "path")
     return spread.mapInArrow(run, schema)
 
 
 def contents(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of the folder's files that aren't empty, each read whole."""
+    """(path, content) of the folder's files, each read whole; in schemes that tasks can't open empty files are missing, since Spark's readers pass over them."""
     if not by_tasks(folder):
-        return spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "content")
+        return spark.read.format("binaryFile").load(folder).select("path", "content")
     return mapped(listed(spark, folder), lambda path, stream: (path, stream.read()), "path string, content binary", ["path", "content"], [pa.string(), pa.binary()])
 
 
-def part_of(name: Column, n: int) -> Column:
-    """name in one of the parts of a folder that is to get about n files: some 2,000 to a part."""
-    return F.concat(F.lit("part="), F.pmod(F.xxhash64(name), F.lit(n // 2000 + 1)).cast("string"), F.lit("/"), name)
+def part_of(name: Column, n: int, copy: Column | int = 0) -> Column:
+    """name in one of the parts of a folder that is to get about n files: some 2,000 to a part. A copy of a name, numbered from 1, gets a part that no other copy of it has."""
+    parts = n // 2000 + 1
+    part = F.pmod(F.xxhash64(name), F.lit(parts)) + (copy if isinstance(copy, Column) else F.lit(copy)) * F.lit(parts)
+    return F.concat(F.lit("part="), part.cast("string"), F.lit("/"), name)

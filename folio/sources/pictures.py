@@ -156,7 +156,7 @@ def judged_images(spark: SparkSession, path: str) -> DataFrame:
     names = [f.split()[0] for f in JUDGED.split(", ")]
     if not by_tasks(path):
         return _by_source(spark, path)
-    files = listed(spark, path)
+    files = listed(spark, path).where("length > 0")
 
     def other(place: str, stream) -> tuple | None:
         return (place,) if kind_of(stream.read(HEAD)) == "other" else None
