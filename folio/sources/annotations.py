@@ -21,7 +21,7 @@ def name_parts(path: Column) -> dict[str, Column]:
 
 
 def scan_files(spark: SparkSession, folder: str, suffixes: list[str] = DATASET_SUFFIXES) -> DataFrame:
-    """(path, dir, stem, ext, length, modificationTime) of the folder's own files (and of its parts, key=value) with a suffix (any case), by path; contents are not read."""
+    """(path, dir, stem, ext, length, modificationTime) of the folder's own files (and of its parts, key=value) with a suffix (any case), by path; contents are not read. In schemes that tasks can't open empty files are missing."""
     # local paths as Spark's binaryFile source has them
     files = listed(spark, folder).withColumn("path", F.regexp_replace("path", "^(file://)?/(?!/)", "file:/"))
     named = files.select("path", *[c.alias(n) for n, c in name_parts(F.col("path")).items()], "length", "modificationTime")
