@@ -32,6 +32,11 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
     readers find them: names that begin with an underscore or a dot are passed over; a missing folder raises when it is read."""
     if not by_tasks(folder):
         return spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime")
+    return listing(spark.createDataFrame([("",)], "below string").coalesce(1), folder)
+
+
+def listing(looks: DataFrame, folder: str) -> DataFrame:
+    """listed, once for each row of looks, a table or a stream, where tasks can open the folder's scheme."""
     base = folder.rstrip("/")
 
     def entries(deep: bool):
@@ -56,8 +61,8 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
         return run
 
     kind = "below string, is_file boolean, length long, modificationTime timestamp"
-    top = spark.createDataFrame([("",)], "below string").coalesce(1).mapInArrow(entries(False), kind)
-    parts = top.where("not is_file").select("below").repartition(tasks(spark), "below").mapInArrow(entries(True), kind)
+    top = looks.select(F.lit("").alias("below")).mapInArrow(entries(False), kind)
+    parts = top.where("not is_file").select("below").repartition(tasks(looks.sparkSession), "below").mapInArrow(entries(True), kind)
     return top.unionByName(parts).where("is_file").select(F.concat(F.lit(base), "below").alias("path"), "length", "modificationTime")
 
 
@@ -95,7 +100,12 @@ def contents(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the folder's files, each read whole; in schemes that tasks can't open empty files are missing, since Spark's readers pass over them."""
     if not by_tasks(folder):
         return spark.read.format("binaryFile").load(folder).select("path", "content")
-    return mapped(listed(spark, folder), lambda path, stream: (path, stream.read()), "path string, content binary", ["path", "content"], [pa.string(), pa.binary()])
+    return read_whole(listed(spark, folder))
+
+
+def read_whole(files: DataFrame) -> DataFrame:
+    """(path, content) of files(path, length), a table or a stream."""
+    return mapped(files, lambda path, stream: (path, stream.read()), "path string, content binary", ["path", "content"], [pa.string(), pa.binary()])
 
 
 def part_of(name: Column, n: int, copy: Column | int = 0) -> Column:

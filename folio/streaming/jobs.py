@@ -15,7 +15,7 @@ from ..operators.regions import full_text
 from ..operators.validate import region_fault
 from ..schema import GROUND_TRUTH
 from ..sources.annotations import json_columns, judged_files
-from ..sources.files import tasks
+from ..sources.files import by_tasks, listing, read_whole, tasks
 
 
 def stream_annotations(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -31,12 +31,21 @@ def stream_annotations(spark: SparkSession, folder: str, files_per_batch: int =
     return known.select("reason", F.when(~good, F.col("value")).alias("raw"), *[F.when(good, c).alias(n) for n, c in values.items()])
 
 
-#: Whole files of a micro-batch: each has a fixed cost of a second or two, and Spark's log of files is rewritten every ten of them.
+#: Whole files of a micro-batch of Spark's file source: each has a fixed cost of a second or two, and its log of files is rewritten every ten of them.
 FILES = 50_000
 
 
 def stream_ground_truth(spark: SparkSession, folder: str, files_per_batch: int = FILES) -> DataFrame:
-    """A stream of judged_ground_truth: whole files of either kind, and others, as they arrive in folder (or in its parts, key=value)."""
+    """A stream of judged_ground_truth: whole files of either kind, and others, as they arrive in folder (or in its parts, key=value).
+
+    Each micro-batch is one look at the folder: tasks list it, the stream's state drops the names that were seen before, and tasks read the
+    new files. The driver holds no names. A stream without end should have a trigger with an interval, since a look costs as much as the listing.
+    Where tasks can't open the folder's scheme, Spark's file source takes files_per_batch files at a time, without empty ones.
+    """
+    if by_tasks(folder):
+        looks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+        new = listing(looks, folder).dropDuplicates(["path"])
+        return judged_files(read_whole(new).select("path", F.col("content").cast("string").alias("value")))
     files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
     return judged_files(files.select(F.col("_metadata.file_path").alias("path"), "value"))
 

@@ -100,6 +100,21 @@ def test_few_micro_batches(spark, tmp_path):
     assert len(list((tmp_path / "out" / "out").glob("epoch=0/*/part-*"))) <= 8 * spark.sparkContext.defaultParallelism
 
 
+def test_names_of_a_stream_are_in_its_state(spark, tmp_path):
+    """Tasks list the folder and read its files; the driver's log of the source has no names, and a further run reads what is new."""
+    folder, out = tmp_path / "in", tmp_path / "out"
+    for i in range(40):
+        (folder / f"part={i % 3}").mkdir(parents=True, exist_ok=True)
+        (folder / f"part={i % 3}" / f"page{i}.json").write_text(f'{{"image_path": "{i}.png", "text": "t"}}' if i % 4 else "")
+    good, bad = jobs.halves_to_end(jobs.stream_ground_truth(spark, f"file://{folder}"), f"file://{out}")
+    assert (good.count(), bad.count()) == (30, 10)
+    assert not any("page" in x.read_text() for x in (out / "checkpoint" / "sources").rglob("*") if x.is_file() and x.suffix != ".crc")
+    (folder / "part=7").mkdir()
+    (folder / "part=7" / "page7.txt").write_text("new")
+    good, bad = jobs.halves_to_end(jobs.stream_ground_truth(spark, f"file://{folder}"), f"file://{out}")
+    assert (good.count(), bad.count()) == (30, 11) and bad.where("path like '%part=7%'").first()["reason"] == "not an annotation"
+
+
 def test_customers_are_dealt_out(spark, tmp_path):
     pq.write_table(pa.table({"c_custkey": range(3000)}), f"{tmp_path}/customer.parquet")
     for name in ("placement", "provider_values"):
