@@ -25,12 +25,12 @@ def documents(folder, rows):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["read_ground_truth", "scan_files"])
+@pytest.mark.parametrize("name", ["read_ground_truth", "scan_files", "stream_ground_truth"])
 def test_documents_without_text(spark, tmp_path, name):
     assert differences(spark, name, documents(tmp_path, [(i, "" if i % 3 else f"line {i}\n", "en", "src") for i in range(48)])) == [[], []]
 
 
-@pytest.mark.parametrize("name", ["read_ground_truth", "scan_files"])
+@pytest.mark.parametrize("name", ["read_ground_truth", "scan_files", "stream_ground_truth"])
 def test_documents_of_one_id(spark, tmp_path, name):
     """Three documents of an id, two of them the same row."""
     rows = [(i, f"{i}", "en", "src") for i in range(16)]
